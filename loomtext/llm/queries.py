@@ -7,6 +7,7 @@ from importlib import import_module
 #: Queries by module.
 NAMES = {
     "copies": ["p2_found", "p2_collapsed"],
+    "encoding": ["p3_found", "p3_restored"],
     "nearcopies": ["p5_found", "p5_groups"],
     "splitting": ["p7_found", "p7_pieces"],
 }
