@@ -8,6 +8,7 @@ from importlib import import_module
 NAMES = {
     "copies": ["p2_found", "p2_collapsed"],
     "encoding": ["p3_found", "p3_restored"],
+    "leakage": ["p9_found", "p9_leaks", "p9_clean"],
     "nearcopies": ["p5_found", "p5_groups"],
     "splitting": ["p7_found", "p7_pieces"],
 }
