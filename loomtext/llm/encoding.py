@@ -32,6 +32,8 @@ MAX_DEPTH, MAX_STATES = 3, 40
 MARGIN, SHARE = 4.0, 0.25
 #: The same within a value of which another field has been repaired.
 NEAR_MARGIN, NEAR_SHARE = 2.0, 0.12
+#: Share of the first cost at which a state without odd characters ends the search.
+GOAL = 0.6
 #: The screen lets pass what costs less per Russian letter, in the mean and for a single one.
 MEAN, STEEP = 3.2, 9.0
 
@@ -321,13 +323,15 @@ class Repairer:
             states += 1
             if c < best_cost:
                 best, best_cost = t, c
+            if depth and c <= GOAL * start and not any(self.kind[ord(ch)] in (BAD, ACCENT, HAN3) for ch in t if ch > "\x7f"):
+                break  # the cheapest open state is plain text: nothing dearer can lead on
             if depth == MAX_DEPTH:
                 continue
             for _, u in self.moves(t):
                 if (h := hash(u)) not in seen:
                     seen.add(h)
                     cu = self.cost(u)
-                    if cu < c + 3:
+                    if cu < c:
                         heapq.heappush(queue, (cu, depth + 1, u))
         lost = "�" in s or any("\x80" <= ch <= "\x9f" for ch in s)
         if len(self.cache) > 50_000:
