@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Queries by module.
 NAMES = {
+    "abuse": ["p10_found", "p10_scores", "p10_rates"],
     "copies": ["p2_found", "p2_collapsed"],
     "encoding": ["p3_found", "p3_restored"],
     "leakage": ["p9_found", "p9_leaks", "p9_clean"],
