@@ -10,6 +10,7 @@ NAMES = {
     "copies": ["p2_found", "p2_collapsed"],
     "encoding": ["p3_found", "p3_restored"],
     "leakage": ["p9_found", "p9_leaks", "p9_clean"],
+    "lookalikes": ["p6_found", "p6_normalised", "p6_equal_terms"],
     "nearcopies": ["p5_found", "p5_groups"],
     "splitting": ["p7_found", "p7_pieces"],
 }
