@@ -142,7 +142,7 @@ def one_script(text: str) -> str:
     """text with each letter that stands in for a look-alike of another script replaced.
 
     A word of several scripts goes to the one whose letters can't all be stand-ins, else to the majority
-    (Cyrillic on a tie). Cyrillic or Greek look-alikes in a text without any other letter of their script go
+    (Latin beside ideographs, Cyrillic on a tie). Cyrillic or Greek look-alikes in a text without any other letter of their script go
     to Latin, Cyrillic ones if they touch a digit or an ideograph; a lone small Latin look-alike between two Cyrillic words goes to Cyrillic.
     """
     _, script = quick_check()
@@ -162,7 +162,8 @@ def one_script(text: str) -> str:
             elif not firm:
                 n = {s: sum(x & 3 == s for x in kinds) for s in present}
                 firm_text = [s for s in (CYRILLIC, LATIN, GREEK) if s in present and own[s]]
-                target = max(n, key=lambda s: (s in firm_text, n[s], s == CYRILLIC))
+                plain = LATIN if any(ch >= "㐀" for ch in text) else CYRILLIC
+                target = max(n, key=lambda s: (s in firm_text, s == LATIN == plain, n[s], s == plain))
         elif present == {CYRILLIC} and not own[CYRILLIC] and all(x & 4 for x in kinds):
             near = text[a - 1 : a] + text[b : b + 1]
             if any(c.isdigit() or c >= "㐀" for c in near):  # part of a code, not an abbreviation
