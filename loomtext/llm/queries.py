@@ -13,6 +13,7 @@ NAMES = {
     "lookalikes": ["p6_found", "p6_normalised", "p6_equal_terms"],
     "nearcopies": ["p5_found", "p5_groups"],
     "pagenoise": ["p1_found", "p1_pages"],
+    "pairs": ["p4_found", "p4_rates"],
     "splitting": ["p7_found", "p7_pieces"],
 }
 
