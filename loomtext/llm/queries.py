@@ -12,6 +12,7 @@ NAMES = {
     "leakage": ["p9_found", "p9_leaks", "p9_clean"],
     "lookalikes": ["p6_found", "p6_normalised", "p6_equal_terms"],
     "nearcopies": ["p5_found", "p5_groups"],
+    "packing": ["p8_packed", "p8_fill"],
     "pagenoise": ["p1_found", "p1_pages"],
     "pairs": ["p4_found", "p4_rates"],
     "splitting": ["p7_found", "p7_pieces"],
