@@ -1,11 +1,21 @@
-"""All queries outside the llm subpackage."""
+"""All queries outside the llm subpackage and their SQL."""
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ["loomtext.plans.queries_text", "loomtext.plans.queries_flow"]
+
 
 def queries() -> dict:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= import_module(m).QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for m in MODULES:
+        out |= import_module(m).ORACLE
+    return out
