@@ -26,8 +26,6 @@ TRIPLES = """
     aа. cс. eе. oоο pрρ xхχ yу. iіι jј. sѕ. kкκ vѵν hһ. dԁ. qԛ. wԝ.
     AАΑ BВΒ CСϹ EЕΕ HНΗ IІΙ JЈ. KКΚ MМΜ NԊΝ OОΟ PРΡ SЅ. TТΤ XХΧ YҮΥ ZꓜΖ .ГΓ .ПΠ .ФΦ
 """
-#: Latin or Cyrillic letters close enough to stand for one another one way only.
-PAIRS = {"Y": "У", "h": "н", "m": "м", "t": "т", "b": "ь", "r": "г", "n": "п", "u": "и"}
 #: Radicals without a decomposition and the ideographs they look like (fixed values).
 RADICALS = dict(zip("⺠⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻨⻩⻬⻮⻰", "民虎西见角贝车长门青韦页风飞食马骨鬼鱼鸟麦黄齐齿龙"))
 LATIN, CYRILLIC, GREEK = 1, 2, 3
@@ -39,7 +37,7 @@ def scripts() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     to: tuple[dict[str, str], ...] = ({}, {}, {})
     for t in TRIPLES.split():
         for k, target in enumerate(t):
-            if target != ".":
+            if target != "." and not (k == 1 and not "А" <= target <= "я"):  # rare Cyrillic letters are stand-ins, never the norm
                 for ch in t:
                     if ch not in (".", target):
                         to[k][ch] = target
