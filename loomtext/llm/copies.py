@@ -248,3 +248,16 @@ def collapse(records: DataFrame) -> DataFrame:
 
 def p2_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(p2_records(spark, sf_dir))
+
+
+_MARK = "chr(57344)"
+_CANON = f"""list_sort(list_filter(list_transform(regexp_split_to_array(
+  regexp_replace(regexp_replace(replace(lower(text), 'µ', 'μ'), '(\\p{{Nd}})([^\\p{{L}}\\p{{N}};；|])(\\p{{Nd}})', '\\1' || {_MARK} || '\\2\\3', 'g'), '(\\p{{Nd}})([^\\p{{L}}\\p{{N}};；|' || {_MARK} || '])(\\p{{Nd}})', '\\1' || {_MARK} || '\\2\\3', 'g'),
+  '[;；|]'), lambda f: regexp_replace(f, '(' || {_MARK} || '.)|[^\\p{{L}}\\p{{N}}]', '\\1', 'gs')), lambda f: f <> ''))"""
+_GROUPS = f"""WITH r AS (SELECT 'dxf_records' AS src_table, file_id AS scope, rec_id AS id, text FROM dxf_records UNION ALL SELECT 'translated_sample', export_id, row_id, text FROM translated_sample),
+ c AS (SELECT src_table, scope, id, {_CANON} AS k FROM r WHERE regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]')), g AS (SELECT src_table, id, min(id) OVER (PARTITION BY src_table, scope, k) AS keep_id FROM c)"""
+ORACLE = {
+    "p2_found": f"{_GROUPS} SELECT src_table, keep_id, id AS copy_id FROM g WHERE id <> keep_id",
+    "p2_collapsed": f"""{_GROUPS} SELECT src_table, keep_id, count(*) AS n_copies FROM g GROUP BY 1, 2
+        UNION ALL SELECT src_table, id, 1 FROM r WHERE NOT regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]')""",
+}

@@ -171,3 +171,12 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that remain once affected ones are removed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     return docs.join(p9_leaks(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+_LETTERS = r"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+ORACLE = {
+    "p9_found": f"""WITH d AS (SELECT doc_id, {_LETTERS.format(x="text")} AS t FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, {_LETTERS.format(x="passage")} AS p FROM benchmark), n AS (SELECT item_id, p, (length(p) + 1) // 2 AS need FROM i WHERE length(p) > 0),
+        w AS (SELECT item_id, need, unnest(list_transform(range(1, length(p) - need + 2), lambda k: substr(p, k, need))) AS part FROM n)
+        SELECT DISTINCT doc_id, item_id FROM d JOIN w ON length(t) >= need AND contains(t, part)""",
+}
