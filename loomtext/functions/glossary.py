@@ -7,10 +7,15 @@ were first met, also when a later layer overrides their value. A row carries the
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from loomtext.functions.text import CN, status_approved, strip
+from loomtext.functions.text import CN, FULL_WIDTH, FULL_WIDTH_TO, WS, normalise_punctuation, status_approved, strip
 
 SECTIONS = ["ТХ", "ОВ", "ВК", "ЭОМ", "КЖ", "АР", "UNKNOWN"]
 #: Glossaries up to this many rows are broadcast; larger ones are joined.
@@ -198,8 +203,176 @@ def term_arrays(spark: SparkSession, approved: DataFrame, booster: DataFrame | N
     )
 
 
-def with_terms(df: DataFrame, arrays: DataFrame, glossary_rows: int) -> DataFrame:
-    """df(section) with its section's arrays; sections without one use those of UNKNOWN."""
-    side = F.broadcast(arrays) if glossary_rows <= MAX_BROADCAST_TERMS else arrays
-    known = F.when(F.col("section").isin(*SECTIONS, "ПБ"), F.col("section")).otherwise("UNKNOWN")
-    return df.withColumn("_key", known).join(side.withColumnRenamed("section", "_key"), "_key", "left").drop("_key")
+def section_key() -> Column:
+    """The section whose terms a row uses: its own, or UNKNOWN if there are none for it."""
+    return F.when(F.col("section").isin(*SECTIONS, "ПБ"), F.col("section")).otherwise("UNKNOWN")
+
+
+def units(c: Column, terms: Column) -> Column:
+    """A number before a counting word gets the unit's translation with a space."""
+    for u in UNITS:
+        to = F.coalesce(F.get(F.filter(terms, _is_term(u)), F.lit(0))["v"], F.lit(u))
+        c = F.regexp_replace(c, F.lit(rf"(\p{{Nd}}+(?:[.,]\p{{Nd}}+)?){WS}*{u}"), F.concat(F.lit("$1 "), to))
+    return c
+
+
+def _is_term(key: str) -> Callable[[Column], Column]:
+    return lambda t: t["k"] == key
+
+
+class JoinedTerms:
+    """Terms of any size: the arrays of a section are joined to its rows and folded by expressions.
+
+    All methods work on rows that attach() has been given.
+    """
+
+    def __init__(self, arrays: DataFrame):
+        self.arrays = arrays
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        have = [c for c in ("terms", "norm_terms", "residual_terms") if c in df.columns]
+        side = self.arrays.withColumnRenamed("section", "_key")
+        return df.drop(*have).withColumn("_key", section_key()).join(side, "_key", "left").drop("_key")
+
+    def fold(self, c: Column, kind: str) -> Column:
+        return fold(c, F.col(kind))
+
+    def fold_runs(self, c: Column, kind: str) -> Column:
+        return fold_runs(c, F.col(kind), whole=True)
+
+    def tidy(self, c: Column) -> Column:
+        """Punctuation, units, known terms anywhere and then inside what Chinese is left."""
+        res = F.col("residual_terms")
+        v = fold(units(normalise_punctuation(c), res), res)
+        return normalise_punctuation(fold_runs(units(normalise_punctuation(v), res), res))
+
+    def rebuild(self, c: Column) -> Column:
+        return self.tidy(self.fold_runs(c, "terms"))
+
+
+class SectionTerms:
+    """The terms of one section in order, with an automaton that tells which of them occur in a text."""
+
+    def __init__(self, terms: list[tuple[str, str]]):
+        import ahocorasick
+
+        closed = not any(CN_RE.search(v) for _, v in terms)
+        self.terms = terms
+        self.known = dict(terms)
+        self.always = [i for i, (k, _) in enumerate(terms) if not closed or not CN_RE.search(k)]
+        self.auto = ahocorasick.Automaton()
+        for i, (k, _) in enumerate(terms):
+            if closed and CN_RE.search(k):
+                self.auto.add_word(k, i)
+        self.some = len(self.auto) > 0
+        if self.some:
+            self.auto.make_automaton()
+
+    def fold(self, text: str) -> str:
+        hits = {i for _, i in self.auto.iter(text)} if self.some and not text.isascii() else set()
+        for i in sorted(hits.union(self.always)):
+            k, v = self.terms[i]
+            text = text.replace(k, v)
+        return text
+
+    def fold_runs(self, text: str) -> str:
+        return CN_RUN.sub(lambda m: self.known.get(m[0]) or self.fold(m[0]), text)
+
+
+class TermBook:
+    """Terms of a checked size, sent along with the tasks: ordered replacement in one Arrow call per step.
+
+    Measured on 20,000 rows and 480 terms this takes a fraction of the time of the array expressions, which try
+    every term on every row; the automaton leaves the few that occur.
+    """
+
+    def __init__(self, rows: list):
+        self.rows = {r["section"]: {k: [(t["k"], t["v"]) for t in r[k]] for k in ("terms", "norm_terms", "residual_terms")} for r in rows}
+        self.built: dict[tuple[str, str], SectionTerms] = {}
+
+    def __getstate__(self) -> dict:
+        return {"rows": self.rows, "built": {}}
+
+    def of(self, section: str, kind: str) -> SectionTerms:
+        key = (section, kind)
+        if key not in self.built:
+            self.built[key] = SectionTerms(self.rows.get(section, self.rows["UNKNOWN"])[kind])
+        return self.built[key]
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df
+
+    def _apply(self, c: Column, fn: Callable[[TermBook, str, str], str]) -> Column:
+        book = self
+
+        @F.pandas_udf(StringType())
+        def run(texts: pd.Series, sections: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else fn(book, t, s) for t, s in zip(texts, sections)], dtype=object)
+
+        return run(c, section_key())
+
+    def fold(self, c: Column, kind: str) -> Column:
+        return self._apply(c, lambda book, t, s: book.of(s, kind).fold(t))
+
+    def fold_runs(self, c: Column, kind: str) -> Column:
+        return self._apply(c, lambda book, t, s: book.of(s, kind).fold_runs(t))
+
+    def tidy(self, c: Column) -> Column:
+        return self._apply(c, _tidy)
+
+    def rebuild(self, c: Column) -> Column:
+        return self._apply(c, lambda book, t, s: _tidy(book, book.of(s, "terms").fold_runs(t), s))
+
+
+CN_RE, CN_RUN = re.compile(CN), re.compile(f"{CN}+")
+UNIT_RE = re.compile(r"(\d+(?:[.,]\d+)?)\s*([" + "".join(UNITS) + "])")
+SPACING = [(re.compile(a), b) for a, b in (
+    (r"\s+", " "), (r"\( +", "("), (r" +\)", ")"), (r" *([:;,]) *", r"\1 "), (r" *\. *", ". "), (r" *\+ *", " + "), (r"(?<=\d)([А-Яа-яЁёA-Za-z(])", r" \1"),
+    (r"(?<=[А-Яа-яЁё])(?=\d)", " "), (r" +", " "), (r" +([,.;:)])", r"\1"),
+)]
+SIGNS = str.maketrans(FULL_WIDTH + "_", FULL_WIDTH_TO + " ")
+
+
+def plain_punctuation(text: str) -> str:
+    """normalise_punctuation for one text."""
+    text = text.translate(SIGNS)
+    for pattern, to in SPACING:
+        text = pattern.sub(to, text)
+    return text.strip(" -_").strip()
+
+
+def _tidy(book: TermBook, text: str, section: str) -> str:
+    terms = book.of(section, "residual_terms")
+
+    def unit(t: str) -> str:
+        return UNIT_RE.sub(lambda m: f"{m[1]} {terms.known.get(m[2], m[2])}", t)
+
+    text = terms.fold(unit(plain_punctuation(text)))
+    return plain_punctuation(terms.fold_runs(unit(plain_punctuation(text))))
+
+
+def term_book(spark: SparkSession, glossary: DataFrame, booster: DataFrame | None = None, most: int = MAX_BROADCAST_TERMS) -> TermBook | JoinedTerms:
+    """The terms of a glossary(section, cn, ru, status, ord): along with the tasks if it has at most most rows, joined otherwise."""
+    some = approved_terms(glossary).limit(most + 1).collect()
+    more = booster.limit(most + 1).collect() if booster is not None else []
+    if len(some) + len(more) > most:
+        return JoinedTerms(term_arrays(spark, glossary, booster))
+    return TermBook([{"section": s, **_ordered(s, some, more)} for s in [*SECTIONS, "ПБ"]])
+
+
+def _ordered(section: str, approved: list, booster: list) -> dict[str, list[dict[str, str]]]:
+    """The three term lists of one section, for a glossary on the driver: later layers give the value, the first one the place."""
+    def overlay(layers: list[list[tuple[str, str]]]) -> list[dict[str, str]]:
+        merged: dict[str, str] = {}
+        for layer in layers:
+            merged.update(layer)  # an overwritten key stays where it was
+        return [{"k": k, "v": merged[k]} for k in sorted(merged, key=lambda k: -len(k))]
+
+    def rows(source: list, name: str) -> list[tuple[str, str]]:
+        return [(r["cn"], r["ru"]) for r in sorted((r for r in source if r["section"] == name), key=lambda r: r["ord"])]
+
+    base = [list(BASE_TERMS["UNKNOWN"].items()), list(BASE_TERMS.get(section, {}).items())]
+    norm = [rows(approved, "ALL"), rows(approved, section) if section != "ALL" else []]
+    extra = [rows(booster, name) for name in ("ALL", section, "UNKNOWN")]
+    fixed = [list(m.items()) for m in (PHRASES, TOKENS, MIXED)]
+    return {"terms": overlay(base + norm + extra), "norm_terms": overlay(norm), "residual_terms": overlay(fixed + base + norm + extra)}

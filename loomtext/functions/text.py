@@ -174,11 +174,12 @@ def structurally_dense(c: Column) -> Column:
 
 def suspicious(source: Column, candidate: Column) -> Column:
     """A finalised candidate that can't be a sound translation of source."""
-    s, c = strip(F.coalesce(source, F.lit(""))), F.coalesce(candidate, F.lit(""))
-    low = F.lower(strip(c))
-    explains = F.lit(False)
-    for prefix in EXPLANATIONS:
-        explains = explains | low.startswith(prefix)
+    return unsound(strip(F.coalesce(source, F.lit(""))), strip(F.coalesce(candidate, F.lit(""))))
+
+
+def unsound(s: Column, c: Column) -> Column:
+    """suspicious() for texts that are stripped and never null; give it columns, since it names them many times."""
+    explains = F.lower(c).rlike("^(?:" + "|".join(EXPLANATIONS) + ")")
     groups, n = cn_runs(s), tokens(c)
     cn, share, size = s.rlike(CN), cyrillic_share(c), F.length(s)
     return (

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.plans.translate import Book, finalise
 
 FAST = "^(?:passthrough|memory|structured_dict|section_dict)"
 MODEL = "^(?:ollama|deepseek|fallback)"
@@ -114,14 +115,12 @@ def needs_review(text: Column, translated: Column, untranslated: Column, flags:
     )
 
 
-def review(df: DataFrame, model: Callable[[list[str]], list[str]] | None = None, only_flagged: bool = True) -> DataFrame:
-    """df(row_id, text, translated, section, untranslated_chinese, qc_flags, terms, residual_terms) with the reviewed text.
+def review(df: DataFrame, book: Book, model: Callable[[list[str]], list[str]] | None = None, only_flagged: bool = True) -> DataFrame:
+    """df(row_id, text, translated, section, untranslated_chinese, qc_flags) with the reviewed text.
 
     Adds llm_validation_status (SKIP, CHECKED, EDITED) and llm_validation_notes. The model gets source and
     current text; without one every call fails, which leaves the text as it is.
     """
-    from loomtext.plans.translate import finalise
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got: list[str | None] = [None] * len(pdf)
@@ -134,7 +133,7 @@ def review(df: DataFrame, model: Callable[[list[str]], list[str]] | None = None,
 
     d = df.withColumn("_see", needs_review(F.col("text"), F.col("translated"), F.col("untranslated_chinese"), F.col("qc_flags")) if only_flagged else F.lit(True))
     asked = d.where("_see").select("row_id", "text", "translated").mapInPandas(run, "row_id bigint, _got string")
-    d = finalise(d.join(asked, "row_id", "left"), "text", "_got", "_c")
+    d = finalise(d.join(asked, "row_id", "left"), "text", "_got", "_c", book)
     current = T.strip(F.coalesce("translated", F.lit("")))
     note = (
         F.when(~F.col("_see"), "").when(F.col("_got").isNull(), "request_failed").when(F.col("_c") == "", "empty_response").when(T.has_cn(F.col("_c")), "contains_chinese")

@@ -11,21 +11,15 @@ from loomtext.plans import learning as L
 from loomtext.plans import quality as Q
 from loomtext.plans import translate as R
 from loomtext.plans.queries_text import SECTION_SQL, WS, marks, squash, strip
-from loomtext.plans.runtime import cut, table
+from loomtext.plans.runtime import table
 
 
 def _glossary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "approved_terms").select("section", "cn", "ru", "status", "ord", "standard_ref", "note")
 
 
-def _arrays(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    g = _glossary(spark, d)
-    return cut(G.term_arrays(spark, g)), g.count()
-
-
-def _with_terms(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
-    arrays, n = _arrays(spark, d)
-    return G.with_terms(df, arrays, n)
+def _book(spark: SparkSession, d: str) -> R.Book:
+    return G.term_book(spark, _glossary(spark, d))
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
@@ -54,12 +48,14 @@ def glossary_by_section(spark: SparkSession, d: str) -> DataFrame:
 
 def apply_section_terms(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "translated_sample").select("row_id", "section", T.clean_source(F.col("text")).alias("source"))
-    return _with_terms(spark, d, t).select("row_id", G.fold(G.fold(F.col("source"), F.col("terms")), F.col("norm_terms")).alias("by_terms"))
+    book = _book(spark, d)
+    return book.attach(t).select("row_id", book.fold(book.fold(F.col("source"), "terms"), "norm_terms").alias("by_terms"))
 
 
 def structured_translate(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "translated_sample").select("row_id", "section", T.clean_source(F.col("text")).alias("source"))
-    return _with_terms(spark, d, t).select("row_id", G.fold_runs(F.col("source"), F.col("terms"), whole=True).alias("by_runs"))
+    book = _book(spark, d)
+    return book.attach(t).select("row_id", book.fold_runs(F.col("source"), "terms").alias("by_runs"))
 
 
 def cad_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -72,13 +68,13 @@ def document_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def finalised(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "translated_sample").select("row_id", "section", "text", "translated")
-    f = R.finalise(_with_terms(spark, d, t), "text", "translated", "final")
+    f = R.finalise(t, "text", "translated", "final", _book(spark, d))
     return f.select("row_id", "final", F.col("final_untranslated").alias("untranslated"), F.array_join("final_flags", ",").alias("flags"))
 
 
 def domain_normalise(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "translated_sample").select("row_id", "section", "translated")
-    return R.domain_norm(_with_terms(spark, d, t), "translated", "normalized").select("row_id", "normalized")
+    return R.domain_norm(t, "translated", "normalized", _book(spark, d)).select("row_id", "normalized")
 
 
 def _routed(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +83,7 @@ def _routed(spark: SparkSession, d: str) -> DataFrame:
     # the memory knows every third text only, so that all routes occur
     memory = R.clean_memory(_memory(spark, d)).where(F.pmod(F.length("source_text"), F.lit(3)) == 0)
     m = memory.groupBy("source_text").agg(F.min("translated").alias("translated")).withColumn("section", F.lit("UNKNOWN"))
-    return R.fast_route(_with_terms(spark, d, R.distinct_texts(seg)), m)
+    return R.fast_route(R.distinct_texts(seg), m, _book(spark, d))
 
 
 def fast_route(spark: SparkSession, d: str) -> DataFrame:
@@ -117,8 +113,7 @@ def micro_batches(spark: SparkSession, d: str) -> DataFrame:
 def translated_segments(spark: SparkSession, d: str) -> DataFrame:
     """The whole pipeline over the texts of all drawings, without a model."""
     seg = table(spark, d, "dxf_records").select(F.col("file_id").alias("doc_id"), "seq", "text")
-    arrays, n = _arrays(spark, d)
-    out = R.translate(seg, arrays, n, R.clean_memory(_memory(spark, d)))
+    out = R.translate(seg, _book(spark, d), R.clean_memory(_memory(spark, d)))
     return out.select("doc_id", "seq", "section", "translated", "translation_source", "untranslated_chinese", "qc_flags")
 
 
@@ -166,7 +161,7 @@ def review_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def reviewed(spark: SparkSession, d: str) -> DataFrame:
     s = _segments(spark, d).select("row_id", "section", "text", "translated", "untranslated_chinese", "qc_flags")
-    return Q.review(_with_terms(spark, d, s)).groupBy("llm_validation_status", "llm_validation_notes").agg(F.count(F.lit(1)).alias("n_rows"))
+    return Q.review(s, _book(spark, d)).groupBy("llm_validation_status", "llm_validation_notes").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def audit_examples(spark: SparkSession, d: str) -> DataFrame:

@@ -13,47 +13,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.functions.glossary import UNITS, fold, fold_runs
+from loomtext.functions.glossary import CAD_TERMS, NORM_TERMS, JoinedTerms, TermBook, fold, literal_terms
+from loomtext.plans.runtime import cut
 
+Book = TermBook | JoinedTerms
 
 
-def _is_term(key: str) -> Callable[[Column], Column]:
-    return lambda t: t["k"] == key
+def finalise(df: DataFrame, source: str, candidate: str, out: str, book: Book) -> DataFrame:
+    """df(section, ...) with out (the finalised candidate), out_untranslated and out_flags.
 
-
-def _units(c: Column, terms: Column) -> Column:
-    """A number before a counting word gets the unit's translation with a space."""
-    for u in UNITS:
-        to = F.coalesce(F.get(F.filter(terms, _is_term(u)), F.lit(0))["v"], F.lit(u))
-        c = F.regexp_replace(c, F.lit(rf"(\p{{Nd}}+(?:[.,]\p{{Nd}}+)?){T.WS}*{u}"), F.concat(F.lit("$1 "), to))
-    return c
-
-
-def finalise(df: DataFrame, source: str, candidate: str, out: str) -> DataFrame:
-    """df with out (the finalised candidate), out_untranslated and out_flags.
-
-    Needs the columns terms and residual_terms. Null texts count as empty ones. A candidate that is too thin
-    for a dense source is rebuilt from the source by terms, and kept if that yields more words.
+    Null texts count as empty ones. A candidate that is too thin for a dense source is rebuilt from the source by
+    terms, and kept if that yields more words.
     """
-    res = F.col("residual_terms")
-
-    def known(d: DataFrame, name: str) -> DataFrame:
-        """Known terms anywhere, then terms inside what Chinese is left."""
-        d = d.withColumn(name, _units(T.normalise_punctuation(F.col(name)), res))
-        d = d.withColumn(name, fold(F.col(name), res))
-        d = d.withColumn(name, _units(T.normalise_punctuation(F.col(name)), res))
-        d = d.withColumn(name, fold_runs(F.col(name), res))
-        return d.withColumn(name, T.normalise_punctuation(F.col(name)))
-
-    d = df.withColumns({
+    d = book.attach(df).withColumns({
         "_src": T.normalise_punctuation(T.strip(F.coalesce(F.col(source), F.lit("")))),
-        "_val": T.normalise_punctuation(T.strip_prompt(F.col(candidate))),
+        "_val": book.tidy(T.normalise_punctuation(T.strip_prompt(F.col(candidate)))),
     })
-    d = known(d, "_val")
     thin = (F.col("_val") == "") | F.col("_val").rlike(T.PUNCT_ONLY_WIDE) | (T.structurally_dense(F.col("_src")) & (T.tokens(F.col("_val")) < 3))
-    d = d.withColumn("_thin", thin).withColumn("_re", F.when(F.col("_thin"), fold_runs(F.col("_src"), F.col("terms"), whole=True)).otherwise(F.lit("")))
-    d = known(d, "_re")
-    better = F.col("_thin") & (T.tokens(F.col("_re")) > T.tokens(F.col("_val")))
+    d = d.withColumn("_re", book.rebuild(F.when(thin, F.col("_src"))))
+    better = F.col("_re").isNotNull() & (T.tokens(F.col("_re")) > T.tokens(F.col("_val")))
     d = d.withColumn(out, T.normalise_punctuation(F.when(better, F.col("_re")).otherwise(F.col("_val"))))
     v = F.col(out)
     left = T.has_cn(v)
@@ -61,7 +39,7 @@ def finalise(df: DataFrame, source: str, candidate: str, out: str) -> DataFrame:
         F.when(v.rlike("^[一-鿿]$"), "single_char_chinese"), F.when(v.rlike(rf"\p{{Nd}}{T.WS}*[一-鿿]"), "number_prefix_chinese"),
         F.when(T.cn_runs(v) >= 2, "multiple_chinese_fragments"), F.when(left, "needs_manual_review"),
     ))
-    return d.withColumns({f"{out}_untranslated": left, f"{out}_flags": flags}).drop("_src", "_val", "_thin", "_re")
+    return d.withColumns({f"{out}_untranslated": left, f"{out}_flags": flags}).drop("_src", "_val", "_re")
 
 
 def good_by_terms(source: Column, candidate: Column) -> Column:
@@ -75,8 +53,8 @@ def distinct_texts(segments: DataFrame) -> DataFrame:
     return cleaned.groupBy("section", "source").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("text_hash", F.sha1(F.encode("source", "utf-8")))
 
 
-def fast_route(texts: DataFrame, memory: DataFrame) -> DataFrame:
-    """texts(section, source, terms, norm_terms, residual_terms) with translated, route and flags.
+def fast_route(texts: DataFrame, memory: DataFrame, book: Book) -> DataFrame:
+    """texts(section, source) with translated, route and flags.
 
     route is passthrough, memory, structured_dict, section_dict or null; the first that succeeds counts.
     memory: (section, source_text, translated), unique by the first two.
@@ -85,19 +63,22 @@ def fast_route(texts: DataFrame, memory: DataFrame) -> DataFrame:
     d = texts.withColumn("_pass", T.is_passthrough(F.col("source")))
     d = d.join(m, (F.col("section") == F.col("_s")) & (F.col("source") == F.col("_t")), "left").drop("_s", "_t")
     todo = d.where(~F.col("_pass"))
-    todo = finalise(todo, "source", "_hit", "_mem")
-    todo = todo.withColumn("_st0", fold_runs(F.col("source"), F.col("terms"), whole=True))
-    todo = finalise(todo, "source", "_st0", "_st")
-    todo = todo.withColumn("_tm0", fold(F.col("source"), F.col("terms"))).withColumn("_tm0", fold(F.col("_tm0"), F.col("norm_terms")))
-    todo = finalise(todo, "source", "_tm0", "_tm")
+    todo = book.attach(todo)
+    todo = finalise(todo, "source", "_hit", "_mem", book)
+    todo = finalise(todo.withColumn("_st0", book.fold_runs(F.col("source"), "terms")), "source", "_st0", "_st", book)
+    todo = todo.withColumn("_tm0", book.fold(book.fold(F.col("source"), "terms"), "norm_terms"))
+    todo = finalise(todo, "source", "_tm0", "_tm", book)
     by = lambda name: F.struct(F.col(name).alias("translated"), F.col(f"{name}_flags").alias("flags"))
     routes = [
         ("memory", F.col("_hit").isNotNull() & (F.col("_hit") != "") & ~F.col("_mem_untranslated"), "_mem"),
         ("structured_dict", good_by_terms(F.col("source"), F.col("_st")), "_st"),
         ("section_dict", good_by_terms(F.col("source"), F.col("_tm")), "_tm"),
     ]
+    # each test once, as a column: repeated inside route and value it would outgrow a generated method
+    todo = todo.withColumns({f"_ok_{name}": ok for name, ok, _ in routes})
     route, value = None, None
-    for name, ok, c in routes:
+    for name, _, c in routes:
+        ok = F.col(f"_ok_{name}")
         route = F.when(ok, name) if route is None else route.when(ok, name)
         value = F.when(ok, by(c)) if value is None else value.when(ok, by(c))
     keep = [c for c in texts.columns]
@@ -138,22 +119,19 @@ def call_model(pending: DataFrame, model: Callable[[list[str]], list[str]] | Non
     return pending.select("section", "source").mapInPandas(run, "section string, source string, model_text string")
 
 
-def resolve_pending(pending: DataFrame, model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
-    """pending(section, source, terms, norm_terms, residual_terms) with translated and route of the slow path."""
-    from loomtext.functions.glossary import CAD_TERMS, literal_terms
-
-    got = call_model(pending, model)
-    d = pending.join(got, ["section", "source"])
-    d = d.withColumn("_m0", fold(fold(F.col("model_text"), F.col("terms")), F.col("norm_terms")))
-    d = finalise(d, "source", "_m0", "_m")
-    d = d.withColumn("_s0", fold_runs(F.col("source"), F.col("terms"), whole=True))
-    d = finalise(d, "source", "_s0", "_s")
-    d = d.withColumn("_d0", fold(fold(F.col("source"), F.col("terms")), literal_terms(CAD_TERMS, longest_first=False)))
-    d = finalise(d, "source", "_d0", "_d")
-    share = T.word_share(F.col("_d"))
-    accept = ~T.suspicious(F.col("source"), F.col("_d")) & (share >= 0.35) & ~((F.col("section") == "UNKNOWN") & (share < 0.5)) & (
+def resolve_pending(pending: DataFrame, book: Book, model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """pending(section, source) with translated and route of the slow path."""
+    d = book.attach(call_model(pending, model))
+    d = finalise(d.withColumn("_m0", book.fold(book.fold(F.col("model_text"), "terms"), "norm_terms")), "source", "_m0", "_m", book)
+    d = finalise(d.withColumn("_s0", book.fold_runs(F.col("source"), "terms")), "source", "_s0", "_s", book)
+    d = d.withColumn("_d0", book.fold(F.col("source"), "terms"))
+    d = d.withColumn("_d0", fold(F.col("_d0"), literal_terms(CAD_TERMS, longest_first=False)))
+    d = finalise(d, "source", "_d0", "_d", book)
+    d = d.select("section", "source", "_m", "_s", "_d", *[T.unsound(F.col("source"), F.col(c)).alias(f"{c}_bad") for c in ("_m", "_s", "_d")])
+    d = d.withColumn("_share", T.word_share(F.col("_d")))
+    accept = ~F.col("_d_bad") & (F.col("_share") >= 0.35) & ~((F.col("section") == "UNKNOWN") & (F.col("_share") < 0.5)) & (
         F.length("_d") >= F.greatest(F.lit(4), F.floor(F.length("source") * 0.18)))
-    ok_model, ok_struct = ~T.suspicious(F.col("source"), F.col("_m")), ~T.suspicious(F.col("source"), F.col("_s"))
+    ok_model, ok_struct = ~F.col("_m_bad"), ~F.col("_s_bad")
     route = F.when(ok_model, "ollama").when(ok_struct, "structured_fallback").when(accept, "section_dict").otherwise("fallback")
     value = F.when(ok_model, F.col("_m")).when(ok_struct, F.col("_s")).when(accept, F.col("_d")).otherwise(
         F.coalesce(F.nullif(F.col("_m"), F.lit("")), F.col("source")))
@@ -162,34 +140,32 @@ def resolve_pending(pending: DataFrame, model: Callable[[list[str]], list[str]]
 
 def quality_flags(source: Column, value: Column, own: Column) -> Column:
     """Flags of a finalised value, sorted: those of finalising, leftover Chinese, low quality."""
-    more = F.array_compact(F.array(F.when(T.has_cn(value), "contains_chinese"), F.when(T.suspicious(source, value), "low_quality")))
+    more = F.array_compact(F.array(F.when(T.has_cn(value), "contains_chinese"), F.when(T.unsound(source, value), "low_quality")))
     return F.array_sort(F.array_distinct(F.concat(F.coalesce(own, F.array().cast("array<string>")), more)))
 
 
-def translate(segments: DataFrame, arrays: DataFrame, glossary_rows: int, memory: DataFrame,
+def translate(segments: DataFrame, book: Book, memory: DataFrame,
               model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
     """segments(doc_id, seq, text) with section, text (cleaned), translated, translation_source, untranslated_chinese, qc_flags.
 
     The first row of a pending text carries the route's name, its repeats carry it with _duplicate.
     """
-    from loomtext.functions.glossary import with_terms
-    from loomtext.plans.runtime import cut
-
     section = T.detect_section(T.clean_source(F.col("text")))
     seg = segments.withColumn("section", F.when(section == "ПБ", "UNKNOWN").otherwise(section))
     texts = distinct_texts(seg)
-    routed = cut(fast_route(with_terms(texts, arrays, glossary_rows), memory).select("section", "source", "route", "translated", "flags"))
-    pending = with_terms(routed.where("route is null").select("section", "source"), arrays, glossary_rows)
-    slow = resolve_pending(pending, model).withColumn("flags", F.array().cast("array<string>")).withColumn("slow", F.lit(True))
-    done = with_terms(routed.where("route is not null").withColumn("slow", F.lit(False)).unionByName(slow), arrays, glossary_rows)
-    done = finalise(done, "source", "translated", "_f")
+    routed = cut(fast_route(texts, memory, book).select("section", "source", "route", "translated", "flags"))
+    pending = routed.where("route is null").select("section", "source")
+    slow = resolve_pending(pending, book, model).withColumn("flags", F.array().cast("array<string>")).withColumn("slow", F.lit(True))
+    done = routed.where("route is not null").withColumn("slow", F.lit(False)).unionByName(slow)
+    done = finalise(done, "source", "translated", "_f", book)
     is_pass = F.col("route") == "passthrough"
+    done = done.withColumn("_f", F.coalesce("_f", F.lit("")))
     flags = quality_flags(F.col("source"), F.col("_f"), F.concat(F.coalesce("flags", F.array().cast("array<string>")), F.col("_f_flags")))
-    done = done.select(
+    done = cut(done.select(
         "section", "source", "slow", "route", F.when(is_pass, F.col("source")).otherwise(F.col("_f")).alias("translated"),
         (~is_pass & F.col("_f_untranslated")).alias("untranslated_chinese"),
         F.when(is_pass, F.lit("")).otherwise(F.array_join(flags, ",")).alias("qc_flags"),
-    )
+    ))
     rows = seg.withColumn("source", T.clean_source(F.col("text"))).drop("text")
     first = rows.groupBy("section", "source").agg(F.min(F.struct("doc_id", "seq")).alias("first"))
     again = F.col("slow") & (F.struct("doc_id", "seq") != F.col("first"))
@@ -212,11 +188,9 @@ def upsert_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
     return memory.join(usable, key, "full").select(*key, F.coalesce("_new", "translated").alias("translated"))
 
 
-def domain_norm(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with out: text brought to the wording of design documents. Needs norm_terms of its section."""
-    from loomtext.functions.glossary import NORM_TERMS, literal_terms
-
-    d = df.withColumn(out, fold(F.coalesce(F.col(text), F.lit("")), literal_terms(NORM_TERMS))).withColumn(out, fold(F.col(out), F.col("norm_terms")))
+def domain_norm(df: DataFrame, text: str, out: str, book: Book) -> DataFrame:
+    """df(section, ...) with out: text brought to the wording of design documents."""
+    d = book.attach(df).withColumn(out, fold(F.coalesce(F.col(text), F.lit("")), literal_terms(NORM_TERMS))).withColumn(out, book.fold(F.col(out), "norm_terms"))
     n = r"(\p{Nd}+)"
     steps: list[tuple[str, str, bool]] = [
         (r"(?iuU)^также можно\b", "допускается", True), (r"(?iuU)^можно\b", "допускается", True), (r"(?iuU)\bне менее\b", "не менее", True),

@@ -10,17 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from loomtext.plans.translate import translate
+from loomtext.plans.translate import Book, translate
 
 SEGMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("text", T.StringType())])
 
 
-def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, arrays: DataFrame, glossary_rows: int, memory: DataFrame,
+def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, book: Book, memory: DataFrame,
           files_per_batch: int = 100) -> StreamingQuery:
     """Translates the segments of all files in folder, present and to come, once; stops when none is left."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        done = translate(batch, arrays, glossary_rows, memory)
+        done = translate(batch, book, memory)
         done.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # the same epoch again writes the same folder
 
     return (

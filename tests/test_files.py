@@ -80,11 +80,11 @@ def test_tables_and_stores(spark, tmp_path):
 
 def test_drop_folder(spark, tmp_path):
     g = spark.createDataFrame([("ALL", "通风", "вентиляция", "OK", 0)], "section string, cn string, ru string, status string, ord int")
-    arrays = G.term_arrays(spark, g).cache()
+    book = G.term_book(spark, g)
     memory = spark.createDataFrame([], "section string, source_text string, translated string")
     src = str(tmp_path / "in")
     spark.createDataFrame([(1, 0, "通风"), (1, 1, "DN5")], "doc_id bigint, seq bigint, text string").write.parquet(src)
-    watch(spark, src, str(tmp_path / "out"), str(tmp_path / "cp"), arrays, 1, memory).awaitTermination()
+    watch(spark, src, str(tmp_path / "out"), str(tmp_path / "cp"), book, memory).awaitTermination()
     spark.createDataFrame([(2, 0, "通风")], "doc_id bigint, seq bigint, text string").write.mode("append").parquet(src)
-    watch(spark, src, str(tmp_path / "out"), str(tmp_path / "cp"), arrays, 1, memory).awaitTermination()
+    watch(spark, src, str(tmp_path / "out"), str(tmp_path / "cp"), book, memory).awaitTermination()
     assert {(r["doc_id"], r["seq"]): r["translated"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 0): "вентиляция", (1, 1): "DN5", (2, 0): "вентиляция"}

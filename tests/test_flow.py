@@ -10,19 +10,25 @@ from loomtext.plans import learning as L
 from loomtext.plans import quality as Q
 from loomtext.plans import translate as R
 
+GLOSSARY_ROWS = [
+    ("ALL", "通风", "вентиляция", "OK", 0), ("ОВ", "通风", "вентиляция ОВ", "approved", 1), ("", "风管", "воздуховод", "ДА", 2), ("ALL", "阀", "клапан", "DRAFT", 3), ("ALL", None, "x", "OK", 4),
+]
 GLOSSARY = "section string, cn string, ru string, status string, ord int"
 
 
 @pytest.fixture(scope="module")
 def arrays(spark):
-    g = spark.createDataFrame([
-        ("ALL", "通风", "вентиляция", "OK", 0), ("ОВ", "通风", "вентиляция ОВ", "approved", 1), ("", "风管", "воздуховод", "ДА", 2), ("ALL", "阀", "клапан", "DRAFT", 3), ("ALL", None, "x", "OK", 4),
-    ], GLOSSARY)
+    g = spark.createDataFrame(GLOSSARY_ROWS, GLOSSARY)
     a = G.term_arrays(spark, g).cache()
     a.count()
     return a
 
 
+@pytest.fixture(scope="module", params=["along with tasks", "joined"])
+def book(request, arrays):
+    return G.TermBook(arrays.collect()) if request.param == "along with tasks" else G.JoinedTerms(arrays)
+
+
 def terms_of(arrays, section, column="terms"):
     return {t["k"]: t["v"] for t in arrays.where(F.col("section") == section).first()[column]}
 
@@ -73,9 +79,20 @@ PAIRS = [
 ]
 
 
-def test_finalise_like_plain_python(spark, arrays):
+def test_both_ways_order_terms_alike(spark, arrays):
+    g = spark.createDataFrame(GLOSSARY_ROWS, GLOSSARY)
+    b = spark.createDataFrame([("UNKNOWN", "通风", "x", 0), ("ОВ", "新词", "y", 0), ("ALL", "风管", "z", 1)], "section string, cn string, ru string, ord int")
+    for booster in (None, b):
+        small, rows = G.term_book(spark, g, booster), {r["section"]: r for r in G.term_arrays(spark, g, booster).collect()}
+        for section, kinds in small.rows.items():
+            for kind, terms in kinds.items():
+                assert terms == [(t["k"], t["v"]) for t in rows[section][kind]], (section, kind)
+    assert isinstance(G.term_book(spark, g, most=2), G.JoinedTerms)
+
+
+def test_finalise_like_plain_python(spark, arrays, book):
     rows = spark.createDataFrame([(i, "ОВ", a, b) for i, (a, b) in enumerate(PAIRS)], "i int, section string, s string, c string")
-    got = R.finalise(G.with_terms(rows, arrays, 10), "s", "c", "out").orderBy("i").collect()
+    got = R.finalise(rows, "s", "c", "out", book).orderBy("i").collect()
     terms, residual = terms_of(arrays, "ОВ"), terms_of(arrays, "ОВ", "residual_terms")
     for r, (a, b) in zip(got, PAIRS):
         b = re.sub(r"^\s*text\s*:\s*", "", b or "")
@@ -84,11 +101,11 @@ def test_finalise_like_plain_python(spark, arrays):
         assert ("needs_manual_review" in r["out_flags"]) == r["out_untranslated"]
 
 
-def test_translate_invariants(spark, arrays):
+def test_translate_invariants(spark, book):
     texts = ["DN300", "通风", "水泵 A", "水泵 A", "未知设备名称", "未知设备名称", "", None, "насос", "水泵 A"]
     seg = spark.createDataFrame([(1 + i % 2, i, t) for i, t in enumerate(texts)], "doc_id bigint, seq bigint, text string")
     memory = spark.createDataFrame([("UNKNOWN", "水泵 A", "Насос А")], "section string, source_text string, translated string")
-    out = {r["seq"]: r for r in R.translate(seg, arrays, 10, memory).collect()}
+    out = {r["seq"]: r for r in R.translate(seg, book, memory).collect()}
     assert len(out) == len(texts)
     assert out[0]["translation_source"] == "passthrough" and out[0]["translated"] == "DN300"
     assert out[2]["translation_source"] == "memory" == out[9]["translation_source"]
@@ -97,15 +114,15 @@ def test_translate_invariants(spark, arrays):
     assert all(r["untranslated_chinese"] == bool(re.search("[一-鿿]", r["translated"])) for r in out.values())
 
 
-def test_model_failures_mean_identity(spark, arrays):
-    p = G.with_terms(spark.createDataFrame([("UNKNOWN", "未知"), ("UNKNOWN", "某物")], "section string, source string"), arrays, 10)
+def test_model_failures_mean_identity(spark, book):
+    p = spark.createDataFrame([("UNKNOWN", "未知"), ("UNKNOWN", "某物")], "section string, source string")
 
     def broken(texts):
         raise RuntimeError("no service")
 
     assert {r["model_text"] for r in R.call_model(p, broken).collect()} == {"未知", "某物"}
     assert {r["model_text"] for r in R.call_model(p, lambda t: ["x"] * (len(t) + 1)).collect()} == {"未知", "某物"}
-    assert {r["route"] for r in R.resolve_pending(p, lambda t: ["Неизвестное изделие"] * len(t)).collect()} == {"ollama"}
+    assert {r["route"] for r in R.resolve_pending(p, book, lambda t: ["Неизвестное изделие"] * len(t)).collect()} == {"ollama"}
 
 
 def test_memory(spark):
@@ -123,9 +140,9 @@ def test_empty_metrics(spark):
     assert len(r) == 1 and r[0]["rows"] == 0 and r[0]["qc_flags"] == ""
 
 
-def test_norm(spark, arrays):
-    rows = G.with_terms(spark.createDataFrame([("UNKNOWN", "входные двери цеха"), ("UNKNOWN", "диаметр ф 20, 300x200, h 5 mm"), ("UNKNOWN", None)], "section string, t string"), arrays, 10)
-    got = [r["n"] for r in R.domain_norm(rows, "t", "n").collect()]
+def test_norm(spark, book):
+    rows = spark.createDataFrame([("UNKNOWN", "входные двери цеха"), ("UNKNOWN", "диаметр ф 20, 300x200, h 5 mm"), ("UNKNOWN", None)], "section string, t string")
+    got = [r["n"] for r in R.domain_norm(rows, "t", "n", book).collect()]
     assert "Вход в цех" in got and "Диаметр Ø20, 300×200, h 5 мм" in got and "" in got
 
 
@@ -147,12 +164,12 @@ def test_learning_is_idempotent(spark):
     assert {r["cn"]: r["status"] for r in marked.collect()}["通风系统"] == "APPROVED"
 
 
-def test_review_without_model(spark, arrays):
-    rows = G.with_terms(spark.createDataFrame([(1, "ОВ", "通风 5", "вентиляция 5", False, ""), (2, "ОВ", "通风 5", "вентиляция", False, ""), (3, "ОВ", None, None, None, None)],
-                                              "row_id bigint, section string, text string, translated string, untranslated_chinese boolean, qc_flags string"), arrays, 10)
-    got = {r["row_id"]: (r["llm_validation_status"], r["llm_validation_notes"]) for r in Q.review(rows).collect()}
+def test_review_without_model(spark, book):
+    rows = spark.createDataFrame([(1, "ОВ", "通风 5", "вентиляция 5", False, ""), (2, "ОВ", "通风 5", "вентиляция", False, ""), (3, "ОВ", None, None, None, None)],
+                                              "row_id bigint, section string, text string, translated string, untranslated_chinese boolean, qc_flags string")
+    got = {r["row_id"]: (r["llm_validation_status"], r["llm_validation_notes"]) for r in Q.review(rows, book).collect()}
     assert got == {1: ("SKIP", ""), 2: ("CHECKED", "request_failed"), 3: ("CHECKED", "request_failed")}
-    fixed = {r["row_id"]: r["llm_validation_status"] for r in Q.review(rows, lambda t: ["вентиляция 5 шт"] * len(t)).collect()}
+    fixed = {r["row_id"]: r["llm_validation_status"] for r in Q.review(rows, book, lambda t: ["вентиляция 5 шт"] * len(t)).collect()}
     assert fixed[2] == "EDITED"
 
 
