@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from loomtext.functions.text import CN, FULL_WIDTH, FULL_WIDTH_TO, WS, normalise_punctuation, status_approved, strip
+from loomtext.functions.text import bound, CN, FULL_WIDTH, FULL_WIDTH_TO, WS, normalise_punctuation, status_approved, strip
 
 SECTIONS = ["ТХ", "ОВ", "ВК", "ЭОМ", "КЖ", "АР", "UNKNOWN"]
 #: Glossaries up to this many rows are broadcast; larger ones are joined.
@@ -125,8 +125,16 @@ def literal_terms(terms: dict[str, str], longest_first: bool = True) -> Column:
 def fold(c: Column, terms: Column) -> Column:
     """All terms replaced in turn. Chinese keys that don't occur in c are left out beforehand: since no
     replacement adds ideographs where the flag cn is set, such a key can't come up later either."""
-    near = F.filter(terms, lambda t: ~t["cn"] | F.contains(c, t["k"]))
-    return F.aggregate(near, c, lambda acc, t: F.replace(acc, t["k"], t["v"]))
+    def replaced(v: Column) -> Column:
+        near = F.filter(terms, lambda t: ~t["cn"] | F.contains(v, t["k"]))
+        return F.aggregate(near, v, lambda acc, t: F.replace(acc, t["k"], t["v"]))
+
+    return bound(c, replaced)
+
+
+def fold_fixed(c: Column, terms: dict[str, str], longest_first: bool = True) -> Column:
+    """A short fixed vocabulary replaced in turn, longest first or in the order given."""
+    return F.aggregate(literal_terms(terms, longest_first), c, lambda acc, t: F.replace(acc, t["k"], t["v"]))
 
 
 def fold_runs(c: Column, terms: Column, whole: bool = False) -> Column:

@@ -148,11 +148,17 @@ def detect_section(c: Column) -> Column:
     return out.otherwise("UNKNOWN")
 
 
+def bound(c: Column, fn) -> Column:
+    """fn of c, with c computed once; inside the lambda of an array function it would be computed for each element."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def missing_numbers(source: Column, target: Column) -> Column:
     """Numbers of source, repeats kept, that target lacks."""
     pattern = F.lit(r"\p{Nd}+(?:[.,]\p{Nd}+)?")
     have = F.regexp_extract_all(F.coalesce(target, F.lit("")), pattern, 0)
-    return F.filter(F.regexp_extract_all(F.coalesce(source, F.lit("")), pattern, 0), lambda x: ~F.array_contains(have, x))
+    want = F.regexp_extract_all(F.coalesce(source, F.lit("")), pattern, 0)
+    return bound(have, lambda h: F.filter(want, lambda x: ~F.array_contains(h, x)))
 
 
 def clip(c: Column, limit: int = 420) -> Column:
@@ -305,7 +311,10 @@ def _spot(i: Column, mid: Column, rank: int, kept: int) -> Column:
 
 def split_two_lines(c: Column, least: int = 42) -> Column:
     """A long single line broken once, at the separator nearest its middle, or else the nearest space."""
-    v = strip(c)
+    return bound(strip(c), lambda v: _two_lines(v, least))
+
+
+def _two_lines(v: Column, least: int) -> Column:
     mid = F.floor(F.length(v) / 2)
 
     def spots(separators: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.functions.glossary import FILE_NAME_TERMS, fold, literal_terms
+from loomtext.functions.glossary import FILE_NAME_TERMS, fold_fixed
 
 
 def last_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -58,7 +58,7 @@ def clean_file_name(c) -> object:
 def rename_plan(files: DataFrame) -> DataFrame:
     """(path, new_name, depth) for paths whose last part is Chinese and changes; deepest first, so no rename breaks another."""
     base = F.regexp_extract("path", r"([^/]*)$", 1)
-    new = clean_file_name(fold(base, literal_terms(FILE_NAME_TERMS, longest_first=False)))
+    new = clean_file_name(fold_fixed(base, FILE_NAME_TERMS, longest_first=False))
     d = files.select("path", base.alias("name"), new.alias("new_name"), T.chars(F.col("path"), "/").alias("depth"))
     return d.where(T.has_cn(F.col("name")) & (F.col("new_name") != F.col("name")) & (F.col("new_name") != "")).select("path", "new_name", "depth").orderBy(F.desc("depth"), "path")
 

@@ -59,11 +59,11 @@ def structured_translate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cad_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "dxf_records").select("rec_id", G.fold(F.coalesce("text", F.lit("")), G.literal_terms(G.CAD_TERMS, longest_first=False)).alias("by_terms"))
+    return table(spark, d, "dxf_records").select("rec_id", G.fold_fixed(F.coalesce("text", F.lit("")), G.CAD_TERMS, longest_first=False).alias("by_terms"))
 
 
 def document_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "translated_sample").select("row_id", G.fold(F.col("text"), G.literal_terms(G.DOCUMENT_TERMS, longest_first=False)).alias("by_terms"))
+    return table(spark, d, "translated_sample").select("row_id", G.fold_fixed(F.col("text"), G.DOCUMENT_TERMS, longest_first=False).alias("by_terms"))
 
 
 def finalised(spark: SparkSession, d: str) -> DataFrame:

@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for steps that compute much on few bytes; a number given by hand isn't coalesced again."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
 def with_columns_or_null(df: DataFrame, columns: dict[str, T.DataType]) -> DataFrame:
     """Select exactly the given columns; one that is absent becomes null of its type."""
     from pyspark.sql import functions as F

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.functions.glossary import CAD_TERMS, NORM_TERMS, JoinedTerms, TermBook, fold, literal_terms
-from loomtext.plans.runtime import cut
+from loomtext.functions.glossary import CAD_TERMS, NORM_TERMS, JoinedTerms, TermBook, fold_fixed
+from loomtext.plans.runtime import cut, spread
 
 Book = TermBook | JoinedTerms
 
@@ -50,7 +50,8 @@ def good_by_terms(source: Column, candidate: Column) -> Column:
 def distinct_texts(segments: DataFrame) -> DataFrame:
     """(section, text_hash, source) once each; source is the cleaned text. Hot texts cost a row per task."""
     cleaned = segments.select("section", T.clean_source(F.col("text")).alias("source"))
-    return cleaned.groupBy("section", "source").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("text_hash", F.sha1(F.encode("source", "utf-8")))
+    once = cleaned.groupBy("section", "source").agg(F.count(F.lit(1)).alias("n_rows"))
+    return spread(once).withColumn("text_hash", F.sha1(F.encode("source", "utf-8")))
 
 
 def fast_route(texts: DataFrame, memory: DataFrame, book: Book) -> DataFrame:
@@ -125,7 +126,7 @@ def resolve_pending(pending: DataFrame, book: Book, model: Callable[[list[str]],
     d = finalise(d.withColumn("_m0", book.fold(book.fold(F.col("model_text"), "terms"), "norm_terms")), "source", "_m0", "_m", book)
     d = finalise(d.withColumn("_s0", book.fold_runs(F.col("source"), "terms")), "source", "_s0", "_s", book)
     d = d.withColumn("_d0", book.fold(F.col("source"), "terms"))
-    d = d.withColumn("_d0", fold(F.col("_d0"), literal_terms(CAD_TERMS, longest_first=False)))
+    d = d.withColumn("_d0", fold_fixed(F.col("_d0"), CAD_TERMS, longest_first=False))
     d = finalise(d, "source", "_d0", "_d", book)
     d = d.select("section", "source", "_m", "_s", "_d", *[T.unsound(F.col("source"), F.col(c)).alias(f"{c}_bad") for c in ("_m", "_s", "_d")])
     d = d.withColumn("_share", T.word_share(F.col("_d")))
@@ -190,7 +191,7 @@ def upsert_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
 
 def domain_norm(df: DataFrame, text: str, out: str, book: Book) -> DataFrame:
     """df(section, ...) with out: text brought to the wording of design documents."""
-    d = book.attach(df).withColumn(out, fold(F.coalesce(F.col(text), F.lit("")), literal_terms(NORM_TERMS))).withColumn(out, book.fold(F.col(out), "norm_terms"))
+    d = book.attach(df).withColumn(out, fold_fixed(F.coalesce(F.col(text), F.lit("")), NORM_TERMS)).withColumn(out, book.fold(F.col(out), "norm_terms"))
     n = r"(\p{Nd}+)"
     steps: list[tuple[str, str, bool]] = [
         (r"(?iuU)^также можно\b", "допускается", True), (r"(?iuU)^можно\b", "допускается", True), (r"(?iuU)\bне менее\b", "не менее", True),
