@@ -334,6 +334,7 @@ class TermBook:
 
 CN_RE, CN_RUN = re.compile(CN), re.compile(f"{CN}+")
 UNIT_RE = re.compile(r"(\d+(?:[.,]\d+)?)\s*([" + "".join(UNITS) + "])")
+# The spacing rules of normalise_punctuation and their order.
 SPACING = [(re.compile(a), b) for a, b in (
     (r"\s+", " "), (r"\( +", "("), (r" +\)", ")"), (r" *([:;,]) *", r"\1 "), (r" *\. *", ". "), (r" *\+ *", " + "), (r"(?<=\d)([А-Яа-яЁёA-Za-z(])", r" \1"),
     (r"(?<=[А-Яа-яЁё])(?=\d)", " "), (r" +", " "), (r" +([,.;:)])", r"\1"),

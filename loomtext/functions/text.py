@@ -80,6 +80,7 @@ def cyrillic_share(c: Column) -> Column:
 def normalise_punctuation(c: Column) -> Column:
     """Half-width signs with one style of spacing around them, and numbers set apart from words."""
     v = F.translate(F.coalesce(c, F.lit("")), FULL_WIDTH + "_", FULL_WIDTH_TO + " ")
+    # fixed values: the spacing rules and their order
     steps = [
         (f"{WS}+", " "), (r"\( +", "("), (r" +\)", ")"), (r" *([:;,]) *", "$1 "), (r" *\. *", ". "), (r" *\+ *", " + "),
         (r"(?<=\p{Nd})([А-Яа-яЁёA-Za-z])", " $1"), (r"(?<=\p{Nd})(\()", " $1"), (r"(?<=[А-Яа-яЁё])(?=\p{Nd})", " "),

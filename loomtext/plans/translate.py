@@ -193,6 +193,7 @@ def domain_norm(df: DataFrame, text: str, out: str, book: Book) -> DataFrame:
     """df(section, ...) with out: text brought to the wording of design documents."""
     d = book.attach(df).withColumn(out, fold_fixed(F.coalesce(F.col(text), F.lit("")), NORM_TERMS)).withColumn(out, book.fold(F.col(out), "norm_terms"))
     n = r"(\p{Nd}+)"
+    # fixed values: the wording rules of design documents, in the order in which they build on one another
     steps: list[tuple[str, str, bool]] = [
         (r"(?iuU)^также можно\b", "допускается", True), (r"(?iuU)^можно\b", "допускается", True), (r"(?iuU)\bне менее\b", "не менее", True),
         ("[φΦфФ]", "Ø", True), (rf"DN{T.WS}*?{n}", "DN$1", True), (rf"{n}{T.WS}*[xхXХ]{T.WS}*{n}", "$1×$2", True),
