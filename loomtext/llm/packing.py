@@ -31,6 +31,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SHARD_ITEMS, ROUNDS, FINAL_FILL = 20_000, 3, 0.995
 #: Containers of a neighbourhood that the search for exchanges looks at, and its passes.
 NEIGHBOURS, PASSES = 40, 6
+MAX_PARTITIONS = 20_000
 
 
 @lru_cache(4)
@@ -178,7 +179,8 @@ def pack_documents(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         shards = max(1, -(-n // SHARD_ITEMS))
         last = level == ROUNDS - 1 or shards == 1
         spread = F.pmod(F.xxhash64("doc_id", "start_token", "n_tokens", F.lit(level)), F.lit(shards))
-        packed = cut(todo.withColumn("shard", spread).groupBy("shard").applyInPandas(
+        # so many partitions by hand, else the few bytes of all shards would be put into one task
+        packed = cut(todo.withColumn("shard", spread).repartition(min(shards, MAX_PARTITIONS), "shard").groupBy("shard").applyInPandas(
             _pack_shard(capacity, level), "container_id string, doc_id bigint, start_token bigint, n_tokens bigint, fill bigint"
         ))
         final = packed if last else packed.where(F.col("fill") >= FINAL_FILL * capacity)
