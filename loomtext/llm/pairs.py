@@ -74,34 +74,39 @@ MIN_SHARE = 1e-6
 LANGUAGE_MARGIN = 0.12
 
 
-def trigrams(text: str) -> list[str]:
-    t = CODE.sub(" ", text)
-    out = []
-    for w in WORD.findall(t):
-        w = w.lower()
-        if HAN.search(w):
-            out += ["h" + c for c in w if HAN.match(c)]
-        else:
-            p = f" {w} "
-            out += [p[i : i + 3] for i in range(len(p) - 2)]
-    return out
+def word_grams(word: str) -> list[str]:
+    """Trigrams of a lower-cased word with its edges; of an ideographic one its characters."""
+    if HAN.search(word):
+        return ["h" + c for c in word if HAN.match(c)]
+    p = f" {word} "
+    return [p[i : i + 3] for i in range(len(p) - 2)]
+
+
+def plain_words(text: str) -> list[str]:
+    return WORD.findall(CODE.sub(" ", text).lower())
+
+
+def n_letters(text: str) -> int:
+    return sum(map(len, WORD.findall(text)))
+
+
+CYR, LAT = re.compile("[а-ӿ]"), re.compile("[a-zà-ɏ]")
 
 
-def sure_language(text: str) -> str | None:
-    """The language where the letters alone settle it."""
-    low = text.lower()
-    n = Counter("han" if HAN.match(c) else "cyr" if "а" <= c <= "ӿ" else "lat" for c in CODE.sub(" ", low) if c.isalpha())
-    if not n:
+def sure_language(words: list[str]) -> str | None:
+    """The language where the letters of the words alone settle it."""
+    low = "".join(words)
+    if not low:
         return None
-    top = n.most_common(1)[0][0]
-    if top == "han":
-        return "zh"
-    if top == "lat":
-        return "en" if n["lat"] >= 12 else None
+    han, cyr, lat = len(HAN.findall(low)), len(CYR.findall(low)), len(LAT.findall(low))
+    if han >= max(cyr, lat):
+        return "zh" if han else None
+    if lat > cyr:
+        return "en" if lat >= 12 else None
     for lang, letters in OWN_LETTERS.items():
-        if sum(low.count(c) for c in letters) >= 2:
+        if sum(map(low.count, letters)) >= 2:
             return lang
-    return "ru" if n["cyr"] >= 4 and n["han"] == 0 else None
+    return "ru" if cyr >= 4 and not han else None
 
 
 def end_tokens(text: str) -> list[str]:
@@ -110,29 +115,37 @@ def end_tokens(text: str) -> list[str]:
 
 def count_pairs(targets: list[str], sources: list[str]) -> Counter:
     """Trigrams by language (l), uses and ends of words (u, e) and of pairs (U, E), letters per ideograph (r)."""
+    by_language: dict[str, Counter] = defaultdict(Counter)
+    uses, pairs, ends, last = Counter(), Counter(), Counter(), Counter()
     out: Counter = Counter()
     for target, source in zip(targets, sources):
         if not target:
             continue
-        lang = sure_language(target)
+        words = plain_words(target)
+        lang = sure_language(words)
         if lang:
-            for g in trigrams(target):
-                out[f"l{lang}\t{g}"] += 1
+            by_language[lang].update(words)
         if lang == "ru" and HAN.search(source or ""):
             t = end_tokens(target)
-            for i, w in enumerate(t):
-                out["u" + w] += 1
-                if i:
-                    out[f"U{t[i - 1]}\t{w}"] += 1
+            uses.update(t)
+            pairs.update(zip(t, t[1:]))
             if t:
-                out["e" + t[-1]] += 1
+                ends[t[-1]] += 1
             if len(t) > 1:
-                out[f"E{t[-2]}\t{t[-1]}"] += 1
+                last[t[-2], t[-1]] += 1
             han = len(HAN.findall(source))
             if han >= LONG:
                 out["rlong"] += 1
-                out["rletters"] += sum(c.isalpha() for c in target)
+                out["rletters"] += n_letters(target)
                 out["rhan"] += han
+    for lang, counted in by_language.items():
+        for w, n in counted.items():
+            for g in word_grams(w):
+                out[f"l{lang}\t{g}"] += n
+    for kind, counted in (("u", uses), ("e", ends)):
+        out.update({kind + w: n for w, n in counted.items()})
+    for kind, counted in (("U", pairs), ("E", last)):
+        out.update({f"{kind}{a}\t{b}": n for (a, b), n in counted.items()})
     return out
 
 
@@ -165,12 +178,15 @@ class Judge:
         self.usual = counts.get("rletters", 0.0) / counts["rhan"] if counts.get("rhan") else 0.0
         grams: dict[str, Counter] = defaultdict(Counter)
         for lang, text in SEEDS.items():
-            for g in trigrams(text):
-                grams[lang][g] += 3
+            for w in plain_words(text):
+                for g in word_grams(w):
+                    grams[lang][g] += 3
         for k, n in counts.items():
             if k[0] == "l":
                 lang, g = k[1:].split("\t", 1)
                 grams[lang][g] += n
+        self.languages = sorted(grams)
+        self.scores: dict[str, tuple[int, list[float]]] = {}
         self.vocabulary = len({g for c in grams.values() for g in c}) or 1
         # relative frequencies, so that a language with few rows isn't drowned by its size
         self.log: dict[str, dict[str, float]] = {}
@@ -180,15 +196,28 @@ class Judge:
             self.log[lang] = {g: math.log((n + 0.1) / total) for g, n in c.items()}
             self.floor[lang] = math.log(0.1 / total)
 
-    def posterior(self, text: str) -> tuple[str, float]:
+    def word_score(self, word: str) -> tuple[int, list[float]]:
+        """Number of trigrams and log-likelihood by language of a word; words repeat, so this is kept."""
+        hit = self.scores.get(word)
+        if hit is None:
+            if len(self.scores) > 200_000:
+                self.scores.clear()
+            g, floor = word_grams(word), min(self.floor.values())
+            hit = self.scores[word] = (len(g), [sum(self.log[lang].get(x, floor) for x in g) for lang in self.languages])
+        return hit
+
+    def posterior(self, words: list[str]) -> tuple[str, float]:
         """(most likely language, its lead over Russian in nats per trigram)."""
-        g = trigrams(text)
-        if not g:
+        n, total = 0, [0.0] * len(self.languages)
+        for w, times in Counter(words).items():
+            k, score = self.word_score(w)
+            n += k * times
+            for i, x in enumerate(score):
+                total[i] += x * times
+        if not n:
             return "", 0.0
-        floor = min(self.floor.values())
-        score = {lang: sum(self.log[lang].get(x, floor) for x in g) / len(g) for lang in self.log}
-        best = max(score, key=score.__getitem__)
-        return best, score[best] - score["ru"]
+        best = max(range(len(total)), key=total.__getitem__)
+        return self.languages[best], (total[best] - total[self.languages.index("ru")]) / n
 
     def wrong_language(self, source: str, target: str) -> bool:
         words = [w for w in WORD.findall(CODE.sub(" ", target)) if len(w) > 1 or HAN.match(w)]
@@ -196,7 +225,7 @@ class Judge:
             return False
         if not HAN.search(source) and not any(len(w) >= 4 and w.islower() and w not in source.lower() for w in words):
             return False
-        lang, lead = self.posterior(target)
+        lang, lead = self.posterior([w.lower() for w in WORD.findall(CODE.sub(" ", target))])
         return lang not in ("", "ru") and lead > LANGUAGE_MARGIN
 
     def truncated(self, source: str, target: str) -> bool:
@@ -210,7 +239,7 @@ class Judge:
         if target.count("«") > target.count("»"):
             return True
         han = len(HAN.findall(source))
-        if han >= LONG and sum(c.isalpha() for c in target) < SHORT * self.usual * han:
+        if han >= LONG and n_letters(target) < SHORT * self.usual * han:
             return True
         t = end_tokens(end)
         if not t or t[-1] in ".!?)":
