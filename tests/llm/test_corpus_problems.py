@@ -152,3 +152,11 @@ def test_trie_gives_all_words_within_the_distance():
 
 def test_reflow():
     assert pagenoise.reflow("a\nb\n\n\nc") == "a b\n\nc" and pagenoise.reflow("水\n泵") == "水泵"
+
+
+def test_weighted_automaton_gives_all_readings():
+    words = ["замечание", "технадзора", "minutes", "remains", "modern", "под", "насос", "closed", "schedule"]
+    trie = pagenoise.Trie(words)
+    for token in ("заме4ание", "тсхнад3ора", "rninutes", "rernains", "п0д", "иасос", "c1osccl", "modem", "scheclule", "wxyz", ""):
+        want = {w: round(pagenoise.scan_cost(w, token), 6) for w in words if pagenoise.scan_cost(w, token) <= pagenoise.MOST}
+        assert {w: round(c, 6) for c, w in trie.readings(token, pagenoise.MOST)} == want, token
