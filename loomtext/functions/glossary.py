@@ -249,10 +249,13 @@ class JoinedTerms:
         return fold_runs(c, F.col(kind), whole=True)
 
     def tidy(self, c: Column) -> Column:
-        """Punctuation, units, known terms anywhere and then inside what Chinese is left."""
+        """Punctuation, units, known terms anywhere and then inside what Chinese is left.
+
+        Punctuation is normalised twice at both ends, since once isn't always enough to settle it.
+        """
         res = F.col("residual_terms")
-        v = fold(units(normalise_punctuation(c), res), res)
-        return normalise_punctuation(fold_runs(units(normalise_punctuation(v), res), res))
+        v = fold(units(normalise_punctuation(normalise_punctuation(c)), res), res)
+        return normalise_punctuation(normalise_punctuation(fold_runs(units(normalise_punctuation(v), res), res)))
 
     def rebuild(self, c: Column) -> Column:
         return self.tidy(self.fold_runs(c, "terms"))
@@ -356,8 +359,8 @@ def _tidy(book: TermBook, text: str, section: str) -> str:
     def unit(t: str) -> str:
         return UNIT_RE.sub(lambda m: f"{m[1]} {terms.known.get(m[2], m[2])}", t)
 
-    text = terms.fold(unit(plain_punctuation(text)))
-    return plain_punctuation(terms.fold_runs(unit(plain_punctuation(text))))
+    text = terms.fold(unit(plain_punctuation(plain_punctuation(text))))
+    return plain_punctuation(plain_punctuation(terms.fold_runs(unit(plain_punctuation(text)))))
 
 
 def term_book(spark: SparkSession, glossary: DataFrame, booster: DataFrame | None = None, most: int = MAX_BROADCAST_TERMS) -> TermBook | JoinedTerms:

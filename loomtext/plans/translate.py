@@ -27,12 +27,12 @@ def finalise(df: DataFrame, source: str, candidate: str, out: str, book: Book) -
     """
     d = book.attach(df).withColumns({
         "_src": T.normalise_punctuation(T.strip(F.coalesce(F.col(source), F.lit("")))),
-        "_val": book.tidy(T.normalise_punctuation(T.strip_prompt(F.col(candidate)))),
+        "_val": book.tidy(T.strip_prompt(F.col(candidate))),
     })
     thin = (F.col("_val") == "") | F.col("_val").rlike(T.PUNCT_ONLY_WIDE) | (T.structurally_dense(F.col("_src")) & (T.tokens(F.col("_val")) < 3))
     d = d.withColumn("_re", book.rebuild(F.when(thin, F.col("_src"))))
     better = F.col("_re").isNotNull() & (T.tokens(F.col("_re")) > T.tokens(F.col("_val")))
-    d = d.withColumn(out, T.normalise_punctuation(F.when(better, F.col("_re")).otherwise(F.col("_val"))))
+    d = d.withColumn(out, F.when(better, F.col("_re")).otherwise(F.col("_val")))
     v = F.col(out)
     left = T.has_cn(v)
     flags = F.array_compact(F.array(
@@ -123,12 +123,17 @@ def call_model(pending: DataFrame, model: Callable[[list[str]], list[str]] | Non
 def resolve_pending(pending: DataFrame, book: Book, model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
     """pending(section, source) with translated and route of the slow path."""
     d = book.attach(call_model(pending, model))
-    d = finalise(d.withColumn("_m0", book.fold(book.fold(F.col("model_text"), "terms"), "norm_terms")), "source", "_m0", "_m", book)
-    d = finalise(d.withColumn("_s0", book.fold_runs(F.col("source"), "terms")), "source", "_s0", "_s", book)
+
+    def judged(d: DataFrame, name: str) -> DataFrame:
+        """d with the finalised name and whether it is unsound; each judged beside its own Arrow step, so that no
+        generated method holds the tests of all three."""
+        d = finalise(d, "source", f"{name}0", name, book).drop(f"{name}0", f"{name}_untranslated", f"{name}_flags")
+        return d.withColumn(f"{name}_bad", T.unsound(F.col("source"), F.col(name)))
+
+    d = judged(d.withColumn("_m0", book.fold(book.fold(F.col("model_text"), "terms"), "norm_terms")), "_m")
+    d = judged(d.withColumn("_s0", book.fold_runs(F.col("source"), "terms")), "_s")
     d = d.withColumn("_d0", book.fold(F.col("source"), "terms"))
-    d = d.withColumn("_d0", fold_fixed(F.col("_d0"), CAD_TERMS, longest_first=False))
-    d = finalise(d, "source", "_d0", "_d", book)
-    d = d.select("section", "source", "_m", "_s", "_d", *[T.unsound(F.col("source"), F.col(c)).alias(f"{c}_bad") for c in ("_m", "_s", "_d")])
+    d = judged(d.withColumn("_d0", fold_fixed(F.col("_d0"), CAD_TERMS, longest_first=False)), "_d")
     d = d.withColumn("_share", T.word_share(F.col("_d")))
     accept = ~F.col("_d_bad") & (F.col("_share") >= 0.35) & ~((F.col("section") == "UNKNOWN") & (F.col("_share") < 0.5)) & (
         F.length("_d") >= F.greatest(F.lit(4), F.floor(F.length("source") * 0.18)))
@@ -156,7 +161,7 @@ def translate(segments: DataFrame, book: Book, memory: DataFrame,
     texts = distinct_texts(seg)
     routed = cut(fast_route(texts, memory, book).select("section", "source", "route", "translated", "flags"))
     pending = routed.where("route is null").select("section", "source")
-    slow = resolve_pending(pending, book, model).withColumn("flags", F.array().cast("array<string>")).withColumn("slow", F.lit(True))
+    slow = cut(resolve_pending(pending, book, model)).withColumn("flags", F.array().cast("array<string>")).withColumn("slow", F.lit(True))
     done = routed.where("route is not null").withColumn("slow", F.lit(False)).unionByName(slow)
     done = finalise(done, "source", "translated", "_f", book)
     is_pass = F.col("route") == "passthrough"
