@@ -63,7 +63,7 @@ REFUSAL_TAILS = re.compile(r"пришлите больше контекста|п
 
 HAN = re.compile(r"[㐀-鿿]")
 WORD = re.compile(r"[^\W\d_]+")
-CODE = re.compile(r"[^\W_]*\d[^\W_]*(?:[-.·/×*][^\W_]+)*|\b[A-Z]{1,5}\b(?:[-.]\d[\w.-]*)?")
+CODE = re.compile(r"(?<![^\W_])(?=[^\W\d_]*\d)[^\W_]+(?:[-.·/×*][^\W_]+)*|\b[A-Z]{1,5}\b(?:[-.]\d[\w.-]*)?")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[.…»)!?:;]")
 #: A pair of last words ends a text less often than END_PAIR of its uses, or a last word less than END_WORD: truncated.
 END_PAIR, END_WORD, MIN_USES = 0.004, 0.0015, 12
@@ -220,12 +220,13 @@ class Judge:
         return self.languages[best], (total[best] - total[self.languages.index("ru")]) / n
 
     def wrong_language(self, source: str, target: str) -> bool:
-        words = [w for w in WORD.findall(CODE.sub(" ", target)) if len(w) > 1 or HAN.match(w)]
+        every = WORD.findall(CODE.sub(" ", target))
+        words = [w for w in every if len(w) > 1 or HAN.match(w)]
         if sum(map(len, words)) < 3 and not any(HAN.match(w) for w in words):
             return False
         if not HAN.search(source) and not any(len(w) >= 4 and w.islower() and w not in source.lower() for w in words):
             return False
-        lang, lead = self.posterior([w.lower() for w in WORD.findall(CODE.sub(" ", target))])
+        lang, lead = self.posterior([w.lower() for w in every])
         return lang not in ("", "ru") and lead > LANGUAGE_MARGIN
 
     def truncated(self, source: str, target: str) -> bool:
@@ -257,7 +258,7 @@ class Judge:
             return "empty"
         source = source or ""
         flat = re.sub(r"\s+", " ", target.lower())
-        tight = re.sub(r"(?<=[㐀-鿿])\s+(?=[㐀-鿿])", "", flat)
+        tight = re.sub(r"(?<=[㐀-鿿])\s+(?=[㐀-鿿])", "", flat) if HAN.search(flat) else flat
         if REFUSALS.search(tight) and not REFUSALS.search(re.sub(r"\s+", "", source.lower())) or REFUSAL_TAILS.search(tight):
             return "refusal"
         if copied and HAN.search(source):
