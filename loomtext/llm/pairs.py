@@ -1,8 +1,8 @@
 """Problem 4: defective pairs of a source text and its translation.
 
-Defects, in this order: empty, refusal, copied, wrong_language, truncated. The language of both sides is
+Defects, in this order: empty, refusal, copied, wrong_language, truncated. The language of the translation is
 judged by a character-trigram naive Bayes model, trained on seed sentences and on the table's own rows where
-their letters leave no doubt. Truncation is flagged by the likelihood that a text ends after its last words,
+their letters leave no doubt; of the source it counts only whether it holds ideographs, whose language is plain. Truncation is flagged by the likelihood that a text ends after its last words,
 counted over all rows, by numbers of the source that are missing, and by a far too short rendering.
 """
 
