@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import glossary as G
@@ -78,11 +78,14 @@ def domain_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _routed(spark: SparkSession, d: str) -> DataFrame:
-    s = T.detect_section(T.clean_source(F.col("text")))
-    seg = table(spark, d, "translated_sample").select(F.when(s == "ПБ", "UNKNOWN").otherwise(s).alias("section"), "text")
-    # the memory knows every third text only, so that all routes occur
-    memory = R.clean_memory(_memory(spark, d)).where(F.pmod(F.length("source_text"), F.lit(3)) == 0)
-    m = memory.groupBy("source_text").agg(F.min("translated").alias("translated")).withColumn("section", F.lit("UNKNOWN"))
+    def routed_section(source: Column) -> Column:
+        s = T.detect_section(source)
+        return F.when(s == "ПБ", "UNKNOWN").otherwise(s)
+
+    seg = table(spark, d, "translated_sample").select(routed_section(T.clean_source(F.col("text"))).alias("section"), "text")
+    # the section follows from the text, of the memory's entries as of the segments
+    memory = R.clean_memory(_memory(spark, d)).groupBy("source_text").agg(F.min("translated").alias("translated"))
+    m = memory.withColumn("section", routed_section(F.col("source_text")))
     return R.fast_route(R.distinct_texts(seg), m, _book(spark, d))
 
 

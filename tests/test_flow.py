@@ -180,3 +180,21 @@ def test_batch_report_isolates_errors(spark):
     got = {r["doc_id"]: r for r in Q.batch_report(files, tr, rep).collect()}
     assert got[1]["status"] == "WARN" and got[1]["issues"] == "i0; i1; i2; i3; i4" and got[1]["rows"] == 2
     assert got[2]["status"] == "ERROR" and got[2]["issues"] == "bad zip" and got[3]["status"] == "OK"
+
+
+def test_routing_uses_the_whole_memory(spark, tmp_path):
+    """Entries of the memory hit whatever the length of their text, and the other routes occur beside them."""
+    from loomtext.plans import queries_flow as flow
+
+    known = [("水泵", "насос водяной"), ("循环泵", "насос циркуляционный"), ("循环水泵", "насос циркуляционной воды"), ("离心循环泵", "насос центробежный"), ("暖通风管设计说明", "пояснения к воздуховодам")]
+    other = [("DN300", None), ("通风", None), ("阀门5号井", None), ("未知设备名称", None), ("未知设备名称", None)]
+    rows = [(i, "ОВ", a, b) for i, (a, b) in enumerate(known + other)]
+    spark.createDataFrame(rows, "row_id bigint, section string, text string, translated string").write.parquet(f"{tmp_path}/translated_sample.parquet")
+    terms = [("ALL", "通风", "вентиляция", "OK", 0, "", ""), ("ALL", "阀门5号井", "колодец задвижки", "OK", 1, "", "")]
+    spark.createDataFrame(terms, GLOSSARY + ", standard_ref string, note string").write.parquet(f"{tmp_path}/approved_terms.parquet")
+    got = {r["source"]: r["route"] for r in flow.fast_route(spark, str(tmp_path)).collect()}
+    assert got == {a: "memory" for a, _ in known} | {"DN300": "passthrough", "通风": "structured_dict", "阀门5号井": "structured_dict", "未知设备名称": None}
+    n = {}
+    for r in flow.routing_summary(spark, str(tmp_path)).collect():
+        n[r["route"]] = n.get(r["route"], 0) + r["n_rows"]
+    assert n == {"memory": 5, "passthrough": 1, "structured_dict": 2, "pending": 2}
