@@ -3,11 +3,9 @@
 Similarity is the Jaccard coefficient of the sets of three-character shingles of the lower-cased text
 without white space. Each block is sketched by one-permutation hashing: one hash per shingle, its bins
 hold minima, and empty bins borrow from a random non-empty bin by optimal densification. Bands of bins,
-together with a grid cell of the page, name buckets. A bucket gives edges to its smallest and largest id
-(a double star), so the number of candidates is linear in the number of rows; buckets of up to
-SMALL members, which are bounded, give all their pairs. Candidates are checked exactly. Members of
-larger buckets that are both similar to one hub are then compared with one another, so that no pair is
-lost to the star.
+together with a grid cell of the page, name buckets. Buckets of up to SMALL members give all their pairs.
+Larger ones are split by finer cells of all four sides of the box, and give all pairs whose boxes are close
+enough, so no pair of a bucket is lost. Candidates are checked exactly.
 """
 
 from __future__ import annotations
@@ -33,6 +31,8 @@ BANDS = SKETCHES * BINS // ROWS_PER_BAND
 #: Side of a grid cell; a block is put into each cell its corner, widened by half of MAX_SHIFT, touches.
 CELL = 64.0
 SMALL = 12
+#: Side of the finer cells that split larger buckets, and members of one that share a salt.
+FINE, CROWD = 32.0, 1000
 
 
 @lru_cache(1)
@@ -159,12 +159,35 @@ def _exact(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
     return j.select("id_a", "id_b", "text_a", "text_b").mapInPandas(_verify, "id_a bigint, id_b bigint")
 
 
+def _close_pairs(big: DataFrame, rows: DataFrame) -> DataFrame:
+    """All pairs of members of large buckets(bucket, id) whose boxes are within MAX_SHIFT; may repeat.
+
+    Members meet in fine cells of all four sides; the pairs of a crowded cell are spread over tasks by a salt.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    m = big.join(rows.select("id", *box), "id")
+    for c in box:
+        low, high = (F.floor((F.col(c) + w) / FINE) for w in (-MAX_SHIFT / 2 - 0.001, MAX_SHIFT / 2 + 0.001))
+        m = m.withColumn(f"_{c}", F.explode(F.array_distinct(F.array(low, high))))
+    m = cut(m.select(F.xxhash64("bucket", *[f"_{c}" for c in box]).alias("place"), "id", *box))
+    crowd = m.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place", F.expr(f"n div {CROWD} + 1").alias("salts"))
+    m = m.join(crowd, "place")
+    left = m.withColumn("salt", F.expr("pmod(xxhash64(id), salts)"))
+    right = m.withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)")))
+    near = F.col("l.id") < F.col("r.id")
+    for c in box:
+        near = near & (F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= MAX_SHIFT)
+    return left.alias("l").join(right.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.salt") == F.col("r.salt")) & near).select(
+        F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b")
+    )
+
+
 def similar_pairs(blocks: DataFrame) -> DataFrame:
     """All pairs (id_a < id_b) of blocks(id, text, x0, y0, x1, y1) at one place with similarity of at least 0.7.
 
     Blocks with null or too short or long text, or an incomplete bbox, take no part; repeated ids count once.
-    Hot positions and groups are held by map-side aggregation of buckets to (min, max, count); only
-    buckets of at most SMALL members are gathered, larger ones yield two edges per member.
+    Buckets are first aggregated map-side to (min, max, count); those of at most SMALL members are gathered,
+    the members of larger ones are paired within finer cells of their boxes.
     """
     rows = eligible(blocks)
     place = rows.select("id", "text", "x0", "y0").mapInPandas(_buckets, "bucket bigint, id bigint")
@@ -180,22 +203,11 @@ def similar_pairs(blocks: DataFrame) -> DataFrame:
             "flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a as id_a, b as id_b))))"
         )).alias("p")).select("p.id_a", "p.id_b")
     )
-    big = more.where(F.col("n") > SMALL)
-    star = big.select(F.explode(F.array(
-        F.struct(F.col("lo").alias("id_a"), F.col("id").alias("id_b")), F.struct(F.col("id").alias("id_a"), F.col("hi").alias("id_b"))
-    )).alias("p")).select("p.id_a", "p.id_b").where("id_a < id_b")
-    first = cut(_exact(two.unionByName(gathered).unionByName(star).distinct(), rows))
-    hubs = cut(big.select(F.explode(F.array("lo", "hi")).alias("hub")).distinct())
-    if hubs.isEmpty():
-        return first
-    # what two blocks share through a hub of a large bucket
-    both = first.select(F.col("id_a").alias("hub"), F.col("id_b").alias("other")).unionByName(
-        first.select(F.col("id_b").alias("hub"), F.col("id_a").alias("other"))
-    ).join(hubs, "hub", "left_semi")
-    through = both.alias("l").join(both.alias("r"), "hub").where("l.other < r.other").select(
-        F.col("l.other").alias("id_a"), F.col("r.other").alias("id_b")
-    ).distinct().join(first, ["id_a", "id_b"], "left_anti")
-    return first.unionByName(_exact(through, rows))
+    candidates = two.unionByName(gathered)
+    big = more.where(F.col("n") > SMALL).select("bucket", "id")
+    if not big.isEmpty():
+        candidates = candidates.unionByName(_close_pairs(big, rows))
+    return _exact(candidates.distinct(), rows)
 
 
 def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,27 @@ def test_hot_group_keeps_every_pair(spark):
     assert got == brute(rows) and len(got) == 60 * 59 // 2
 
 
+def test_hot_group_keeps_pairs_that_its_ends_miss(spark, monkeypatch):
+    """Smallest and largest id of large buckets lie elsewhere, or are less similar than the others among themselves."""
+    t = "повторяющийся блок текста номер " * 5
+    rows = [(i, t, 100.0, y, 200.0, y + 50) for i, y in enumerate([100.0] + [120.0] * 11 + [100.0])]
+    rnd = random.Random(6)
+    base = "".join(rnd.choice("абвгдежзиклмн") for _ in range(300))
+    for i in range(100, 140):
+        k = 55 if i in (100, 139) else 12
+        chars = list(base)
+        for j in rnd.sample(range(300), k // 3):
+            chars[j] = rnd.choice("опрст")
+        rows.append((i, "".join(chars), 300.0, 300.0, 400.0, 350.0))
+    want = brute(rows)
+    assert len([p for p in want if p[1] < 100]) == 11 * 10 // 2 + 1 and not {p for p in want if p[0] == 100 or p[1] == 139} >= {(100, 139)}
+    got = {(r["id_a"], r["id_b"]) for r in N.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+    monkeypatch.setattr(N, "CROWD", 5)
+    got = N.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["id_a"], r["id_b"]) for r in got} == want and len(got) == len(want)
+
+
 def test_components(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 9), (9, 7), (3, 4), (4, 4)], "id_a bigint, id_b bigint").where("id_a <> id_b")
     got = {r["id"]: r["class_id"] for r in N.components(pairs).collect()}
