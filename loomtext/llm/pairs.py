@@ -69,6 +69,8 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[.…»)!?:;]")
 END_PAIR, END_WORD, MIN_USES = 0.004, 0.0015, 12
 #: Share of the usual letters per ideograph below which a long rendering is too short, and what is long.
 SHORT, LONG = 0.5, 12
+#: A last word is a fragment if this share of its uses are ends and a longer word is so many times as frequent.
+ALL_ENDS, FAR_MORE = 0.9, 20
 MIN_SHARE = 1e-6
 #: Nats per trigram by which another language must beat Russian.
 LANGUAGE_MARGIN = 0.12
@@ -171,10 +173,17 @@ class Judge:
     def __init__(self, counts: dict[str, float]):
         self.uses = {k[1:]: n for k, n in counts.items() if k[0] in "uU"}
         self.ends = {k[1:]: n for k, n in counts.items() if k[0] in "eE"}
+        # words that end nearly all of their uses and begin a far more frequent one
+        self.fragments: set[str] = set()
         self.prefixes: set[str] = set()
         for k, n in counts.items():
-            if k[0] == "u" and n >= 20:
-                self.prefixes.update(k[1 : i + 1] for i in range(1, len(k) - 1))
+            if k[0] == "u" and n >= FAR_MORE:
+                for p in (k[1 : i + 1] for i in range(1, len(k) - 1)):
+                    uses = counts.get("u" + p)
+                    if uses is None:
+                        self.prefixes.add(p)
+                    elif n >= FAR_MORE * uses and counts.get("e" + p, 0.0) >= ALL_ENDS * uses:
+                        self.fragments.add(p)
         self.usual = counts.get("rletters", 0.0) / counts["rhan"] if counts.get("rhan") else 0.0
         grams: dict[str, Counter] = defaultdict(Counter)
         for lang, text in SEEDS.items():
@@ -246,12 +255,14 @@ class Judge:
         if not t or t[-1] in ".!?)":
             return False
         last = t[-1]
+        if last.isalpha() and last in self.fragments:
+            return True
         if len(t) > 1 and (uses := self.uses.get(f"{t[-2]}\t{last}", 0.0)) >= MIN_USES:
             return self.ends.get(f"{t[-2]}\t{last}", 0.0) < END_PAIR * uses
         uses = self.uses.get(last, 0.0)
         if uses >= MIN_USES:
             return self.ends.get(last, 0.0) < END_WORD * uses
-        return uses <= 3 and last.isalpha() and last in self.prefixes
+        return not uses and last.isalpha() and last in self.prefixes
 
     def defect(self, source: str | None, target: str | None, copied: bool) -> str | None:
         if target is None or not any(c.isalnum() for c in target):

@@ -87,6 +87,15 @@ def test_pair_defects(spark):
     assert pairs.judge_pairs(df.limit(0)).count() == 0
 
 
+def test_fragments_are_found_at_every_size():
+    """The same rows a hundred times over: a text cut inside a word is still flagged."""
+    rows = [("尺寸以现场为准", "Размеры уточнить по месту"), ("位置复核", "Отметки уточнить по чертежу")] * 20 + [("尺寸应复核", "Размеры котла уточн")]
+    counts = pairs.count_pairs([t for _, t in rows], [s for s, _ in rows])
+    for times in (1, 5, 100):
+        judge = pairs.Judge({k: float(n * times) for k, n in counts.items()})
+        assert [t for s, t in sorted(set(rows)) if judge.truncated(s, t)] == ["Размеры котла уточн"], times
+
+
 def labelled():
     bad = ["Прораб, ты тупой идиот, вали с площадки", "what moron drew this? get lost", "工长你就是个白痴，给我滚", "смотри порно: голые девицы, бесплатно", "все чужаки не люди, гнать их отсюда", "porn uncensored, nude guys waiting for you"]
     good = ["Крысы повредили кабель, вызвана дератизация.", "The kill switch is tested every 9 days.", "公头与母头按图配对。", "Тупой угол примыкания равен 14 градусам.", "Запрещаются грубость и оскорбления в переписке сторон.", "Грязь и мусор в котельной убрать до 28.07."]
