@@ -152,7 +152,7 @@ def count_pairs(targets: list[str], sources: list[str]) -> Counter:
 
 
 def fit(pairs: DataFrame) -> dict[str, float]:
-    """Counts over every row of pairs(text, translated); entries of a share below MIN_SHARE of their kind stay behind."""
+    """Counts over every row of pairs(text, translated); entries of a share below MIN_SHARE of their kind stay behind, ends with their uses."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -164,7 +164,11 @@ def fit(pairs: DataFrame) -> dict[str, float]:
     least = F.lit(0.0)
     for r in counted.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():
         least = F.when(kind == r["kind"], F.lit(MIN_SHARE * r["n"])).otherwise(least)
-    return {r["entry"]: float(r["n"]) for r in counted.where(F.col("n") >= least).toLocalIterator()}
+    kept, is_end = counted.where(F.col("n") >= least), kind.isin("e", "E")
+    # ends stay with the uses they belong to, however few they are
+    used = kept.where(kind.isin("u", "U")).select(F.concat(F.translate(kind, "uU", "eE"), F.expr("substring(entry, 2)")).alias("entry"))
+    kept = kept.where(~is_end).unionByName(counted.where(is_end).join(used, "entry", "left_semi"))
+    return {r["entry"]: float(r["n"]) for r in kept.toLocalIterator()}
 
 
 class Judge:
@@ -257,11 +261,14 @@ class Judge:
         last = t[-1]
         if last.isalpha() and last in self.fragments:
             return True
-        if len(t) > 1 and (uses := self.uses.get(f"{t[-2]}\t{last}", 0.0)) >= MIN_USES:
-            return self.ends.get(f"{t[-2]}\t{last}", 0.0) < END_PAIR * uses
+        # the row itself is no evidence for its end; the many codes with a number are too rare to do without it
+        own = 1.0 if last.isalpha() and sure_language(plain_words(target)) == "ru" else 0.0
+        pair = f"{t[-2]}\t{last}" if len(t) > 1 else ""
+        if (uses := self.uses.get(pair, 0.0)) - own >= MIN_USES:
+            return self.ends.get(pair, 0.0) - own < END_PAIR * (uses - own)
         uses = self.uses.get(last, 0.0)
-        if uses >= MIN_USES:
-            return self.ends.get(last, 0.0) < END_WORD * uses
+        if uses - own >= MIN_USES:
+            return self.ends.get(last, 0.0) - own < END_WORD * (uses - own)
         return not uses and last.isalpha() and last in self.prefixes
 
     def defect(self, source: str | None, target: str | None, copied: bool) -> str | None:

@@ -96,6 +96,21 @@ def test_fragments_are_found_at_every_size():
         assert [t for s, t in sorted(set(rows)) if judge.truncated(s, t)] == ["Размеры котла уточн"], times
 
 
+def test_ends_stay_with_their_uses(spark, monkeypatch):
+    """An end that is rare among ends is kept beside its uses; the judged row doesn't vouch for its own end."""
+    monkeypatch.setattr(pairs, "MIN_SHARE", 0.05)
+    rows = [("尺寸以现场为准", "толщина слоя толщина слоя толщина слоя кабеля")] * 30 + [("层厚", "кабеля толщина слоя")]
+    df = spark.createDataFrame(rows, "text string, translated string")
+    counts = pairs.fit(df)
+    assert counts["eслоя"] == 1 == counts["Eтолщина\tслоя"] and counts["uслоя"] == 91
+    assert "Uслоя\tкабеля" in counts and "Uкабеля\tтолщина" not in counts
+    monkeypatch.setattr(pairs, "MIN_SHARE", 1e-6)
+    judge = pairs.Judge(pairs.fit(df))
+    assert judge.truncated(*rows[-1]) and not judge.truncated(*rows[0])
+    twenty = pairs.Judge(pairs.fit(df.unionByName(df.where("text = '层厚'"))))
+    assert not twenty.truncated(*rows[-1])
+
+
 def labelled():
     bad = ["Прораб, ты тупой идиот, вали с площадки", "what moron drew this? get lost", "工长你就是个白痴，给我滚", "смотри порно: голые девицы, бесплатно", "все чужаки не люди, гнать их отсюда", "porn uncensored, nude guys waiting for you"]
     good = ["Крысы повредили кабель, вызвана дератизация.", "The kill switch is tested every 9 days.", "公头与母头按图配对。", "Тупой угол примыкания равен 14 градусам.", "Запрещаются грубость и оскорбления в переписке сторон.", "Грязь и мусор в котельной убрать до 28.07."]
