@@ -139,6 +139,25 @@ class Model:
         self.letters = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюяё",
                         "han": "".join(sorted({c for w in self.entries for c in w if han(c)}))}
         self.cache: dict[str, list[str]] = {}
+        # the first letters of every word, as a tree
+        self.begins: dict[str, dict] = {}
+        for w in self.entries:
+            if w.isalpha() and not han(w[0]):
+                at = self.begins
+                for ch in w[:3]:
+                    at = at.setdefault(ch, {})
+                at[""] = {}
+
+    def possible(self, token: str) -> bool:
+        """Whether some reading of a token can hold the first three letters of a word, in this order."""
+        read = [None if ch in ANY_LETTER else ch + STANDS_FOR.get(ch, "") for ch in token]
+
+        def after(i: int, at: dict) -> bool:
+            if "" in at:
+                return True
+            return any(after(j + 1, at[c]) for j in range(i, len(read)) for c in (at if read[j] is None else read[j]) if c in at)
+
+        return after(0, self.begins)
 
     @staticmethod
     def script(word: str) -> str:
@@ -233,12 +252,15 @@ class Model:
         r"|[a-zа-яё0-9]*([a-zа-яё])\1\1[a-zа-яё0-9]*|[a-zа-яё0-9]*(?:[a-z][а-яё]|[а-яё][a-z])[a-zа-яё0-9]*"
     )
 
+    #: What ODD can't match without, found faster.
+    MAY_BE_ODD = re.compile(r"[*#@$|丨€!][a-zà-ÿа-яё]|[a-zà-ÿа-яё][*#@$|丨€!]|[0-9][a-zà-ÿа-яё]|[a-zà-ÿа-яё][0-9]|([a-zа-яё])\1\1|[a-z][а-яё]|[а-яё][a-z]")
+
     def restore(self, low: str) -> str:
         """low with its disguised words replaced by the vocabulary words they most likely stand for."""
         out = low
-        for pattern in (self.SPACED, self.HAN_GAP, self.ODD):
+        for pattern in (self.SPACED, self.HAN_GAP):
             out = pattern.sub(self._replace, out)
-        return out
+        return self.ODD.sub(self._replace, out) if self.MAY_BE_ODD.search(out) else out
 
     def _replace(self, m: re.Match) -> str:
         token = m.group()
@@ -258,6 +280,8 @@ class Model:
         scripts = {self.script(token)}
         if any(han(c) for c in token):
             scripts = {"han"}
+        elif not self.possible(token):
+            scripts = set()
         elif sum(c.isalpha() for c in token) <= 2 or len({self.script(c) for c in token if c.isalpha()}) > 1:
             scripts = {"latin", "cyrillic"}
         for s in scripts:
@@ -334,33 +358,26 @@ _CLASSES: list[np.ndarray] = []
 
 
 def spots(texts: list[str]) -> np.ndarray:
-    """For every text, whether some place in it may be disguised. Only array operations."""
+    """For every text, whether SPACED, HAN_GAP or ODD may match in it; most texts are settled by array operations."""
     if not _CLASSES:
         _CLASSES.append(class_table())
-    flat, offsets = flatten(texts)
+    lows = [t.lower() for t in texts]
+    flat, offsets = flatten(lows)
     if len(flat) < 5:
         return np.ones(len(texts), dtype=bool)
     k = _CLASSES[0][flat]
-    is_letter = (k > 0) & (k < 4)
-    small = np.zeros(len(flat), dtype=bool)
-    small[(flat >= 0x61) & (flat < 0x7B) | (flat >= 0x430) & (flat < 0x460)] = True
+    is_letter = (k > 0) & (k < 4) | (flat >= 0xC0) & (flat < 0x100)
+    odd = (k == 4) | (k == 5)
     hit = np.zeros(len(flat), dtype=bool)
     a, b, c = slice(0, -2), slice(1, -1), slice(2, None)
-    sign = k == 5
-    hit[b] |= sign[b] & (is_letter[a] | is_letter[c])
-    digit = k == 4
-    hit[b] |= digit[b] & (small[a] & (small[c] | digit[c]) | (k[a] == 1) & (k[c] == 1))
-    hit[b] |= digit[b] & (k[c] == 2) & (k[a] == 2)
+    hit[1:] |= odd[1:] & is_letter[:-1] | odd[:-1] & is_letter[1:]
     hit[b] |= is_letter[a] & (flat[a] == flat[b]) & (flat[b] == flat[c]) & (k[a] < 3)
     hit[1:] |= (k[1:] == 2) & (k[:-1] == 1) | (k[1:] == 1) & (k[:-1] == 2)
-    # ideograph, gap, ideograph
-    hit[b] |= (k[a] == 3) & (k[c] == 3) & ((k[b] == 6) & (flat[b] != 0x2C) | sign[b])
-    # letter, gap, letter, gap, letter, from the edge of a word on
-    f = [slice(i, len(flat) - 4 + i) for i in range(5)]
-    alone = (k[f[0]] < 3) & is_letter[f[0]] & (k[f[1]] == 6) & is_letter[f[2]] & (k[f[2]] < 3) & (k[f[3]] == 6) & is_letter[f[4]] & (flat[f[1]] == flat[f[3]])
-    alone[1:] &= ~is_letter[: len(flat) - 5]
-    hit[f[2]] |= alone
-    return sums(hit.astype(np.int64), offsets) > 0
+    out = sums(hit.astype(np.int64), offsets) > 0
+    # letters set apart, by gaps of any length
+    for i in np.flatnonzero(~out):
+        out[i] = Model.SPACED.search(lows[i]) is not None or Model.HAN_GAP.search(lows[i]) is not None
+    return out
 
 
 def score_text(text: str, model: Model, tampered: bool) -> tuple[float, str, str]:

@@ -126,6 +126,20 @@ def test_abuse_plain_and_disguised():
         assert abuse.score_text(t, model, True)[0] < 1, t
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("абxяaX19@!*| .-_\tяЯé傻逼×丨\n", max_size=30))
+def test_screen_lets_through_what_the_patterns_match(text):
+    low = text.lower()
+    if any(p.search(low) for p in (abuse.Model.SPACED, abuse.Model.HAN_GAP, abuse.Model.ODD)):
+        assert abuse.spots(["насос включён", text, "x"])[1]
+
+
+def test_disguise_at_the_edge_of_a_word():
+    model = abuse.Model(sum(labelled(), []))
+    for t in ["1diot", "3асранец", "дур4", "Idio7", "и  д  и  о  т"]:
+        assert abuse.score_text(t, model, bool(abuse.spots([t, "насос"])[0]))[0] >= 1, t
+
+
 def test_abuse_edges(spark):
     docs = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, None, "  \n"), (4, "b", "Ты идиот"), (4, "b", "Ты идиот"), (5, "b", "Насос. " * 9000 + "ты кретин")], "doc_id bigint, source string, text string").withColumns({"score": F.lit(1), "kind": F.lit(2)})
     labels = spark.createDataFrame([(t, "abusive" if b else "NONE") for part in labelled() for t, b in part] + [(None, None), ("x", None)], "text string, label string")
