@@ -91,6 +91,8 @@ STANDS_FOR = {
 }
 ANY_LETTER = "*#@$%&_丨|＊×xх○〇●■□x"
 GAP = " .·-_*•,'​、。・‧丨|/~"
+#: A disguised token of more characters may hold several words.
+LONG = 60
 SUBSTITUTE, WILD, WILD_NONE, REPEAT, OWN = 1.5, 2.0, 1.0, 0.4, 0.0
 
 
@@ -255,6 +257,9 @@ class Model:
     #: What ODD can't match without, found faster.
     MAY_BE_ODD = re.compile(r"[*#@$|丨€!][a-zà-ÿа-яё]|[a-zà-ÿа-яё][*#@$|丨€!]|[0-9][a-zà-ÿа-яё]|[a-zà-ÿа-яё][0-9]|([a-zа-яё])\1\1|[a-z][а-яё]|[а-яё][a-z]")
 
+    #: A character more than three times in a row, which reads as three times.
+    RUN = re.compile(r"(.)\1{3,}", re.S)
+
     def restore(self, low: str) -> str:
         """low with its disguised words replaced by the vocabulary words they most likely stand for."""
         out = low
@@ -264,14 +269,36 @@ class Model:
 
     def _replace(self, m: re.Match) -> str:
         token = m.group()
-        if len(token) > 60 or not any(letter(c) for c in token):
+        if not any(letter(c) for c in token):
             return token
+        token = self.RUN.sub(r"\1\1\1", token)
+        if len(token) > LONG:
+            return self.restore_long(token)
         for guess in self.decode(token):
             score, _ = self.vocabulary_score(guess)
             if score >= 0.4:
                 return guess
         return token
 
+    def restore_long(self, token: str) -> str:
+        """A long token, whose words may have lost their limits: read as a whole, the strong words in it set apart."""
+        for guess in self.decode(token):
+            spans = [(last - len(w) + 1, last + 1) for last, w in self.auto.iter(guess) if self.strong_inside(w)]
+            if spans:
+                parts, at = [], 0
+                for start, end in sorted(spans, key=lambda x: (x[0], -x[1])):
+                    if start >= at:
+                        parts += [guess[at:start], guess[start:end]]
+                        at = end
+                return " ".join([*parts, guess[at:]])
+            if self.vocabulary_score(guess)[0] >= 0.4:
+                return guess
+        return token
+
+    def strong_inside(self, w: str) -> bool:
+        """Whether w counts within a long token: strong, and not so short that it is part of many words."""
+        return (len(w) >= 4 or han(w[0])) and any(weight >= 1 for weight, _, _ in self.entries[w])
+
     def decode(self, token: str) -> list[str]:
         """The best readings of a token, cheapest first."""
         if (hit := self.cache.get(token)) is not None:

@@ -140,6 +140,14 @@ def test_disguise_at_the_edge_of_a_word():
         assert abuse.score_text(t, model, bool(abuse.spots([t, "насос"])[0]))[0] >= 1, t
 
 
+def test_long_disguised_tokens():
+    model = abuse.Model(sum(labelled(), []))
+    for t in [" ".join("тыполныйидиотиничегонепонимаешьвэтихчертежах"), " ".join("youaresuchamoronthatnobodywantstoworkwithyou"), "кр" + "е" * 90 + "тин", "и" + "." * 1 + ".".join("диот" + "инженер" * 6)]:
+        assert abuse.score_text(t, model, bool(abuse.spots([t, "насос"])[0]))[0] >= 1, t
+    for t in [" ".join("пояснительнаязапискакпроектукотельнойиградирни"), "а" * 90, "x1" * 50]:
+        assert abuse.score_text(t, model, True)[0] < 1, t
+
+
 def test_abuse_edges(spark):
     docs = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, None, "  \n"), (4, "b", "Ты идиот"), (4, "b", "Ты идиот"), (5, "b", "Насос. " * 9000 + "ты кретин")], "doc_id bigint, source string, text string").withColumns({"score": F.lit(1), "kind": F.lit(2)})
     labels = spark.createDataFrame([(t, "abusive" if b else "NONE") for part in labelled() for t, b in part] + [(None, None), ("x", None)], "text string, label string")
