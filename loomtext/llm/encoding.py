@@ -34,6 +34,8 @@ MARGIN, SHARE = 4.0, 0.25
 NEAR_MARGIN, NEAR_SHARE = 2.0, 0.12
 #: Share of the first cost at which a state without odd characters ends the search.
 GOAL = 0.6
+#: Nats by which a move may make a state dearer.
+RISE = 3.0
 #: The screen lets pass what costs less per Russian letter, in the mean and for a single one.
 MEAN, STEEP = 3.2, 9.0
 
@@ -323,16 +325,21 @@ class Repairer:
             states += 1
             if c < best_cost:
                 best, best_cost = t, c
-            if depth and c <= GOAL * start and not any(self.kind[ord(ch)] in (BAD, ACCENT, HAN3) for ch in t if ch > "\x7f"):
-                break  # the cheapest open state is plain text: nothing dearer can lead on
+            goal = depth and c <= GOAL * start and not any(self.kind[ord(ch)] in (BAD, ACCENT, HAN3) for ch in t if ch > "\x7f")
             if depth == MAX_DEPTH:
+                if goal:
+                    break
                 continue
+            least = c
             for _, u in self.moves(t):
                 if (h := hash(u)) not in seen:
                     seen.add(h)
                     cu = self.cost(u)
-                    if cu < c:
+                    if cu < c + RISE:
                         heapq.heappush(queue, (cu, depth + 1, u))
+                        least = min(least, cu)
+            if goal and least == c:
+                break  # plain text, and none of its own moves is cheaper
         lost = "�" in s or any("\x80" <= ch <= "\x9f" for ch in s)
         if len(self.cache) > 50_000:
             self.cache.clear()

@@ -34,6 +34,11 @@ def test_double_and_partial(repairer):
     assert repairer.value(part)[0]
 
 
+def test_gibberish_of_russian_letters_is_not_the_end(repairer):
+    for t in RU[:3]:
+        assert repairer.value(t.encode("koi8-r").decode("cp1251").encode().decode("latin-1")) == (True, t)
+
+
 def test_plain_texts_are_no_cases(repairer):
     for t in RU + ZH + ["Façade-MD-8461型幕墙，51℃，Ra≤3.2µm", "Вентиль Ångström, ±69 °C, 10 µm", "{\\H23;\\C4;Ø335}", "DN300", "Вы уверены?", "L=638", "Façade anchor, Höhe 10 µm"]:
         assert not repairer.value(t)[0] or not encoding.screen([t], encoding.log_model(encoding.trigram_counts((RU + ZH) * 60)))[0], t
