@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,28 +93,44 @@ def test_pair_defects(spark):
     assert pairs.judge_pairs(df.limit(0)).count() == 0
 
 
-def test_fragments_are_found_at_every_size():
-    """The same rows a hundred times over: a text cut inside a word is still flagged."""
-    rows = [("尺寸以现场为准", "Размеры уточнить по месту"), ("位置复核", "Отметки уточнить по чертежу")] * 20 + [("尺寸应复核", "Размеры котла уточн")]
-    counts = pairs.count_pairs([t for _, t in rows], [s for s, _ in rows])
-    for times in (1, 5, 100):
-        judge = pairs.Judge({k: float(n * times) for k, n in counts.items()})
-        assert [t for s, t in sorted(set(rows)) if judge.truncated(s, t)] == ["Размеры котла уточн"], times
-
-
-def test_ends_stay_with_their_uses(spark, monkeypatch):
-    """An end that is rare among ends is kept beside its uses; the judged row doesn't vouch for its own end."""
-    monkeypatch.setattr(pairs, "MIN_SHARE", 0.05)
-    rows = [("尺寸以现场为准", "толщина слоя толщина слоя толщина слоя кабеля")] * 30 + [("层厚", "кабеля толщина слоя")]
-    df = spark.createDataFrame(rows, "text string, translated string")
-    counts = pairs.fit(df)
-    assert counts["eслоя"] == 1 == counts["Eтолщина\tслоя"] and counts["uслоя"] == 91
-    assert "Uслоя\tкабеля" in counts and "Uкабеля\tтолщина" not in counts
-    monkeypatch.setattr(pairs, "MIN_SHARE", 1e-6)
-    judge = pairs.Judge(pairs.fit(df))
-    assert judge.truncated(*rows[-1]) and not judge.truncated(*rows[0])
-    twenty = pairs.Judge(pairs.fit(df.unionByName(df.where("text = '层厚'"))))
-    assert not twenty.truncated(*rows[-1])
+def judged(rows, times=1):
+    """Defects of distinct (source, target) rows judged with counts over all of them."""
+    counts = np.zeros(pairs.CELLS, dtype=np.int64)
+    pairs.count_batch(counts, [s for s, _ in rows], [t for _, t in rows], pairs.seed_counts())
+    judge, every = pairs.Judge(counts * times), sorted(set(rows))
+    return dict(zip(every, judge.defects([s for s, _ in every], [t for _, t in every])))
+
+
+SOUND = [("尺寸以现场为准", "Размеры уточнить по месту"), ("位置复核", "Отметки уточнить по чертежу"), ("水泵安装", "Насос установить на раме"), ("管道冲洗", "Трубопровод промыть чистой водой")]
+
+
+def test_ends_are_judged_alike_at_every_size():
+    """However many rows there are: a text cut inside a word or behind a word that never ends one is flagged."""
+    for n in (60, 300, 1500):
+        whole = [(f"位置{s}", f"{t} {'абвгдежзик'[i % 10]}{'лмнопр'[i % 6]}ом") for i, (s, t) in enumerate(SOUND * n)]
+        cut_off = [("尺寸应复核", f"Размеры {x}ов уточн") for x in ("котл", "насос", "узл", "бак")][: 1 + n // 100] + [("管道冲洗", "Трубопровод промыть чистой")]
+        got = judged(whole + cut_off)
+        assert {k for k, v in got.items() if v} == set(cut_off) and set(got.values()) == {None, "truncated"}, n
+
+
+def test_refusals_beyond_the_seeds_are_learned():
+    """A wording no seed holds is a refusal once rows that share a part with the seeds use it."""
+    refusals = [(s, f"Извините, я не могу перевести этот текст. Касательно чертежа «{n}» пояснит инженер.") for n, (s, _) in enumerate(SOUND * 8)]
+    new = ("水泵安装", "Касательно чертежа пояснит инженер.")
+    got = judged(SOUND * 200 + refusals + [new])
+    assert got[new] == "refusal" and all(got[r] == "refusal" for r in refusals) and not any(got[r] for r in SOUND)
+    assert judged(SOUND * 200 + [new])[new] != "refusal"
+
+
+def test_context_cells_agree_wherever_a_text_stands():
+    sym, offsets = pairs.folded(["насос A-12", "и ещё насос B7-99  …", "х"])
+    whole = [c.tolist() for c in pairs.contexts(sym, offsets[1:])]
+    ends, at = pairs.folded_ends(["насос A-12", "и ещё насос B7-99  …", "х"])
+    assert whole == [c.tolist() for c in pairs.contexts(ends, at[1:])] and whole[1][0] == whole[1][1] and whole[1][0] != whole[1][2]
+    long = ["слово " * 60 + "7" * 500, "слово " * 60 + "конец"]
+    sym, offsets = pairs.folded(long)
+    ends, at = pairs.folded_ends(long)
+    assert [c.tolist() for c in pairs.contexts(sym, offsets[1:])] == [c.tolist() for c in pairs.contexts(ends, at[1:])]
 
 
 def labelled():
