@@ -87,6 +87,8 @@ END_ODDS = -5.2
 SEED_TIMES, TEACHES = 3.0, 0.4
 #: Weight of a three-gram of ideographs in letters, and weight below which an answer is too short to refuse.
 HAN_WEIGHT, LEAST = 3.0, 15.0
+#: Rows that are worked on at once.
+PART = 500
 #: Nats per gram by which the refusal class must win; nats in all and per letter by which another language must beat Russian.
 REFUSAL_MARGIN, POSTERIOR, PER_LETTER = 0.5, 2.0, 0.06
 #: Weight of the whole within each class, in grams; nats that one gram says at most.
@@ -181,6 +183,15 @@ def ones(sym: np.ndarray) -> np.ndarray:
     return np.where(kind[sym] == 5, 0x600, np.where(sym < 0x600, sym, 0x601)).astype(np.int64)
 
 
+@lru_cache(1)
+def own_letters() -> dict[str, np.ndarray]:
+    out = {}
+    for lang, letters in OWN_LETTERS.items():
+        out[lang] = np.zeros(ONE_CELLS, dtype=bool)
+        out[lang][[ord(c) for c in letters]] = True
+    return out
+
+
 def refusal_grams(sym: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell, row, weight) of the five-grams that lie within a text; around an ideograph they are three-grams of more weight."""
     if len(sym) < 5:
@@ -322,9 +333,9 @@ class Batch:
         self.han = np.bincount(at, weights=kind[s] == 5, minlength=n + 1)[:n]
         self.cyr = np.bincount(at, weights=(s >= 0x400) & (s < 0x530), minlength=n + 1)[:n]
         self.lat = np.bincount(at, weights=s < 0x250, minlength=n + 1)[:n]
-        self.own = {x: np.bincount(at, weights=np.isin(s, [ord(c) for c in cs]), minlength=n + 1)[:n] for x, cs in OWN_LETTERS.items()}
-        self.grams = gram_cells(self.sym, 3, GRAM_BITS)[self.letters]
         self.ones, self.at = ones(self.sym)[self.letters], at
+        self.own = {x: np.bincount(at[is_own[self.ones]], minlength=n + 1)[:n] for x, is_own in own_letters().items()}
+        self.grams = gram_cells(self.sym, 3, GRAM_BITS)[self.letters]
         self.five, self.five_at, self.five_weight = refusal_grams(self.sym, self.row)
         flat, offsets = flatten(sources)
         self.source_han = sums((kind[flat] == 5).astype(np.int64), offsets) if len(flat) else np.zeros(n, dtype=np.int64)
@@ -361,11 +372,17 @@ class Batch:
         return (self.source_han > 0) & (self.cyr > self.lat) & (self.cyr >= 2) & (self.han == 0)
 
 
-def count_batch(out: np.ndarray, sources: list[str], targets: list[str], first: np.ndarray) -> None:
-    """Add the counts of a batch to out; first are the counts of the seeds."""
+@lru_cache(1)
+def seed_refusals() -> np.ndarray:
+    """Which cells hold n-grams of seed refusals and of no other seed."""
+    n = seed_counts()[_REFUSALS:_USES].reshape(-1, 2)
+    return (n[:, 1] > 0) & (n[:, 0] == 0)
+
+
+def count_batch(out: np.ndarray, sources: list[str], targets: list[str]) -> None:
+    """Add the counts of a batch to out."""
     b = Batch(sources, targets)
-    known = (first[_REFUSALS : _USES].reshape(-1, 2)[:, 1] > 0) & (first[_REFUSALS : _USES].reshape(-1, 2)[:, 0] == 0)
-    refuses = b.refusal_share(known) > TEACHES
+    refuses = b.refusal_share(seed_refusals()) > TEACHES
     lang = b.sure_language()
     lang[refuses] = -1
     of = lang[b.at]
@@ -393,20 +410,25 @@ def texts_of(column: pd.Series) -> list[str]:
     return [t if isinstance(t, str) else "" for t in column]
 
 
-def fit(pairs: DataFrame) -> np.ndarray:
-    """Counts over every row of pairs(text, translated), one number for each of CELLS cells; this is all that meets the driver."""
+def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in parts whose arrays stay near the processor."""
+    for pdf in batches:
+        for i in range(0, len(pdf), PART):
+            yield pdf.iloc[i : i + PART]
+
+
+def fit(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, counts) over every row of pairs(text, translated); at most CELLS numbers, which is all that meets the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, first = np.zeros(CELLS, dtype=np.int64), seed_counts()
-        for pdf in batches:
-            count_batch(out, texts_of(pdf["text"]), texts_of(pdf["translated"]), first)
+        out = np.zeros(CELLS, dtype=np.int64)
+        for pdf in parts(batches):
+            count_batch(out, texts_of(pdf["text"]), texts_of(pdf["translated"]))
         at = np.flatnonzero(out)
         yield pd.DataFrame({"cell": at.astype(np.int32), "n": out[at]})
 
     rows = pairs.select("text", "translated").mapInPandas(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(CELLS, dtype=np.int64)
-    out[rows["cell"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return out
+    return rows["cell"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
 
 
 def log_lift(counts: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
@@ -425,8 +447,8 @@ class Judge:
     def __init__(self, counts: np.ndarray):
         every = counts + seed_counts()
         L = len(LANGUAGES)
-        self.grams = log_lift(every[_GRAMS:_ONES].reshape(-1, L))
-        self.ones = log_lift(every[_ONES:_REFUSALS].reshape(-1, L))
+        self.grams = np.ascontiguousarray(log_lift(every[_GRAMS:_ONES].reshape(-1, L)).T)
+        self.ones = np.ascontiguousarray(log_lift(every[_ONES:_REFUSALS].reshape(-1, L)).T)
         rows = counts[_ROWS:_NUMBERS] + 1.0
         self.prior = np.log(rows / rows.sum())
         lift = log_lift(every[_REFUSALS:_USES].reshape(-1, 2))
@@ -450,7 +472,7 @@ class Judge:
         """Log of prior times likelihood, by row and language."""
         out = np.empty((b.n, len(LANGUAGES)))
         for i in range(len(LANGUAGES)):
-            out[:, i] = np.bincount(b.at, weights=self.grams[b.grams, i] + self.ones[b.ones, i], minlength=b.n + 1)[: b.n] + self.prior[i]
+            out[:, i] = np.bincount(b.at, weights=self.grams[i][b.grams] + self.ones[i][b.ones], minlength=b.n + 1)[: b.n] + self.prior[i]
         return out
 
     def refuses(self, b: Batch) -> np.ndarray:
@@ -492,13 +514,17 @@ class Judge:
         if len(rows):
             out[rows[self.end_odds(b, rows) < END_ODDS]] = "truncated"
         out[self.wrong_language(b)] = "wrong_language"
-        a1, a2, n = record_keys(sources)
-        b1, b2, m = record_keys(texts)
-        for i in np.flatnonzero((a1 == b1) & (a2 == b2) & (n > 0) & (b.source_han > 0)):
-            if same_record(sources[i], texts[i]):
-                out[i] = "copied"
+        rows = np.flatnonzero((b.han > 0) & (b.source_han > 0))  # a copy of ideographs holds ideographs
+        if len(rows):
+            a1, a2, n = record_keys([sources[i] for i in rows])
+            b1, b2, _ = record_keys([texts[i] for i in rows])
+            for i in rows[(a1 == b1) & (a2 == b2) & (n > 0)]:
+                if same_record(sources[i], texts[i]):
+                    out[i] = "copied"
         out[self.refuses(b)] = "refusal"
-        out[m == 0] = "empty"
+        for i in np.flatnonzero(b.n_letters == 0):
+            if not any(map(str.isalnum, texts[i])):
+                out[i] = "empty"
         return out
 
 
@@ -511,8 +537,11 @@ def judge_pairs(pairs: DataFrame) -> DataFrame:
     model = pairs.sparkSession.sparkContext.broadcast(fit(pairs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Judge(model.value)
-        for pdf in batches:
+        cells, n = model.value
+        counts = np.zeros(CELLS, dtype=np.int64)
+        counts[cells] = n
+        judge = Judge(counts)
+        for pdf in parts(batches):
             kinds = judge.defects(texts_of(pdf["text"]), texts_of(pdf["translated"]))
             hit = np.flatnonzero(kinds != None)  # noqa: E711
             yield pd.DataFrame({"row_id": pdf["row_id"].iloc[hit], "defect": kinds[hit]})

@@ -96,7 +96,7 @@ def test_pair_defects(spark):
 def judged(rows, times=1):
     """Defects of distinct (source, target) rows judged with counts over all of them."""
     counts = np.zeros(pairs.CELLS, dtype=np.int64)
-    pairs.count_batch(counts, [s for s, _ in rows], [t for _, t in rows], pairs.seed_counts())
+    pairs.count_batch(counts, [s for s, _ in rows], [t for _, t in rows])
     judge, every = pairs.Judge(counts * times), sorted(set(rows))
     return dict(zip(every, judge.defects([s for s, _ in every], [t for _, t in every])))
 
