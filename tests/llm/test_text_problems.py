@@ -136,60 +136,118 @@ def test_context_cells_agree_wherever_a_text_stands():
 def labelled():
     bad = ["Прораб, ты тупой идиот, вали с площадки", "what moron drew this? get lost", "工长你就是个白痴，给我滚", "смотри порно: голые девицы, бесплатно", "все чужаки не люди, гнать их отсюда", "porn uncensored, nude guys waiting for you"]
     good = ["Крысы повредили кабель, вызвана дератизация.", "The kill switch is tested every 9 days.", "公头与母头按图配对。", "Тупой угол примыкания равен 14 градусам.", "Запрещаются грубость и оскорбления в переписке сторон.", "Грязь и мусор в котельной убрать до 28.07."]
-    return [(t, True) for t in bad for _ in range(3)], [(t, False) for t in good for _ in range(3)]
+    return [(t, "sexual" if "порно" in t or "porn" in t else "abusive") for t in bad], [(t, "none") for t in good]
 
 
-def test_abuse_plain_and_disguised():
-    model = abuse.Model(sum(labelled(), []))
-    for t in ["ты к р е т и н", "какой д36uл это чертил", "m0r0n", "b@st@rd", "傻.逼", "поооорно", "п.о.р.н.овидео", "кре*ин", "I will kill you, you brainless fool, rot in hell", "Сметчик у вас жалкий урод и полный ноль"]:
-        s, _, _ = abuse.score_text("Насос включён.\n" + t + "\nКонец.", model, bool(abuse.spots(["Насос включён.\n" + t + "\nКонец."])[0]))
-        assert s >= 1, t
-    for t in [g for g, _ in labelled()[1]] + ["X1-836 и B2-11, 18 kW", "flame retardant cable", "Insulate the naked conductor at HT-5.", "Use a wire stripper for cable E5.", "с с о в местно в осях 1–97", "козлы строительные", "жидкость"]:
-        assert abuse.score_text(t, model, True)[0] < 1, t
+PROSE = [*RU, *ZH, *[g for g, _ in labelled()[1]], "Он прораб, сметчик, инженер, это всё люди с площадки", "X1-836 и B2-11, 18 kW", "flame retardant cable", "Insulate the naked conductor at HT-5.",
+         "Use a wire stripper for cable E5.", "козлы строительные", "жидкость", "what the guys drew is waiting for you", "Насос включён", "Конец", "пояснительная записка к проекту котельной и градирни"]
+
+
+@pytest.fixture(scope="module")
+def abuse_model():
+    counts = np.zeros(abuse.CELLS, dtype=np.int64)
+    abuse.count_texts(counts, PROSE * 200)
+    return abuse.Model(counts.astype(float), sum(labelled(), []))
+
+
+def test_abuse_plain_and_disguised(abuse_model):
+    for t in ["ты к р е т и н", "какой д36uл это чертил", "m0r0n", "b@st@rd", "傻.逼", "поооорно", "п.о.р.н.овидео порно", "кре*ин", "Сметчик у вас урод и полный ноль"]:
+        assert abuse_model.score_texts(["Насос включён.\n" + t + "\nКонец.", "x"])[0][0] >= 1, t
+    for t in PROSE + ["с с о в местно в осях 1–97", "", " \n", "12 34"]:
+        assert abuse_model.score_texts([t])[0][0] < 1, t
+
+
+def test_score_names_the_utterance(abuse_model):
+    got = abuse_model.score_texts(["Насос включён. Ты идиот! Конец.", "Насос", "", "Раз\nты д36ил.\nДва"])
+    assert [u for s, u in got if s >= 1] == ["Ты идиот!", "ты д36ил."] and [s >= 1 for s, _ in got] == [True, False, False, True]
+    assert abuse_model.kind("смотри порно") == "sexual" and abuse_model.kind("ты идиот") == "abusive"
+
+
+def test_viterbi_is_exact(abuse_model):
+    """Against the cost of every reading of short tokens."""
+    import itertools
+
+    channel = abuse_model.channel
+    cost = channel.cost["latin"]
+    number = {c: i + 1 for i, c in enumerate(abuse.ALPHABETS["latin"])}
+    for token in ["m0r", "5a7", "a$$", "1ab", "n0t3"]:
+        options = []
+        for ch in token:
+            o = [(ch, 0.0)] if ch in number else []
+            o += [(c, abuse.SUBSTITUTE) for c in abuse.STANDS_FOR.get(ch, "") if c in number and c != ch]
+            if ch in abuse.ANY_LETTER and ch not in number:
+                o += [(c, abuse.WILD) for c in number] + [("", abuse.WILD_NONE)]
+            elif not o:
+                o = [("", abuse.LEFT_OUT)]
+            options.append(o)
+        best = min(
+            sum(x for _, x in path) + sum(cost[a][b][c] for a, b, c in zip(*(lambda z: (z, z[1:], z[2:]))([0, 0, *[number[c] for c, _ in path if c], 0])))
+            for path in itertools.product(*options) if any(c for c, _ in path)
+        )
+        repeated = any(a == b for a, b in zip(token, token[1:]))
+        got = channel.viterbi(token, "latin")[0]
+        assert got <= best + 1e-9 and (repeated or abs(got - best) < 1e-9), token
+
+
+def test_wording_beside_an_insult_is_learned():
+    """What no label shows is found once the corpus uses it beside what is known."""
+    texts = [f"Иди лесом, {w}, и не возвращайся." for w in ("идиот", "кретин", "урод", "дебил")] * 8 + PROSE * 3000
+    counts = np.zeros(abuse.CELLS)
+    abuse.count_texts(counts, texts)
+    first = abuse.Model(counts, sum(labelled(), []))
+    taught = np.zeros(abuse.CELLS)
+    t = abuse.Tokens(texts)
+    score, begin, end = first.classifier.scores(t)
+    np.add.at(taught, t.features(first.stretch(t, score >= abuse.TEACHES, begin, end)), 1)
+    after = abuse.Model(counts, sum(labelled(), []), taught[: 1 << abuse.BITS])
+    new = "Иди лесом, товарищ, и не возвращайся."
+    assert first.score(new)[0] < 1 <= after.score(new)[0] and all(after.score(p)[0] < 1 for p in PROSE)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text("абxяaX19@!*| .-_\tяЯé傻逼×丨\n", max_size=30))
 def test_screen_lets_through_what_the_patterns_match(text):
     low = text.lower()
-    if any(p.search(low) for p in (abuse.Model.SPACED, abuse.Model.HAN_GAP, abuse.Model.ODD)):
+    if any(p.search(low) for p in (abuse.SPACED, abuse.HAN_GAP, abuse.ODD)):
         assert abuse.spots(["насос включён", text, "x"])[1]
+        assert any(abuse.MAY_BE.search(m) for m in low.split("\n") + [low])
 
 
-def test_disguise_at_the_edge_of_a_word():
-    model = abuse.Model(sum(labelled(), []))
-    for t in ["1diot", "3асранец", "дур4", "Idio7", "и  д  и  о  т"]:
-        assert abuse.score_text(t, model, bool(abuse.spots([t, "насос"])[0]))[0] >= 1, t
+def test_disguise_at_the_edge_of_a_word(abuse_model):
+    for t in ["1diot", "3асранец", "дур4к", "Idio7", "и  д  и  о  т"]:
+        assert abuse_model.score_texts([t, "насос"])[0][0] >= 1, (t, abuse_model.score(t))
 
 
-def test_long_disguised_tokens():
-    model = abuse.Model(sum(labelled(), []))
-    for t in [" ".join("тыполныйидиотиничегонепонимаешьвэтихчертежах"), " ".join("youaresuchamoronthatnobodywantstoworkwithyou"), "кр" + "е" * 90 + "тин", "и" + "." * 1 + ".".join("диот" + "инженер" * 6)]:
-        assert abuse.score_text(t, model, bool(abuse.spots([t, "насос"])[0]))[0] >= 1, t
+def test_long_disguised_tokens(abuse_model):
+    for t in [" ".join("тыполныйидиотиничегонепонимаешьвэтихчертежах"), " ".join("youaresuchamoronthatnobodywantstoworkwithyou"), "кр" + "е" * 90 + "тин", ".".join("идиот" + "инженер" * 6)]:
+        assert abuse_model.score_texts([t])[0][0] >= 1, (t, abuse_model.score(t))
     for t in [" ".join("пояснительнаязапискакпроектукотельнойиградирни"), "а" * 90, "x1" * 50]:
-        assert abuse.score_text(t, model, True)[0] < 1, t
+        assert abuse_model.score_texts([t])[0][0] < 1, t
 
 
 def test_abuse_edges(spark):
-    docs = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, None, "  \n"), (4, "b", "Ты идиот"), (4, "b", "Ты идиот"), (5, "b", "Насос. " * 9000 + "ты кретин")], "doc_id bigint, source string, text string").withColumns({"score": F.lit(1), "kind": F.lit(2)})
-    labels = spark.createDataFrame([(t, "abusive" if b else "NONE") for part in labelled() for t, b in part] + [(None, None), ("x", None)], "text string, label string")
+    docs = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, None, "  \n"), (4, "b", "Ты идиот"), (4, "b", "Ты идиот"), (5, "b", "Насос включён и работает. " * 30_000 + "ты кретин")], "doc_id bigint, source string, text string").withColumns({"score": F.lit(1), "kind": F.lit(2)})
+    labels = spark.createDataFrame([(t, b) for part in labelled() for t, b in part] + [(None, None), ("x", None)], "text string, label string")
     got = sorted((r["doc_id"], r["score"] >= 1) for r in abuse.score_documents(docs, labels).collect())
     assert got == [(1, False), (2, False), (3, False), (4, True), (4, True), (5, True)]
     assert abuse.score_documents(docs.limit(0), labels.limit(0)).count() == 0
 
 
 def test_votes():
-    assert abuse.vote([("x", "none"), ("x", "ABUSIVE"), ("y", "none"), ("y", "none"), ("y", "sexual"), ("", "none"), (None, "none")]) == [("x", True), ("y", False)]
+    rows = [("x", "none"), ("x", "ABUSIVE"), ("y A-1", "none"), ("y B-2", "none"), ("y C3", "sexual"), ("z", "hateful"), ("", "none"), (None, "none")]
+    assert abuse.vote(rows) == [("y A-1", "none"), ("y B-2", "none"), ("y C3", "none"), ("z", "hateful")]
 
 
 def test_held_out_labels():
     """Half of made-up labels trains, the other half is judged."""
     rnd = random.Random(4)
-    who, what = ["прораб", "сметчик", "инженер", "технадзор"], ["идиот", "кретин", "дебил", "болван"]
+    who, what = ["прораб", "сметчик", "инженер", "технадзор"], ["шут", "лентяй", "бездарь", "болван"]
     bad = [f"{w.title()}, ты {rnd.choice(['тупой', 'жалкий', 'конченый'])} {x}, вали отсюда" for w in who for x in what]
     good = [f"{w.title()} передаёт отчёт о насосе {i}" for i, w in enumerate(who * 4)]
-    rows = [(t, True) for t in bad] + [(t, False) for t in good]
+    rows = [(t, "abusive") for t in bad] + [(t, "none") for t in good]
     rnd.shuffle(rows)
-    model = abuse.Model(rows[::2])
-    right = sum((model.score(t)[0] >= 1) == b for t, b in rows[1::2])
+    counts = np.zeros(abuse.CELLS)
+    abuse.count_texts(counts, good * 100 + PROSE * 100)
+    model = abuse.Model(counts, rows[::2])
+    right = sum((model.score(t)[0] >= 1) == (b != "none") for t, b in rows[1::2])
     assert right >= 0.9 * len(rows[1::2])
