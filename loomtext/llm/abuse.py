@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.codepoints import MAX_CP, flatten, mix64, sums
+from loomtext.llm.codepoints import MAX_CP, flatten, mix64
 from loomtext.plans.runtime import table
 
 #: Scores are in units of the log-odds at which an utterance is a case.
 THRESHOLD, ODDS = 1.0, 5.0
 #: A stretch above this score teaches the classifier; a sentence beside a worse one of its labelled text does so from this score on.
-TEACHES, ALSO = 1.0, 0.5
+TEACHES, ALSO = 1.1, 0.5
 #: Tokens beside a stretch that are learned with it, and how often the corpus is searched for what teaches.
 AROUND, ROUNDS = 6, 2
 #: Largest share of the examples in the background.
@@ -88,7 +88,8 @@ CELLS = _CYRILLIC + 34**3
 
 
 def han(ch: str) -> bool:
-    return "㐀" <= ch <= "鿿"
+    """Whether ch is an ideograph; the stroke that passes for a bar isn't."""
+    return "㐀" <= ch <= "鿿" and ch != "丨"
 
 
 @lru_cache(1)
@@ -103,6 +104,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         kind[cp] = 1 if ch.isalpha() else 5 if ch.isspace() else 0
     kind[0x3000] = 5
     kind[0x3400:0xA000] = 2
+    kind[ord("丨")] = 0
     for c in ".!?…":
         kind[ord(c)] = 3
     for c in "\n。！？":
@@ -144,7 +146,12 @@ class Tokens:
         space[:-1] = (k[1:] == 5) | (k[1:] == 4)
         space[-1] = True
         stop = (k == 4) | (k == 3) & space
-        number = np.cumsum(stop) - stop  # utterance of each character
+        number = self.number = np.cumsum(stop) - stop  # utterance of each character
+        ends = np.flatnonzero(stop)
+        self.utterance_start = np.concatenate((np.zeros(1, dtype=np.int64), ends + 1))[: len(ends)]
+        self.utterance_end = ends + 1
+        self.row_of_utterance = np.searchsorted(offsets, ends, "right") - 1
+        self.texts, self.offsets = texts, offsets
         letter = k == 1
         before = np.concatenate(([False], letter[:-1]))
         ideograph = k == 2
@@ -170,7 +177,6 @@ class Tokens:
         self.begin, self.end = begin, end
         self.utterance = number[begin]
         self.n_utterances = int(number[-1]) + 1 if n else 0
-        self.row_of_utterance = np.searchsorted(np.cumsum(np.bincount(np.searchsorted(offsets, np.flatnonzero(stop), "right") - 1, minlength=len(texts))), np.arange(self.n_utterances), "right") if n else np.zeros(0, np.int64)
         self.han = ideograph[begin]
         next_to = np.zeros(len(begin), dtype=bool)
         next_to[1:] = self.utterance[1:] == self.utterance[:-1]
@@ -188,6 +194,45 @@ class Tokens:
         triple_close[1:] &= close[:-1]
         self.pair = np.where(self.han, np.where(triple_close, cell(triple), -1), np.where(next_to & ~np.concatenate(([True], self.han[:-1])), cell(pair), -1))
 
+    def text_of(self, u: int) -> str:
+        """The utterance of a number as it stands in its text."""
+        row = self.row_of_utterance[u]
+        return self.texts[row][self.utterance_start[u] - self.offsets[row] : self.utterance_end[u] - self.offsets[row]].strip()
+
+    def spots(self) -> np.ndarray:
+        """Numbers of the utterances in which SPACED, HAN_GAP or ODD may match a token of two letters or an ideograph."""
+        low, kind, latin, cyrillic = tables()
+        flat, k, number = self.flat, self.kind, self.number
+        n = len(flat)
+        c = signs()[flat]
+        letter, ideograph, digit = k == 1, k == 2, (flat >= 0x30) & (flat < 0x3A)
+        # tokens of letters, digits and signs: how many letters each has
+        part = letter | digit | (c & 1 > 0)
+        begins = part.copy()
+        begins[1:] &= ~part[:-1]
+        run = np.cumsum(begins)
+        letters = np.bincount(run[letter], minlength=int(run[-1]) + 1 if n else 1)
+        hit = np.zeros(n, dtype=bool)
+        odd = digit | (c & 1 > 0)
+        hit[1:] = odd[1:] & letter[:-1] | odd[:-1] & letter[1:]
+        lower = low[flat]
+        hit[2:] |= letter[2:] & (lower[2:] == lower[1:-1]) & (lower[1:-1] == lower[:-2])
+        a, b = latin[flat] > 0, cyrillic[flat] > 0
+        hit[1:] |= a[1:] & b[:-1] | b[1:] & a[:-1]
+        hit &= letters[run] >= 2
+        # letters set apart: two tokens in a row of one character
+        alnum = letter | digit | ideograph
+        first = np.flatnonzero(alnum & ~np.concatenate(([False], alnum[:-1])))
+        last = np.flatnonzero(alnum & ~np.append(alnum[1:], False))
+        single = first == last
+        lone = np.flatnonzero(single[1:] & single[:-1] & (letter[first[1:]] | letter[first[:-1]]))
+        hit[first[lone]] = True
+        # ideographs with signs between them
+        x = np.pad(ideograph, (0, 3))
+        gap = np.pad(c & 2 > 0, (0, 3))
+        hit |= ideograph & (np.pad(c & 4 > 0, (0, 1))[1:] | gap[1 : n + 1] & (x[2 : n + 2] | gap[2 : n + 2] & x[3:]))
+        return np.unique(number[hit])
+
     def features(self, keep: np.ndarray | None = None) -> np.ndarray:
         """All feature cells of the tokens, or of those to keep."""
         parts = [self.unit, self.stem[~self.han], self.pair] if keep is None else [self.unit[keep], self.stem[keep & ~self.han], self.pair[keep]]
@@ -375,7 +420,7 @@ def restore(low: str, channel: Channel) -> str:
 
     def reading(m: re.Match) -> str:
         token = m.group()
-        if sum(map(str.isalpha, token)) < 2 and not any(map(han, token)):
+        if sum(c.isalpha() and c != "丨" for c in token) < 2 and not any(map(han, token)):
             return token
         return channel.decode(token)
 
@@ -383,14 +428,9 @@ def restore(low: str, channel: Channel) -> str:
     return ODD.sub(reading, out) if MAY_BE_ODD.search(out) else out
 
 
-UTTERANCE = re.compile(r"[^\n。！？]*?(?:[.!?…]+(?=\s|$)|[。！？]+|\n|$)")
-
-
-def utterances(text: str) -> Iterator[str]:
-    for m in UTTERANCE.finditer(text):
-        u = m.group().strip()
-        if u:
-            yield u
+def utterances(text: str) -> list[str]:
+    t = Tokens([text])
+    return [u for u in map(t.text_of, range(t.n_utterances)) if u]
 
 
 class Classifier:
@@ -544,22 +584,15 @@ class Model:
         at = np.full(len(texts), -1)
         for u in np.flatnonzero((score > 0) & (score == best[t.row_of_utterance]))[::-1]:
             at[t.row_of_utterance[u]] = u
-        bounds = np.flatnonzero((t.kind == 4) | (t.kind == 3) & np.append((t.kind[1:] == 5) | (t.kind[1:] == 4), True))
-        starts = np.concatenate(([0], bounds + 1))
-        row_start = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))
-        found = []
-        for i, text in enumerate(texts):
-            u = at[i]
-            found.append((float(best[i]), text[starts[u] - row_start[i] : bounds[u] + 1 - row_start[i]].strip() if u >= 0 else ""))
+        found = [(float(best[i]), t.text_of(at[i]) if at[i] >= 0 else "") for i in range(len(texts))]
         # disguised spots: the utterances that reading changes are scored again
         again, of, was = [], [], []
-        for i in np.flatnonzero(spots(texts)):
-            for m in UTTERANCE.finditer(texts[i]):
-                u = m.group().strip()
-                if u and MAY_BE.search(low := u.lower()) and (r := restore(low, self.channel)) != low:
-                    again.append(r.replace("\n", " "))
-                    of.append(i)
-                    was.append(u)
+        for u in t.spots():
+            text = t.text_of(u)
+            if (r := restore(low := text.lower(), self.channel)) != low:
+                again.append(r.replace("\n", " "))
+                of.append(t.row_of_utterance[u])
+                was.append(text)
         if again:
             t = Tokens(again)
             score, _, _ = self.classifier.scores(t)
@@ -571,50 +604,16 @@ class Model:
         return found
 
 
-#: What a disguised spot can't do without.
-MAY_BE = re.compile(MAY_BE_ODD.pattern + r"|(?<![^\W_])[^\W_][.\-_·*•丨|/ \t]|[㐀-鿿][ .·\-_*•丨|/~#@＊○×]")
-
-
-def class_table() -> np.ndarray:
-    """0 other, 1 Latin letter, 2 Cyrillic letter, 3 ideograph, 4 digit, 5 sign used in disguise, 6 gap."""
-    t = np.zeros(0x110000, dtype=np.uint8)
-    t[0x41:0x5B] = t[0x61:0x7B] = 1
-    t[0x400:0x460] = 2
-    t[0x3400:0xA000] = 3
-    t[0x30:0x3A] = 4
-    for c in "*#@$|丨!€＊○":
-        t[ord(c)] = 5
-    for c in " .·-_•,/~":
-        t[ord(c)] = 6
+@lru_cache(1)
+def signs() -> np.ndarray:
+    """By code point: 1 for signs used in words, 2 for gaps between ideographs, 4 for signs that end ideographs; added up."""
+    t = np.zeros(MAX_CP, dtype=np.uint8)
+    for value, chars in ((1, "*#@$|丨€!＊○"), (2, " .·-_*•丨|/~#@"), (4, "*#＊丨○×")):
+        for c in chars:
+            t[ord(c)] |= value
     return t
 
 
-_CLASSES: list[np.ndarray] = []
-
-
-def spots(texts: list[str]) -> np.ndarray:
-    """For every text, whether SPACED, HAN_GAP or ODD may match in it; most texts are settled by array operations."""
-    if not _CLASSES:
-        _CLASSES.append(class_table())
-    lows = [t.lower() for t in texts]
-    flat, offsets = flatten(lows)
-    if len(flat) < 5:
-        return np.ones(len(texts), dtype=bool)
-    k = _CLASSES[0][flat]
-    is_letter = (k > 0) & (k < 4) | (flat >= 0xC0) & (flat < 0x100)
-    odd = (k == 4) | (k == 5)
-    hit = np.zeros(len(flat), dtype=bool)
-    a, b, c = slice(0, -2), slice(1, -1), slice(2, None)
-    hit[1:] |= odd[1:] & is_letter[:-1] | odd[:-1] & is_letter[1:]
-    hit[b] |= is_letter[a] & (flat[a] == flat[b]) & (flat[b] == flat[c]) & (k[a] < 3)
-    hit[1:] |= (k[1:] == 2) & (k[:-1] == 1) | (k[1:] == 1) & (k[:-1] == 2)
-    out = sums(hit.astype(np.int64), offsets) > 0
-    # letters set apart, by gaps of any length
-    for i in np.flatnonzero(~out):
-        out[i] = SPACED.search(lows[i]) is not None or HAN_GAP.search(lows[i]) is not None
-    return out
-
-
 SCHEMA = "doc_id bigint, source string, score double, kind string, utterance string"
 
 

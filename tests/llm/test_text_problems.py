@@ -191,7 +191,7 @@ def test_viterbi_is_exact(abuse_model):
 
 def test_wording_beside_an_insult_is_learned():
     """What no label shows is found once the corpus uses it beside what is known."""
-    texts = [f"Иди лесом, {w}, и не возвращайся." for w in ("идиот", "кретин", "урод", "дебил")] * 8 + PROSE * 3000
+    texts = [f"Иди лесом, {w}, и не возвращайся." for w in ("идиот", "кретин", "урод", "дебил")] * 8 + PROSE * 6000
     counts = np.zeros(abuse.CELLS)
     abuse.count_texts(counts, texts)
     first = abuse.Model(counts, sum(labelled(), []))
@@ -207,10 +207,13 @@ def test_wording_beside_an_insult_is_learned():
 @settings(max_examples=300, deadline=None)
 @given(st.text("абxяaX19@!*| .-_\tяЯé傻逼×丨\n", max_size=30))
 def test_screen_lets_through_what_the_patterns_match(text):
-    low = text.lower()
-    if any(p.search(low) for p in (abuse.SPACED, abuse.HAN_GAP, abuse.ODD)):
-        assert abuse.spots(["насос включён", text, "x"])[1]
-        assert any(abuse.MAY_BE.search(m) for m in low.split("\n") + [low])
+    t = abuse.Tokens(["насос включён", text, "x"])
+    found = set(t.spots().tolist())
+    for u in range(t.n_utterances):
+        low = t.text_of(u).lower()
+        tokens = [m.group() for p in (abuse.SPACED, abuse.HAN_GAP, abuse.ODD) for m in p.finditer(low)]
+        if any(sum(c.isalpha() and c != "丨" for c in x) >= 2 or any(map(abuse.han, x)) for x in tokens):
+            assert u in found, (text, low)
 
 
 def test_disguise_at_the_edge_of_a_word(abuse_model):
