@@ -28,15 +28,17 @@ from loomtext.llm.codepoints import MAX_CP, flatten, mix64
 from loomtext.plans.runtime import table
 
 #: Scores are in units of the log-odds at which an utterance is a case.
-THRESHOLD, ODDS = 1.0, 5.0
+THRESHOLD, ODDS = 1.0, 4.4
 #: A stretch above this score teaches the classifier; a sentence beside a worse one of its labelled text does so from this score on.
-TEACHES, ALSO = 1.1, 0.5
+TEACHES, ALSO = 1.25, 0.5
 #: Tokens beside a stretch that are learned with it, and how often the corpus is searched for what teaches.
 AROUND, ROUNDS = 6, 2
 #: Largest share of the examples in the background.
 BACKGROUND = 0.0025
 #: Share of a feature's uses in the corpus that must lie beside what teaches for it to be learned.
-PURITY = 0.3
+PURITY = 0.5
+#: Uses beside what teaches that are put down to chance.
+CHANCE = 2.0
 #: At most so many labelled texts (after the vote of their annotators) train the classifier.
 MAX_LABELS = 100_000
 #: Cells of the hashed feature table; weight of the corpus within the offending class, in features; bounds of a feature's log-odds.
@@ -539,7 +541,7 @@ class Model:
                 score = [self.best(u) for u in us]
                 examples += [(u, label) for u, x in zip(us, score) if x == max(score) or x >= ALSO]
         if taught is not None:
-            now += np.where(taught >= PURITY * corpus, taught, 0.0)
+            now += np.where(taught >= PURITY * corpus, np.maximum(taught - CHANCE, 0.0), 0.0)
         self.classifier = Classifier(corpus, now)
         self.kinds = {k: Counter() for k in KINDS}
         for kind, w in seeds:
