@@ -25,7 +25,6 @@ from loomtext.plans.runtime import cut, table
 SEPARATORS = ";；|"
 #: Polynomial bases of the two hashes (odd 64-bit numbers).
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-MAX_REHASH = 4
 KEEP_OTHER = MAX_CP  # offset that marks a kept non-letter, apart from every folded letter
 
 
@@ -214,7 +213,7 @@ def find_copies(records: DataFrame, seed: int = 0) -> DataFrame:
     )
     found = checked.where("same").select("src_table", "keep_id", "copy_id")
     other = checked.where("not same").select("src_table", "scope", F.col("copy_id").alias("id"), "text")
-    if seed < MAX_REHASH and not other.isEmpty():
+    if not other.isEmpty():  # each round settles at least the smallest id of every key, so this ends
         found = found.unionByName(find_copies(other, seed + 1))
     return found.select("src_table", "keep_id", "copy_id")
 

@@ -27,15 +27,15 @@ from loomtext.plans.runtime import table
 #: Charsets a text may have been read in, and charsets its bytes may really be in.
 READ_AS = ("latin-1", "cp1252", "cp1251", "koi8-r", "cp866", "gb18030")
 REALLY = ("utf-8", "cp1251", "gbk", "koi8-r", "cp866")
-MAX_DEPTH, MAX_STATES = 3, 40
+MAX_DEPTH, MAX_STATES = 3, 120
+#: By how much a move may make a state dearer: a share and a constant in nats. A dearer state can lead to the cheapest text.
+RISE_SHARE, RISE = 0.25, 8.0
 #: Nats a repair must save: a constant and a share of the old cost.
 MARGIN, SHARE = 4.0, 0.25
 #: The same within a value of which another field has been repaired.
 NEAR_MARGIN, NEAR_SHARE = 2.0, 0.12
 #: Share of the first cost at which a state without odd characters ends the search.
 GOAL = 0.6
-#: Nats by which a move may make a state dearer.
-RISE = 3.0
 #: The screen lets pass what costs less per Russian letter, in the mean and for a single one.
 MEAN, STEEP = 3.2, 9.0
 
@@ -165,9 +165,15 @@ def screen(texts: list[str | None], model: np.ndarray) -> np.ndarray:
     clash = up & (np.concatenate(([0], k[:-1])) == RU_LOW) & ~first
     n = count(letter)
     mean = sums(cost, offsets) / np.maximum(n, 1)
+    # escapes of any kind need their own sign
+    sign = (flat == ord("&")) | (flat == ord("\\")) | (flat == ord("%"))
+    for i in np.flatnonzero((count(sign) > 0) & ~row_odd):
+        row_odd[i] = ESCAPED.search(texts[i]) is not None
     return row_odd | (count(clash) > 0) | ((n > 0) & ((mean > MEAN) | (count(cost > STEEP) > 0)))
 
 
+#: Text written out in escapes: entities, code units after \u, bytes after %. CAD's own codes differ (\U+2205, %%c).
+ESCAPED = re.compile(r"(?:&#(?:\d{2,7}|[xX][0-9a-fA-F]{2,6});\s*){2}|&(?:[lg]t|amp|quot|nbsp|apos);|(?:\\u[0-9a-fA-F]{4}\s*){2}|(?:%[0-9A-F]{2}){3}")
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
 WORDLIKE = re.compile(r"[^\W\d_]+")
 
@@ -285,16 +291,17 @@ class Repairer:
     @staticmethod
     def encoded(s: str, w: str) -> list[tuple[bytes | None, str]] | None:
         """s as runs of bytes in charset w, broken by characters that w doesn't have."""
-        try:
-            raw = s.encode(w)
-            return [(raw, s)] if not raw.isascii() else None
-        except UnicodeEncodeError:
-            pass
+        if "\ufffd" not in s:  # a lost character has no bytes, though gb18030 would give it some
+            try:
+                raw = s.encode(w)
+                return [(raw, s)] if not raw.isascii() else None
+            except UnicodeEncodeError:
+                pass
         parts: list[tuple[bytes | None, str]] = []
         run = bytearray()
         for ch in s:
             try:
-                run += ch.encode(w)
+                run += ch.encode(w if ch != "\ufffd" else "ascii")
             except UnicodeEncodeError:
                 if w == "cp1252" and ord(ch) in (0x81, 0x8D, 0x8F, 0x90, 0x9D):
                     run.append(ord(ch))
@@ -335,7 +342,7 @@ class Repairer:
                 if (h := hash(u)) not in seen:
                     seen.add(h)
                     cu = self.cost(u)
-                    if cu < c + RISE:
+                    if cu < (1 + RISE_SHARE) * c + RISE:
                         heapq.heappush(queue, (cu, depth + 1, u))
                         least = min(least, cu)
             if goal and least == c:
@@ -348,8 +355,8 @@ class Repairer:
 
     def value(self, s: str) -> tuple[bool, str | None]:
         """Whether s is affected, and its repaired text (null if something of it is lost)."""
-        pieces = re.split(r"(;)", s)
-        done = [(p, 0.0, 0.0, False) if p.isascii() else self.field(p) for p in pieces]
+        pieces = [s] if ESCAPED.search(s) else re.split(r"(;)", s)  # an entity ends in the mark between fields
+        done = [(p, 0.0, 0.0, False) if p.isascii() and not ESCAPED.search(p) else self.field(p) for p in pieces]
         hit = any(self.better(p, d) for p, d in zip(pieces, done))
         if hit:
             out = [d[0] if self.better(p, d, NEAR_MARGIN, NEAR_SHARE) else p for p, d in zip(pieces, done)]

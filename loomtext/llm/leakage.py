@@ -10,7 +10,7 @@ longest verbatim match. Passages too short for the stride get an array over all
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -22,16 +22,16 @@ from loomtext.llm.copies import tables
 from loomtext.plans.runtime import table
 
 DEPTH, STRIDE = 24, 16
-SHARD_CHARS = 3_000_000
+SHARD_CHARS = 12_000_000
 #: A document is affected from this share of a passage's letters and digits in one run.
 SHARE = 0.5
-#: Passages the driver may gather; test sets are small by nature. More are handled in several calls.
-MAX_PASSAGES = 200_000
+#: Passages that go along with a task; more of them are looked up in blocks, each in a pass over the documents.
+BLOCK = 100_000
 
 
 @lru_cache(1)
 def fold16() -> np.ndarray:
-    """Case-free letters and digits as 16-bit numbers, 0 for all else. Rare planes share numbers; hits are verified."""
+    """Case-free letters and digits as 16-bit numbers, 0 for all else. Rare planes share numbers, which is why hits are compared by code point."""
     f = tables()[0].astype(np.int64)
     return np.where(f < 0x10000, f, 0xE000 + f % 0x1900).astype(np.uint16)
 
@@ -47,16 +47,18 @@ class Passages:
     """Folded passages and their suffixes, split by whether a sparse suffix array can find them."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.text, self.need = [], [], []
+        self.ids, self.text, self.exact, self.need = [], [], [], []
         for item, passage in items:
             if passage is None:
                 continue
             flat, _ = flatten([passage])
             c = fold16()[flat] if len(flat) else np.zeros(0, np.uint16)
+            exact = tables()[0][flat[c > 0]] if len(flat) else flat
             c = c[c > 0]
             if len(c):
                 self.ids.append(item)
                 self.text.append(c)
+                self.exact.append(exact)
                 self.need.append(-(-len(c) // 2) if SHARE == 0.5 else int(np.ceil(len(c) * SHARE)))
         self.groups = []
         sparse = [k for k, n in enumerate(self.need) if n >= DEPTH + STRIDE - 1]
@@ -90,7 +92,7 @@ def shard_leaks(texts: list[str], passages: Passages) -> list[tuple[int, int, in
     c = fold16()[flat]
     kept = c > 0
     ends = np.concatenate(([0], np.cumsum(kept)))[offsets]
-    c = c[kept]
+    c, exact = c[kept], tables()[0][flat[kept]]
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for depth, stride, keys, who, off in passages.groups:
         at = np.concatenate([np.arange(s, e - depth + 1, stride) for s, e in zip(ends[:-1], ends[1:]) if e - s >= depth] or [np.zeros(0, np.int64)])
@@ -116,7 +118,7 @@ def shard_leaks(texts: list[str], passages: Passages) -> list[tuple[int, int, in
         new[1:] = (doc[1:] != doc[:-1]) | (who[q][1:] != who[q][:-1]) | (diagonal[1:] != diagonal[:-1]) | (p[1:] - p[:-1] > stride)
         for k in np.flatnonzero(new):
             d, w = int(doc[k]), int(who[q[k]])
-            body, passage = c[ends[d] : ends[d + 1]], passages.text[w]
+            body, passage = exact[ends[d] : ends[d + 1]], passages.exact[w]
             i, j = int(p[k] - ends[d]), int(off[q[k]])
             right = run_length(body, i, passage, j)
             left = run_length(body[:i][::-1], 0, passage[:j][::-1], 0) if i and j else 0
@@ -125,34 +127,49 @@ def shard_leaks(texts: list[str], passages: Passages) -> list[tuple[int, int, in
     return [(d, w, n, i) for (d, w), (n, i) in best.items() if n >= passages.need[w]]
 
 
+def shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of shards of SHARD_CHARS characters or one text more, over the limits of batches."""
+    ids: list[int] = []
+    texts: list[str] = []
+    size = 0
+    for pdf in batches:
+        for i, t in zip(pdf["doc_id"], pdf["text"]):
+            ids.append(i)
+            texts.append(t)
+            size += len(t)
+            if size >= SHARD_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def find_leaks(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """Leaks of passages(item_id, passage) in documents(doc_id, text).
 
     Returns (doc_id, item_id, run_chars, passage_chars, start_at): the longest verbatim run in letters and
     digits and where it starts among those of the document. Null and empty texts and passages have no
-    leaks. The passages go to every task (at most MAX_PASSAGES rows, checked); documents aren't shuffled.
+    leaks. The passages go to every task, in blocks of about BLOCK rows; documents aren't shuffled.
     """
-    rows = passages.select(F.col("item_id").cast("bigint"), "passage").limit(MAX_PASSAGES + 1).collect()
-    if len(rows) > MAX_PASSAGES:
-        raise ValueError(f"more than {MAX_PASSAGES} passages; call find_leaks for parts of them")
-    items = sorted((r["item_id"], r["passage"]) for r in rows if r["item_id"] is not None and r["passage"] is not None)
+    known = passages.select(F.col("item_id").cast("bigint").alias("item_id"), "passage").where("item_id is not null and passage is not null")
+    blocks = -(-known.count() // BLOCK)
+    if blocks > 1:
+        parts = [find_leaks_of(documents, known.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == k)) for k in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    return find_leaks_of(documents, known)
+
+
+def find_leaks_of(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """The leaks of one block of passages, which the driver gathers."""
+    items = sorted((r["item_id"], r["passage"]) for r in passages.collect())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Passages(items)
-        for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (size < SHARD_CHARS or stop == at):
-                    size += len(texts[stop])
-                    stop += 1
-                found = shard_leaks(texts[at:stop], known)
-                yield pd.DataFrame(
-                    [(ids[at + d], known.ids[w], n, len(known.text[w]), i) for d, w, n, i in found],
-                    columns=["doc_id", "item_id", "run_chars", "passage_chars", "start_at"],
-                ).astype("int64")
-                at = stop
+        for ids, texts in shards(batches):
+            yield pd.DataFrame(
+                [(ids[d], known.ids[w], n, len(known.text[w]), i) for d, w, n, i in shard_leaks(texts, known)],
+                columns=["doc_id", "item_id", "run_chars", "passage_chars", "start_at"],
+            ).astype("int64")
 
     docs = documents.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return docs.mapInPandas(run, "doc_id bigint, item_id bigint, run_chars bigint, passage_chars bigint, start_at bigint")

@@ -29,6 +29,8 @@ TRIPLES = """
 #: Radicals without a decomposition and the ideographs they look like (fixed values).
 RADICALS = dict(zip("⺠⻁⻄⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻨⻩⻬⻮⻰", "民虎西见角贝车长门青韦页风飞食马骨鬼鱼鸟麦黄齐齿龙"))
 LATIN, CYRILLIC, GREEK = 1, 2, 3
+#: Letters that may join the letter before them though they are no marks: medial and final Hangul (fixed values).
+JOINING = ((0x1161, 0x1176), (0x11A8, 0x11C3))
 
 
 @lru_cache(1)
@@ -81,6 +83,8 @@ def quick_check() -> tuple[np.ndarray, np.ndarray]:
             if unicodedata.category(ch) in ("Mn", "Mc", "Me") or unicodedata.normalize("NFC", ch) != ch:
                 unstable[cp] = True
     unstable[0x1D165:0x1D1F0] = True
+    for a, b in JOINING:
+        unstable[a:b] = True
     script = np.zeros(0x110000, dtype=np.uint8)
     to_latin, to_cyrillic, to_greek = scripts()
     for lo, hi, s in ((0x41, 0x250, LATIN), (0x370, 0x400, GREEK), (0x400, 0x530, CYRILLIC)):
@@ -93,7 +97,7 @@ def quick_check() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _starter(ch: str) -> bool:
-    return unicodedata.combining(ch) == 0 and unicodedata.category(ch) not in ("Mn", "Mc", "Me")
+    return unicodedata.combining(ch) == 0 and unicodedata.category(ch) not in ("Mn", "Mc", "Me") and not any(a <= ord(ch) < b for a, b in JOINING)
 
 
 def normal_segment(s: str) -> str:

@@ -220,10 +220,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(p5_blocks(spark, sf_dir)).select(F.col("id_a").alias("block_a"), F.col("id_b").alias("block_b"))
 
 
-def components(pairs: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id, class_id): the smallest id reachable over pairs(id_a, id_b), by large-star/small-star rounds."""
+def components(pairs: DataFrame) -> DataFrame:
+    """(id, class_id): the smallest id reachable over pairs(id_a, id_b), by large-star/small-star rounds until nothing changes."""
     edges = cut(pairs.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct())
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour goes to the smallest neighbour
         sym = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

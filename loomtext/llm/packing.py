@@ -153,15 +153,15 @@ def pack_documents(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Returns (container_id, doc_id, start_token, n_tokens): one row per document, more for one that exceeds
     the capacity: its full pieces are containers of their own, the rest is packed like a document. Documents
-    without tokens (null or empty text) get a null container. Repeated ids are packed each.
+    without tokens (null or empty text) get a null container. Repeated and null ids are packed each.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    known = cut(sizes)
+    known = cut(sizes.withColumn("row", F.monotonically_increasing_id()))
     full = known.where(F.col("n_tokens") >= capacity).select(
-        "doc_id", F.explode(F.sequence(F.lit(0), F.expr(f"n_tokens div {capacity} - 1"))).alias("k")
+        "row", "doc_id", F.explode(F.sequence(F.lit(0), F.expr(f"n_tokens div {capacity} - 1"))).alias("k")
     ).select(
-        F.concat(F.lit("f-"), "doc_id", F.lit("-"), "k").alias("container_id"), "doc_id",
+        F.concat(F.lit("f-"), "row", F.lit("-"), "k").alias("container_id"), "doc_id",
         (F.col("k") * capacity).alias("start_token"), F.lit(capacity).cast("bigint").alias("n_tokens"),
     )
     rest = known.where(F.col("n_tokens") % capacity > 0).select(

@@ -50,6 +50,22 @@ def test_leak_edges(spark):
     assert leakage.find_leaks(d, p.limit(0)).count() == 0 == leakage.find_leaks(d.limit(0), p).count()
 
 
+def test_characters_of_rare_planes_are_not_confused(spark):
+    d = spark.createDataFrame([(1, "\U00020000" * 40), (2, "\U00021900" * 40)], "doc_id bigint, text string")
+    p = spark.createDataFrame([(1, "\U00021900" * 40)], "item_id bigint, passage string")
+    assert [(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, p).collect()] == [(2, 1)]
+
+
+def test_passages_in_blocks_and_shards_over_batches(spark, monkeypatch):
+    words = ["".join(random.Random(i).choices("абвгдежз", k=50)) for i in range(12)]
+    d = spark.createDataFrame([(i, "x " + words[i % 12] + " y") for i in range(30)], "doc_id bigint, text string")
+    p = spark.createDataFrame(list(enumerate(words)), "item_id bigint, passage string")
+    want = {(i, i % 12) for i in range(30)}
+    monkeypatch.setattr(leakage, "BLOCK", 5)
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, p).collect()} == want
+    assert [len(i) for i, _ in leakage.shards(iter([]))] == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=60), st.integers(50, 80))
 def test_packing_is_a_partition_within_capacity(sizes, capacity):
@@ -84,6 +100,23 @@ def test_pack_documents(spark):
     assert packing.pack_documents(df.limit(0), 10).count() == 0
 
 
+def test_repeated_and_null_ids_get_containers_of_their_own(spark):
+    df = spark.createDataFrame([(7, 10), (7, 10), (None, 10), (None, 25), (None, 0)], "doc_id bigint, n_tokens bigint")
+    got = packing.pack_documents(df, 10).collect()
+    assert sum(r["n_tokens"] for r in got) == 55 and sum(r["container_id"] is None for r in got) == 1
+    full = [r["container_id"] for r in got if r["n_tokens"] == 10]
+    assert len(full) == len(set(full)) == 5
+
+
+def test_several_shards_stay_near_the_lower_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 300)
+    rnd = random.Random(5)
+    rows = [(i, rnd.randint(1, 60)) for i in range(2000)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), 100).groupBy("container_id").agg(F.sum("n_tokens").alias("n")).collect()
+    total = sum(n for _, n in rows)
+    assert sum(r["n"] for r in got) == total and max(r["n"] for r in got) <= 100 and len(got) <= 1.02 * -(-total // 100)
+
+
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Насос 5"), (4, "水泵 " * 3000)], "doc_id bigint, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_sizes(df).collect()}

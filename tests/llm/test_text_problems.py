@@ -55,7 +55,28 @@ def test_misread_edges(spark):
     assert encoding.fit_model(spark.createDataFrame([(None,), ("",)], "text string")).shape == (encoding.CELLS,)
 
 
-UNSTABLE = "aeocxаеосхABZ１Ａｂ　 ​́̆и⽤不 \n.,中5ᅠΑ"
+UNSTABLE = "\u1112\u1161\u11ab\uac00aeocxаеосхABZ１Ａｂ　 ​́̆и⽤不 \n.,中5ᅠΑ"
+
+
+def test_escapes_written_in_ascii(repairer):
+    for text, code in [(RU[1], lambda c: f"&#{ord(c)};"), (RU[1], lambda c: f"\\u{ord(c):04x}"), (RU[1], lambda c: "".join(f"%{b:02X}" for b in c.encode())), (ZH[2], lambda c: f"&#x{ord(c):X};")]:
+        written = "".join(c if c == " " else code(c) for c in text)
+        assert written.isascii() and encoding.screen([written, "%%c200 \\U+2205 &A-1"], np.array(repairer.model)).tolist() == [True, False]
+        assert repairer.value(written) == (True, text)
+
+
+def test_a_dearer_state_may_lead_to_the_cheapest(repairer):
+    """Read wrongly twice: the way back passes through other gibberish."""
+    for first, second in [(("utf-8", "latin-1"), ("utf-8", "cp1251")), (("koi8-r", "cp1251"), ("utf-8", "latin-1")), (("utf-8", "cp1251"), ("utf-8", "latin-1"))]:
+        once = RU[0].encode(first[0]).decode(first[1])
+        twice = once.encode(second[0]).decode(second[1], "replace")
+        if "\ufffd" not in twice:
+            assert repairer.value(twice)[1] == RU[0], (first, second)
+    assert repairer.value("\ufffd\ufffd\ufffd LA-5")[1] is None
+
+
+def test_hangul_composes_with_its_predecessor():
+    assert lookalikes.canonical_batch(["\u1112\u1161\u11ab", "\uac00\u11a8 x"]) == ["\ud55c", "\uac01 x"]
 
 
 @settings(max_examples=400, deadline=None)
