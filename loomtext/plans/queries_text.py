@@ -227,6 +227,53 @@ QUERIES = {f.__name__: f for f in (
 _MODES = """SELECT file_id AS doc_id, page, count(*) AS text_blocks, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM pdf_blocks GROUP BY 1, 2"""
 _MODE = "CASE WHEN chars >= 200 THEN 'text' WHEN chars >= 30 THEN 'hybrid' ELSE 'scanned' END"
 
+_NOISE = r"(CASE WHEN v = '' THEN true WHEN regexp_matches(v, '[一-鿿]') THEN false ELSE length(v) <= 1 OR " + marks("v", "?") + r" >= 3 OR regexp_full_match(v, '[A-Za-z0-9\s,.;:()/%×\-–—_?]{1,18}') END)"
+_PLACED = f"""SELECT file_id AS doc_id, page, block_id AS id, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1, text, font_size / 20 AS score,
+    coalesce(starts_with(pdf_source, 'ocr_raster'), false) AS extra, v, lower(v) AS t, {strip("coalesce(text, '')")} AS s, {_NOISE} AS noise
+    FROM (SELECT *, {squash('text')} AS v FROM pdf_blocks)"""
+_BOXED = "x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL"
+_NEAR = "greatest(abs(k.x0 - o.x0), abs(k.y0 - o.y0), abs(k.x1 - o.x1), abs(k.y1 - o.y1)) <= "
+
+
+def _page_walk(keep: str, order: str, first: str, step: str) -> str:
+    """SQL that walks over the rows of each page in order with a list; f is the list at the end of each page."""
+    return f"""WITH RECURSIVE b AS ({_PLACED}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY {order}) AS n FROM b WHERE {_BOXED} AND {keep}),
+        r AS (SELECT doc_id, page, n, [{first}] AS acc FROM o WHERE n = 1 UNION ALL SELECT o.doc_id, o.page, o.n, {step} FROM r JOIN o ON o.doc_id = r.doc_id AND o.page = r.page AND o.n = r.n + 1),
+        f AS (SELECT doc_id, page, arg_max(acc, n) AS acc FROM r GROUP BY ALL)"""
+
+
+_P = "{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 't': t, 'id': id}"
+_PO = "{'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 't': o.t, 'id': o.id}"
+_INSIDE = "(k.t <> '' AND o.t <> '' AND (contains(k.t, o.t) OR contains(o.t, k.t)))"
+_IOU = """(list_transform([greatest(least(k.x1, o.x1) - greatest(k.x0, o.x0), 0) * greatest(least(k.y1, o.y1) - greatest(k.y0, o.y0), 0)], lambda i:
+    CASE WHEN i > 0 THEN i / greatest(greatest((k.x1 - k.x0) * (k.y1 - k.y0), 1) + greatest((o.x1 - o.x0) * (o.y1 - o.y0), 1) - i, 1) ELSE 0 END))[1]"""
+_SPOT = f"list_position(list_transform(r.acc, lambda k: {_NEAR}8 AND (k.t = o.t OR {_INSIDE})), true)"
+_ROW = "list_position(list_transform(r.acc, lambda k: abs(o.y0 - k.y0) <= greatest(k.y1 - k.y0, 1) * 0.65), true)"
+_W = "{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'w': [{'x': x0, 'n': 0, 's': s}]}"
+_WO = "{'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'w': [{'x': o.x0, 'n': 0, 's': o.s}]}"
+_L = "{'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'text': coalesce(text, ''), 'score': score}"
+_LO = "{'id': o.id, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'text': coalesce(o.text, ''), 'score': o.score}"
+_SAME_ROW = "(abs(o.y0 - r.acc[-1].y0) <= greatest(r.acc[-1].y1 - r.acc[-1].y0, 1) * 0.55 AND o.x0 - r.acc[-1].x1 <= greatest(r.acc[-1].y1 - r.acc[-1].y0, 1) * 2.5)"
+
+PAGE_ORACLE = {
+    "near_duplicate_blocks": _page_walk("t <> ''", "y0, x0, -length(text), id", _P, f"CASE WHEN len(list_filter(r.acc, lambda k: {_NEAR}5 AND {_INSIDE})) > 0 THEN r.acc ELSE list_append(r.acc, {_PO}) END")
+        + f" SELECT doc_id, page, unnest(acc).id AS id FROM f UNION ALL SELECT doc_id, page, id FROM b WHERE NOT ({_BOXED}) AND t <> ''",
+    "deduped_lines": _page_walk("s <> ''", "-score, length(text), id", _P.replace("'t': t", "'t': s"),
+        f"CASE WHEN len(list_filter(r.acc, lambda k: {_INSIDE.replace('o.t', 'o.s')} AND {_IOU} >= 0.35)) > 0 THEN r.acc ELSE list_append(r.acc, {_PO.replace('o.t', 'o.s')}) END")
+        + f" SELECT doc_id, page, unnest(acc).id AS id FROM f UNION ALL SELECT doc_id, page, id FROM b WHERE NOT ({_BOXED}) AND s <> ''",
+    "merged_block_sets": _page_walk("(NOT extra OR NOT noise AND t <> '')", "extra, id", _P,
+        f"CASE WHEN o.extra AND {_SPOT} > 0 THEN list_transform(r.acc, lambda k, i: CASE WHEN i = {_SPOT} AND length(k.t) < length(o.t) THEN {_PO} ELSE k END) ELSE list_append(r.acc, {_PO}) END")
+        + f" SELECT doc_id, page, unnest(acc).id AS id FROM f UNION ALL SELECT doc_id, page, id FROM b WHERE NOT ({_BOXED}) AND (NOT extra OR NOT noise AND t <> '')",
+    "page_lines": _page_walk("NOT noise", "y0, x0, s", _W, f"""CASE WHEN {_ROW} > 0 THEN list_transform(r.acc, lambda k, i: CASE WHEN i = {_ROW} THEN
+        {{'x0': least(k.x0, o.x0), 'y0': least(k.y0, o.y0), 'x1': greatest(k.x1, o.x1), 'y1': greatest(k.y1, o.y1), 'w': list_append(k.w, {{'x': o.x0, 'n': len(k.w)::INT, 's': o.s}})}} ELSE k END) ELSE list_append(r.acc, {_WO}) END""")
+        + f""", g AS (SELECT doc_id, page, unnest(acc) AS l FROM f), h AS (SELECT doc_id, page, l.x0 AS x0, l.y0 AS y0, l.x1 AS x1, l.y1 AS y1, {strip("array_to_string(list_transform(list_sort(l.w), lambda w: w.s), ' ')")} AS text FROM g
+        UNION ALL SELECT doc_id, page, x0, y0, x1, y1, s FROM b WHERE NOT ({_BOXED}) AND NOT noise)
+        SELECT doc_id, page, x0, y0, x1, y1, text, coalesce(greatest((y1 - y0) * 0.75, 6.0), 6.0) AS font_size FROM (SELECT *, {squash('text')} AS v FROM h) WHERE NOT {_NOISE}""",
+    "merged_lines": _page_walk("true", "y0, x0, id", _L, f"""CASE WHEN {_SAME_ROW} THEN list_append(r.acc[:-2], {{'id': r.acc[-1].id, 'x0': least(r.acc[-1].x0, o.x0), 'y0': least(r.acc[-1].y0, o.y0), 'x1': greatest(r.acc[-1].x1, o.x1),
+        'y1': greatest(r.acc[-1].y1, o.y1), 'text': {strip("r.acc[-1].text || ' ' || coalesce(o.text, '')")}, 'score': least(r.acc[-1].score, o.score)}}) ELSE list_append(r.acc, {_LO}) END""")
+        + f" SELECT doc_id, page, l.id AS id, l.x0 AS x0, l.y0 AS y0, l.x1 AS x1, l.y1 AS y1, l.text AS text, l.score AS score FROM (SELECT doc_id, page, unnest(acc) AS l FROM f) UNION ALL SELECT doc_id, page, id, x0, y0, x1, y1, coalesce(text, ''), score FROM b WHERE NOT ({_BOXED})",
+}
+
 ORACLE = {
     "clean_source_text": f"SELECT doc_id, {clean('text')} AS clean_text FROM documents",
     "text_fingerprint_dups": f"SELECT sha1({clean('text')}) AS text_hash, min(rec_id) AS first_id, count(*) AS n_rows FROM dxf_records GROUP BY 1 HAVING count(*) > 1",
@@ -282,3 +329,4 @@ ORACLE = {
         SELECT id, coalesce(list_max(list_filter(range(6, greatest(least(trunc(font_size)::INT, greatest(trunc(h)::INT, 6)), 6) + 1), lambda s: length(text) * 0.5 * s <= w * 1.03 AND s * 1.35 * n <= h * 1.1))::DOUBLE,
         greatest(least(h / n * 0.8, 8.0), 6.0)) AS font_size FROM b""",
 }
+ORACLE |= PAGE_ORACLE
