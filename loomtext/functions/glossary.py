@@ -1,25 +1,21 @@
 """Built-in vocabulary and the ordered term arrays made from it and from glossary tables.
 
 Replacements run one after another, longest key first; keys of equal length keep the order in which they
-were first met, also when a later layer overrides their value. A row carries the array of its section, so one
-`aggregate` expression does what would otherwise be hundreds of nested calls.
+were first met, also when a later layer overrides their value. A row carries the array of the terms that occur in
+its texts, so one `aggregate` expression does what would otherwise be hundreds of nested calls.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from loomtext.functions.text import bound, CN, FULL_WIDTH, FULL_WIDTH_TO, WS, normalise_punctuation, status_approved, strip
+from loomtext.plans.runtime import cut
+from loomtext.functions.text import CN, WS, bound, normalise_punctuation, status_approved, strip
 
 SECTIONS = ["ТХ", "ОВ", "ВК", "ЭОМ", "КЖ", "АР", "UNKNOWN"]
-#: Glossaries up to this many rows are broadcast; larger ones are joined.
-MAX_BROADCAST_TERMS = 50_000
 
 # Section terms used where no term file is given.
 BASE_TERMS = {
@@ -113,7 +109,8 @@ NORM_TERMS = {
     "водоотводный лоток для сточных вод": "водоотводный лоток", "по грани стальной колонны": "привязать по грани стальной колонны",
 }
 
-TERM = "struct<k:string,v:string,cn:boolean>"
+
+KINDS = ("terms", "norm_terms", "residual_terms")
 
 
 def literal_terms(terms: dict[str, str], longest_first: bool = True) -> Column:
@@ -159,29 +156,24 @@ def approved_terms(approved: DataFrame) -> DataFrame:
     section = F.coalesce(F.nullif(strip(F.col("section")), F.lit("")), F.lit("ALL"))
     return approved.where(
         status_approved(F.col("status")) & (strip(F.coalesce("cn", F.lit(""))) != "") & (strip(F.coalesce("ru", F.lit(""))) != "")
-    ).select(section.alias("section"), "cn", "ru", F.col("ord").cast("int").alias("ord"))
+    ).select(section.alias("section"), "cn", "ru", F.col("ord").cast("bigint").alias("ord"))
 
 
 def layered_terms(spark: SparkSession, approved: DataFrame, booster: DataFrame | None = None) -> DataFrame:
     """Every layer of every section: (section, cn, ru, layer, ord). Later layers override earlier ones."""
-    names = spark.createDataFrame([(s,) for s in [*SECTIONS, "ПБ"]], "target string")
+    names = [*SECTIONS, "ПБ"]
+    every = F.array(*map(F.lit, names))
+    own = lambda *general: F.explode(F.when(F.col("section").isin(*general), every).otherwise(F.array("section"))).alias("target")
+    is_own = F.col("section") == F.col("target")
     base = _rows(spark, [(s, k, v, 0 if s == "UNKNOWN" else 1, i) for s, m in BASE_TERMS.items() for i, (k, v) in enumerate(m.items())])
-    parts = [
-        names.join(base, (base["section"] == names["target"]) | (base["section"] == "UNKNOWN")).select(
-            "target", "cn", "ru", F.when(F.col("section") == "UNKNOWN", 0).otherwise(1).alias("layer"), "ord")
-    ]
-    for layer, rows in ((2, approved_terms(approved)), (4, booster)):
-        if rows is None:
-            continue
-        own = names.join(rows, (rows["section"] == names["target"]) | (rows["section"] == "ALL") | ((rows["section"] == "UNKNOWN") & F.lit(layer == 4)))
-        order = F.when(F.col("section") == "ALL", layer).when(F.col("section") == F.col("target"), layer + 1).otherwise(layer + 2)
-        if layer == 4:  # among the booster terms those without a section come last
-            order = F.when(F.col("section") == "ALL", layer).when(F.col("section") == "UNKNOWN", layer + 2).otherwise(layer + 1)
-        parts.append(own.select("target", "cn", "ru", order.alias("layer"), "ord"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("target", "section")
+    out = base.select(own("UNKNOWN"), "cn", "ru", "layer", F.col("ord").cast("bigint").alias("ord"))
+    layer = lambda n, rank: F.when(F.col("section") == "ALL", n).when(rank, n + 1).otherwise(n + 2).alias("layer")
+    rows = approved_terms(approved)
+    out = out.unionByName(rows.select("section", own("ALL"), "cn", "ru", "ord").select("target", "cn", "ru", layer(2, is_own), "ord"))
+    if booster is not None:  # among the booster terms those without a section come last
+        more = booster.select("section", own("ALL", "UNKNOWN"), "cn", "ru", F.col("ord").cast("bigint").alias("ord"))
+        out = out.unionByName(more.select("target", "cn", "ru", layer(4, F.col("section") != "UNKNOWN"), "ord"))
+    return out.where(F.col("target").isin(*names)).withColumnRenamed("target", "section")
 
 
 def section_terms(layers: DataFrame) -> DataFrame:
@@ -190,25 +182,15 @@ def section_terms(layers: DataFrame) -> DataFrame:
     return layers.groupBy("section", "cn").agg(F.max_by("ru", at).alias("ru"), F.min(at).alias("place"))
 
 
-def _array(rank: Column) -> Column:
-    item = F.struct((-F.length("cn")).alias("n"), rank.alias("place"), F.col("cn").alias("k"), F.col("ru").alias("v"))
-    plain = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
-    closed = ~F.bool_or(F.col("ru").rlike(CN))
-    return F.transform(plain, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"), (x["k"].rlike(CN) & closed).alias("cn")))
-
-
-def term_arrays(spark: SparkSession, approved: DataFrame, booster: DataFrame | None = None) -> DataFrame:
-    """One row per section: terms (all layers), norm_terms (approved only), residual_terms (built-in vocabulary below all)."""
+def term_table(spark: SparkSession, approved: DataFrame, booster: DataFrame | None = None) -> DataFrame:
+    """(section, kind, cn, ru, place): terms (all layers), norm_terms (approved only), residual_terms (built-in vocabulary below all)."""
     layers = layered_terms(spark, approved, booster)
-    own = section_terms(layers).groupBy("section").agg(_array(F.col("place")).alias("terms"))
-    norm = section_terms(layers.where("layer in (2, 3)")).groupBy("section").agg(_array(F.col("place")).alias("norm_terms"))
-    fixed = [("", k, v, n, i) for n, m in ((-3, PHRASES), (-2, TOKENS), (-1, MIXED)) for i, (k, v) in enumerate(m.items())]
-    every = layers.select("section").distinct().crossJoin(_rows(spark, fixed).drop("section"))
-    residual = section_terms(every.unionByName(layers)).groupBy("section").agg(_array(F.col("place")).alias("residual_terms"))
-    empty = F.from_json(F.lit("[]"), f"array<{TERM}>")
-    return own.join(norm, "section", "left").join(residual, "section", "left").select(
-        "section", "terms", F.coalesce("norm_terms", empty).alias("norm_terms"), "residual_terms"
-    )
+    fixed = [(s, k, v, n, i) for n, m in ((-3, PHRASES), (-2, TOKENS), (-1, MIXED)) for i, (k, v) in enumerate(m.items()) for s in [*SECTIONS, "ПБ"]]
+    low = _rows(spark, fixed).withColumn("ord", F.col("ord").cast("bigint"))
+    kinds = F.when(F.col("layer") < 0, F.array(F.lit("residual_terms"))).when(F.col("layer").isin(2, 3), F.array(*map(F.lit, KINDS))).otherwise(F.array(F.lit("terms"), F.lit("residual_terms")))
+    every = low.unionByName(layers).withColumn("kind", F.explode(kinds))
+    at = F.struct("layer", "ord")
+    return every.groupBy("section", "kind", "cn").agg(F.max_by("ru", at).alias("ru"), F.min(at).alias("place"))
 
 
 def section_key() -> Column:
@@ -218,173 +200,102 @@ def section_key() -> Column:
 
 def units(c: Column, terms: Column) -> Column:
     """A number before a counting word gets the unit's translation with a space."""
+    some, plain = c.rlike("[" + "".join(UNITS) + "]"), c
     for u in UNITS:
         to = F.coalesce(F.get(F.filter(terms, _is_term(u)), F.lit(0))["v"], F.lit(u))
         c = F.regexp_replace(c, F.lit(rf"(\p{{Nd}}+(?:[.,]\p{{Nd}}+)?){WS}*{u}"), F.concat(F.lit("$1 "), to))
-    return c
-
-
-def _is_term(key: str) -> Callable[[Column], Column]:
-    return lambda t: t["k"] == key
-
-
-class JoinedTerms:
-    """Terms of any size: the arrays of a section are joined to its rows and folded by expressions.
-
-    All methods work on rows that attach() has been given.
-    """
-
-    def __init__(self, arrays: DataFrame):
-        self.arrays = arrays
+    return F.when(some, c).otherwise(plain)
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        have = [c for c in ("terms", "norm_terms", "residual_terms") if c in df.columns]
-        side = self.arrays.withColumnRenamed("section", "_key")
-        return df.drop(*have).withColumn("_key", section_key()).join(side, "_key", "left").drop("_key")
 
-    def fold(self, c: Column, kind: str) -> Column:
-        return fold(c, F.col(kind))
-
-    def fold_runs(self, c: Column, kind: str) -> Column:
-        return fold_runs(c, F.col(kind), whole=True)
-
-    def tidy(self, c: Column) -> Column:
-        """Punctuation, units, known terms anywhere and then inside what Chinese is left.
-
-        Punctuation is normalised twice at both ends, since once isn't always enough to settle it.
-        """
-        res = F.col("residual_terms")
-        v = fold(units(normalise_punctuation(normalise_punctuation(c)), res), res)
-        return normalise_punctuation(normalise_punctuation(fold_runs(units(normalise_punctuation(v), res), res)))
-
-    def rebuild(self, c: Column) -> Column:
-        return self.tidy(self.fold_runs(c, "terms"))
+def settled(c: Column) -> Column:
+    """Punctuation normalised, and once more where that changed something, since once isn't always enough."""
+    return bound(c, lambda x: bound(normalise_punctuation(x), lambda n: F.when(n == x, n).otherwise(normalise_punctuation(n))))
 
 
-class SectionTerms:
-    """The terms of one section in order, with an automaton that tells which of them occur in a text."""
+def _is_term(key: str) -> Callable[[Column], Column]:
+    return lambda t: t["k"] == key
 
-    def __init__(self, terms: list[tuple[str, str]]):
-        import ahocorasick
 
-        closed = not any(CN_RE.search(v) for _, v in terms)
-        self.terms = terms
-        self.known = dict(terms)
-        self.always = [i for i, (k, _) in enumerate(terms) if not closed or not CN_RE.search(k)]
-        self.auto = ahocorasick.Automaton()
-        for i, (k, _) in enumerate(terms):
-            if closed and CN_RE.search(k):
-                self.auto.add_word(k, i)
-        self.some = len(self.auto) > 0
-        if self.some:
-            self.auto.make_automaton()
+ITEM = "struct<n:int,place:struct<layer:int,ord:bigint>,k:string,v:string,cn:boolean>"
 
-    def fold(self, text: str) -> str:
-        hits = {i for _, i in self.auto.iter(text)} if self.some and not text.isascii() else set()
-        for i in sorted(hits.union(self.always)):
-            k, v = self.terms[i]
-            text = text.replace(k, v)
-        return text
 
-    def fold_runs(self, text: str) -> str:
-        return CN_RUN.sub(lambda m: self.known.get(m[0]) or self.fold(m[0]), text)
+def _each(c: Column) -> Column:
+    return F.split(c, "")
 
 
 class TermBook:
-    """Terms of a checked size, sent along with the tasks: ordered replacement in one Arrow call per step.
-
-    Measured on 20,000 rows and 480 terms this takes a fraction of the time of the array expressions, which try
-    every term on every row; the automaton leaves the few that occur.
-    """
-
-    def __init__(self, rows: list):
-        self.rows = {r["section"]: {k: [(t["k"], t["v"]) for t in r[k]] for k in ("terms", "norm_terms", "residual_terms")} for r in rows}
-        self.built: dict[tuple[str, str], SectionTerms] = {}
-
-    def __getstate__(self) -> dict:
-        return {"rows": self.rows, "built": {}}
-
-    def of(self, section: str, kind: str) -> SectionTerms:
-        key = (section, kind)
-        if key not in self.built:
-            self.built[key] = SectionTerms(self.rows.get(section, self.rows["UNKNOWN"])[kind])
-        return self.built[key]
+    """A glossary of any size, matched to the rows that hold its terms.
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        return df
+    terms: (section, kind, cn, ru, place). attach() gives every row the few terms that can come up in its texts. Rows
+    and keys meet by section and the first two characters of a key; what is shuffled are such pairs with the hash of
+    the texts they come from, never the texts. A row then keeps the terms it really holds, so equal hashes do no harm.
+    All later replacing is array expressions over these few.
 
-    def _apply(self, c: Column, fn: Callable[[TermBook, str, str], str]) -> Column:
-        book = self
-
-        @F.pandas_udf(StringType())
-        def run(texts: pd.Series, sections: pd.Series) -> pd.Series:
-            return pd.Series([None if t is None else fn(book, t, s) for t, s in zip(texts, sections)], dtype=object)
+    Keys that don't begin with an ideograph within two characters or have one only go with every row of their section;
+    they are the units and mixed wording of the built-in vocabulary and the like. Where translations hold ideographs
+    themselves, any key whose characters all occur in the text or in those translations is kept, as no other can come up.
+    """
 
-        return run(c, section_key())
+    def __init__(self, terms: DataFrame):
+        by = ["section", "kind"]
+        t = terms.select(*by, F.struct((-F.length("cn")).alias("n"), "place", F.col("cn").alias("k"), F.col("ru").alias("v")).alias("t"), F.col("cn").rlike(CN).alias("is_cn"))
+        foreign = F.when(F.col("t.v").rlike(CN), F.regexp_replace("t.v", "[^一-鿿]", ""))
+        info = t.groupBy(*by).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(_each(foreign))))), "").alias("extra"))
+        t = t.join(F.broadcast(info), by).withColumn("open", F.col("extra") != "")  # one row for each section and kind
+        item = F.struct("t.n", "t.place", "t.k", "t.v", (F.col("is_cn") & ~F.col("open")).alias("cn"))
+        first = F.substring("t.k", 1, 2)
+        keyed = F.when(F.col("open"), F.col("is_cn")).otherwise((F.length("t.k") > 1) & first.rlike(CN))
+        t = cut(t.withColumns({"keyed": keyed, "item": item}))  # used for every text there is
+        self.keyed = t.where("keyed").select(
+            F.col("section").alias("_key"), F.when(F.col("open"), F.substring("t.k", 1, 1)).otherwise(first).alias("anchor"), F.struct("kind", "item", "open").alias("hit"))
+        rest = lambda k: F.array_sort(F.array_compact(F.collect_list(F.when((F.col("kind") == k) & ~F.col("keyed"), F.col("item"))))).alias(f"_any_{k}")
+        self.sections = t.groupBy("section").agg(*[rest(k) for k in KINDS], F.array_join(F.collect_set("extra"), "").alias("_extra")).withColumnRenamed("section", "_key")
+
+    def attach(self, df: DataFrame, *texts: str) -> DataFrame:
+        """df(section, ...) with the arrays terms, norm_terms and residual_terms for what its columns texts hold."""
+        if set(KINDS) <= set(df.columns):
+            return df  # what is made of a row's texts holds no terms but those
+        d = df.withColumns({"_key": section_key(), "_held": F.concat_ws("\n", *texts)})
+        d = self.matched(d)
+        plain = lambda x: F.transform(x, lambda t: F.struct(t["k"].alias("k"), t["v"].alias("v"), t["cn"].alias("cn")))
+
+        def merged(kind: str) -> Column:
+            found = F.transform(F.filter("_hits", lambda h: h["kind"] == kind), lambda h: h["item"])
+            rest = F.col(f"_any_{kind}")  # in order already
+            return bound(found, lambda x: plain(F.when(F.size(x) == 0, rest).otherwise(F.array_sort(F.concat(x, rest)))))
+
+        d = d.withColumns({k: merged(k) for k in KINDS})
+        return d.drop("_key", "_held", "_hits", *[f"_any_{k}" for k in KINDS])
+
+    def matched(self, d: DataFrame) -> DataFrame:
+        """d(_key, _held, ...) with _hits, the keyed terms that can come up in _held, and _any_<kind>, the terms that go with every row."""
+        d = d.join(F.broadcast(self.sections), "_key", "left").withColumn("_id", F.xxhash64("_key", "_held"))  # one row for each section
+        pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_held") - 1, F.lit(1))), lambda i: F.substring(F.col("_held"), i, F.lit(2))), lambda x: x.rlike(CN))
+        single = F.when(F.col("_extra") != "", _each(F.concat("_held", "_extra"))).otherwise(F.array().cast("array<string>"))
+        at = d.where("_held <> ''").select("_id", "_key", F.explode(F.array_distinct(F.concat(pairs, single))).alias("anchor")).distinct()
+        hits = at.join(self.keyed, ["_key", "anchor"]).groupBy("_id").agg(F.collect_set("hit").alias("_hits"))
+        within = lambda h: F.when(
+            h["open"], F.length(F.call_function("translate", h["item"]["k"], F.concat("_held", "_extra"), F.lit(""))) == 0).otherwise(F.contains("_held", h["item"]["k"]))
+        none = F.expr(f"cast(array() as array<struct<kind:string,item:{ITEM},open:boolean>>)")
+        any_kind = {f"_any_{k}": F.coalesce(f"_any_{k}", F.expr(f"cast(array() as array<{ITEM}>)")) for k in KINDS}
+        return d.join(hits, "_id", "left").withColumns({"_hits": F.filter(F.coalesce("_hits", none), within), **any_kind}).drop("_id", "_extra")
 
     def fold(self, c: Column, kind: str) -> Column:
-        return self._apply(c, lambda book, t, s: book.of(s, kind).fold(t))
+        return fold(c, F.col(kind))
 
     def fold_runs(self, c: Column, kind: str) -> Column:
-        return self._apply(c, lambda book, t, s: book.of(s, kind).fold_runs(t))
+        return fold_runs(c, F.col(kind), whole=True)
 
     def tidy(self, c: Column) -> Column:
-        return self._apply(c, _tidy)
+        """Punctuation, units, known terms anywhere and then inside what Chinese is left; a text no term changes is done."""
+        res = F.col("residual_terms")
+        again = lambda y: settled(bound(normalise_punctuation(y), lambda z: fold_runs(units(z, res), res, whole=True)))
+        return bound(settled(c), lambda x: bound(bound(units(x, res), lambda u: fold(u, res)), lambda y: F.when(y == x, x).otherwise(again(y))))
 
     def rebuild(self, c: Column) -> Column:
-        return self._apply(c, lambda book, t, s: _tidy(book, book.of(s, "terms").fold_runs(t), s))
-
-
-CN_RE, CN_RUN = re.compile(CN), re.compile(f"{CN}+")
-UNIT_RE = re.compile(r"(\d+(?:[.,]\d+)?)\s*([" + "".join(UNITS) + "])")
-# The spacing rules of normalise_punctuation and their order.
-SPACING = [(re.compile(a), b) for a, b in (
-    (r"\s+", " "), (r"\( +", "("), (r" +\)", ")"), (r" *([:;,]) *", r"\1 "), (r" *\. *", ". "), (r" *\+ *", " + "), (r"(?<=\d)([А-Яа-яЁёA-Za-z(])", r" \1"),
-    (r"(?<=[А-Яа-яЁё])(?=\d)", " "), (r" +", " "), (r" +([,.;:)])", r"\1"),
-)]
-SIGNS = str.maketrans(FULL_WIDTH + "_", FULL_WIDTH_TO + " ")
-
-
-def plain_punctuation(text: str) -> str:
-    """normalise_punctuation for one text."""
-    text = text.translate(SIGNS)
-    for pattern, to in SPACING:
-        text = pattern.sub(to, text)
-    return text.strip(" -_").strip()
-
-
-def _tidy(book: TermBook, text: str, section: str) -> str:
-    terms = book.of(section, "residual_terms")
-
-    def unit(t: str) -> str:
-        return UNIT_RE.sub(lambda m: f"{m[1]} {terms.known.get(m[2], m[2])}", t)
-
-    text = terms.fold(unit(plain_punctuation(plain_punctuation(text))))
-    return plain_punctuation(plain_punctuation(terms.fold_runs(unit(plain_punctuation(text)))))
-
-
-def term_book(spark: SparkSession, glossary: DataFrame, booster: DataFrame | None = None, most: int = MAX_BROADCAST_TERMS) -> TermBook | JoinedTerms:
-    """The terms of a glossary(section, cn, ru, status, ord): along with the tasks if it has at most most rows, joined otherwise."""
-    some = approved_terms(glossary).limit(most + 1).collect()
-    more = booster.limit(most + 1).collect() if booster is not None else []
-    if len(some) + len(more) > most:
-        return JoinedTerms(term_arrays(spark, glossary, booster))
-    return TermBook([{"section": s, **_ordered(s, some, more)} for s in [*SECTIONS, "ПБ"]])
-
-
-def _ordered(section: str, approved: list, booster: list) -> dict[str, list[dict[str, str]]]:
-    """The three term lists of one section, for a glossary on the driver: later layers give the value, the first one the place."""
-    def overlay(layers: list[list[tuple[str, str]]]) -> list[dict[str, str]]:
-        merged: dict[str, str] = {}
-        for layer in layers:
-            merged.update(layer)  # an overwritten key stays where it was
-        return [{"k": k, "v": merged[k]} for k in sorted(merged, key=lambda k: -len(k))]
+        return self.tidy(self.fold_runs(c, "terms"))
 
-    def rows(source: list, name: str) -> list[tuple[str, str]]:
-        return [(r["cn"], r["ru"]) for r in sorted((r for r in source if r["section"] == name), key=lambda r: r["ord"])]
 
-    base = [list(BASE_TERMS["UNKNOWN"].items()), list(BASE_TERMS.get(section, {}).items())]
-    norm = [rows(approved, "ALL"), rows(approved, section) if section != "ALL" else []]
-    extra = [rows(booster, name) for name in ("ALL", section, "UNKNOWN")]
-    fixed = [list(m.items()) for m in (PHRASES, TOKENS, MIXED)]
-    return {"terms": overlay(base + norm + extra), "norm_terms": overlay(norm), "residual_terms": overlay(fixed + base + norm + extra)}
+def term_book(spark: SparkSession, glossary: DataFrame, booster: DataFrame | None = None) -> TermBook:
+    """The terms of a glossary(section, cn, ru, status, ord) and of a booster(section, cn, ru, ord)."""
+    return TermBook(term_table(spark, glossary, booster))

@@ -112,17 +112,19 @@ def clean_mtext(c: Column) -> Column:
 
 def is_passthrough(c: Column) -> Column:
     """Texts that need no translation: empty, without letters, numbers and marks, Cyrillic, short codes."""
-    v = clean_source(c)
-    tight = F.regexp_replace(v, f"{WS}+", "")
-    return (
-        F.when(v == "", True)
-        .when(v.rlike(CN), False)
-        .when(~v.rlike(f"[{CN[1:-1]}A-Za-zА-Яа-яЁё]"), True)
-        .when(tight.rlike(NUMERIC_OR_CAD), True)
-        .when(tight.rlike(CAD_CODE), True)
-        .when(v.rlike(CYR), True)
-        .otherwise((F.length(v) <= 12) & (tokens(v, 2) <= 1))
-    )
+    def plain(v: Column) -> Column:
+        tight = F.regexp_replace(v, " ", "")  # all white space is single spaces here
+        return (
+            F.when(v == "", True)
+            .when(v.rlike(CN), False)
+            .when(~v.rlike(f"[{CN[1:-1]}A-Za-zА-Яа-яЁё]"), True)
+            .when(tight.rlike(NUMERIC_OR_CAD), True)
+            .when(tight.rlike(CAD_CODE), True)
+            .when(v.rlike(CYR), True)
+            .otherwise((F.length(v) <= 12) & (tokens(v, 2) <= 1))
+        )
+
+    return bound(clean_source(c), plain)
 
 
 def is_translatable(c: Column) -> Column:
@@ -181,7 +183,8 @@ def structurally_dense(c: Column) -> Column:
 
 def suspicious(source: Column, candidate: Column) -> Column:
     """A finalised candidate that can't be a sound translation of source."""
-    return unsound(strip(F.coalesce(source, F.lit(""))), strip(F.coalesce(candidate, F.lit(""))))
+    pair = F.struct(strip(F.coalesce(source, F.lit(""))).alias("s"), strip(F.coalesce(candidate, F.lit(""))).alias("c"))
+    return bound(pair, lambda x: unsound(x["s"], x["c"]))
 
 
 def unsound(s: Column, c: Column) -> Column:
@@ -200,21 +203,22 @@ def unsound(s: Column, c: Column) -> Column:
 
 def bad_memory(value: Column) -> Column:
     """Stored translations not worth keeping."""
-    v = strip(F.coalesce(value, F.lit("")))
-    return (
+    return bound(strip(F.coalesce(value, F.lit(""))), lambda v: (
         (v == "") | v.rlike(PUNCT_ONLY_WIDE) | (F.length(v) <= 2) | v.rlike(CN) | (~v.rlike(CYR) & (F.length(v) < 12))
         | (word_share(v) < 0.35) | (v.rlike("[（(]") & (tokens(v) < 2))
-    )
+    ))
 
 
 def bad_in_context(source: Column, value: Column) -> Column:
-    s, v = strip(F.coalesce(source, F.lit(""))), strip(F.coalesce(value, F.lit("")))
-    groups, n = cn_runs(s), tokens(v)
-    return ((groups >= 3) & (n < F.least(F.lit(3), groups))) | (list_like(s) & (n < 3))
+    facts = F.struct(cn_runs(strip(F.coalesce(source, F.lit("")))).alias("groups"), tokens(strip(F.coalesce(value, F.lit("")))).alias("n"), list_like(strip(F.coalesce(source, F.lit("")))).alias("list"))
+    return bound(facts, lambda x: ((x["groups"] >= 3) & (x["n"] < F.least(F.lit(3), x["groups"]))) | (x["list"] & (x["n"] < 3)))
 
 
 def noise(c: Column) -> Column:
-    v = squash(c)
+    return bound(squash(c), _is_noise)
+
+
+def _is_noise(v: Column) -> Column:
     return (v == "") | v.rlike(PUNCT_ONLY_WIDE) | v.rlike("^[A-Za-z]{1,3}$") | (F.length(v) <= 2)
 
 
@@ -227,30 +231,38 @@ def ocr_noise(c: Column) -> Column:
 
 
 def viable_candidate(section: Column, source: Column, target: Column, origin: Column) -> Column:
-    s, t = squash(source), squash(target)
     sec = F.coalesce(F.nullif(strip(section), F.lit("")), F.lit("UNKNOWN"))
-    size = F.length(t)
-    return (
-        ~noise(s) & ~noise(t) & s.rlike(CN) & ~t.rlike(CN) & t.rlike(CYR)
-        & (size >= F.greatest(F.lit(4), F.floor(F.length(s) * 0.18)))
-        & ~((sec == "UNKNOWN") & (size < 8)) & ~(F.coalesce(strip(origin), F.lit("")).startswith("section_dict") & (size < 8))
-    )
+
+    def viable(x: Column) -> Column:
+        s, t, size = x["s"], x["t"], F.length(x["t"])
+        return (
+            ~_is_noise(s) & ~_is_noise(t) & s.rlike(CN) & ~t.rlike(CN) & t.rlike(CYR)
+            & (size >= F.greatest(F.lit(4), F.floor(F.length(s) * 0.18)))
+            & ~((sec == "UNKNOWN") & (size < 8)) & ~(F.coalesce(strip(origin), F.lit("")).startswith("section_dict") & (size < 8))
+        )
+
+    return bound(F.struct(squash(source).alias("s"), squash(target).alias("t")), viable)
 
 
 def candidate_score(source: Column, target: Column, origin: Column) -> Column:
     """Confidence in hundredths of 0.1 + 0.35 + 0.2 + 0.15 + 0.15 + 0.1 + 0.05, at most 1."""
-    s, t, o = strip(F.coalesce(source, F.lit(""))), strip(F.coalesce(target, F.lit(""))), F.coalesce(origin, F.lit(""))
-    has = t != ""
-    points = [
-        ((s != "") & has, 10), (has & ~t.rlike(CN), 35), (t.rlike(CYR), 20),
-        (has & (F.length(t) >= F.greatest(F.lit(4), F.floor(F.length(s) * 0.25))), 15),
-        (o.rlike("^(?:memory|section_dict|ollama_duplicate|deepseek_duplicate)"), 15), (o.startswith("deepseek"), 10),
-        (has & (F.lower(t) != F.lower(s)), 5),
-    ]
-    total = F.lit(0)
-    for when, n in points:
-        total = total + F.when(when, n).otherwise(0)
-    return F.least(total, F.lit(100)) / 100.0
+    o = F.coalesce(origin, F.lit(""))
+
+    def scored(x: Column) -> Column:
+        s, t = x["s"], x["t"]
+        has = t != ""
+        points = [
+            ((s != "") & has, 10), (has & ~t.rlike(CN), 35), (t.rlike(CYR), 20),
+            (has & (F.length(t) >= F.greatest(F.lit(4), F.floor(F.length(s) * 0.25))), 15),
+            (o.rlike("^(?:memory|section_dict|ollama_duplicate|deepseek_duplicate)"), 15), (o.startswith("deepseek"), 10),
+            (has & (F.lower(t) != F.lower(s)), 5),
+        ]
+        total = F.lit(0)
+        for when, n in points:
+            total = total + F.when(when, n).otherwise(0)
+        return F.least(total, F.lit(100)) / 100.0
+
+    return bound(F.struct(strip(F.coalesce(source, F.lit(""))).alias("s"), strip(F.coalesce(target, F.lit(""))).alias("t")), scored)
 
 
 def recommendable(n: Column, confidence: Column, target: Column) -> Column:

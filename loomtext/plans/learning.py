@@ -9,16 +9,25 @@ from loomtext.functions import text as T
 
 KEY = ["section", "cn", "current_ru"]
 SYNC_ROWS = 3000
+#: Segments of a document that are hashed together.
+CHUNK = 20_000
 
 
-def document_keys(segments: DataFrame) -> DataFrame:
+def document_keys(segments: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, doc_key): first 12 hex digits of the SHA-1 over section and text of all segments in order.
 
-    The ordered text of one document is gathered, never that of several; a document is one unit of the sources.
+    A document of up to chunk segments is hashed as a whole. Of a longer one each run of chunk segments is hashed on its
+    own, then the hashes in order, so that no row holds more than chunk segments or hashes of a document's.
     """
-    part = F.struct("seq", F.concat(T.strip(F.coalesce("section", F.lit("UNKNOWN"))), F.lit("||"), T.strip(F.coalesce("text", F.lit("")))).alias("line"))
-    payload = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["line"]), "\n")
-    return segments.groupBy("doc_id").agg(F.substring(F.sha1(F.encode(payload, "utf-8")), 1, 12).alias("doc_key"))
+    line = F.concat(T.strip(F.coalesce("section", F.lit("UNKNOWN"))), F.lit("||"), T.strip(F.coalesce("text", F.lit(""))))
+    joined = lambda item, c: F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x[c]), "\n")
+    low = segments.groupBy("doc_id").agg(F.min("seq").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    d = segments.select("doc_id", "seq", line.alias("line")).join(low, "doc_id")
+    d = d.withColumn("_part", F.when(F.col("_n") > chunk, F.floor((F.col("seq") - F.col("_low")) / chunk)).otherwise(F.lit(0)))
+    parts = d.groupBy("doc_id", "_part").agg(F.first("_n").alias("_n"), joined(F.struct("seq", "line"), "line").alias("payload"))
+    parts = parts.withColumn("payload", F.when(F.col("_n") > chunk, F.sha1(F.encode("payload", "utf-8"))).otherwise(F.col("payload")))
+    whole = parts.groupBy("doc_id").agg(joined(F.struct("_part", "payload"), "payload").alias("payload"))
+    return whole.select("doc_id", F.substring(F.sha1(F.encode("payload", "utf-8")), 1, 12).alias("doc_key"))
 
 
 def document_triples(segments: DataFrame, keys: DataFrame, approved: DataFrame) -> DataFrame:
@@ -62,7 +71,10 @@ def upsert_candidates(candidates: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def sanitise_candidates(candidates: DataFrame) -> DataFrame:
-    """Candidates that are viable, normalised and scored anew; of equal ones the last by ord stays."""
+    """Candidates that are viable, normalised and scored anew; of equal ones the last by ord stays.
+
+    Without an ord the order is that of source, note and status, so that the result doesn't depend on the run.
+    """
     d = candidates.withColumns({
         "section": F.coalesce(F.nullif(T.strip(F.col("section")), F.lit("")), F.lit("UNKNOWN")), "cn": T.squash(F.col("cn")), "current_ru": T.squash(F.col("current_ru")),
         "source": F.coalesce(F.nullif(T.strip(F.col("source")), F.lit("")), F.lit("document")),
@@ -74,10 +86,15 @@ def sanitise_candidates(candidates: DataFrame) -> DataFrame:
     kept = T.strip(F.coalesce("status", F.lit("")))
     status = F.when(good & ~T.status_approved(F.col("status")), "RECOMMENDED").otherwise(F.coalesce(F.nullif(kept, F.lit("")), F.when(good, "RECOMMENDED").otherwise("NEW")))
     d = d.withColumns({"status": status, "recommended": F.when(good, "YES").otherwise("")})
-    if "ord" not in d.columns:
-        return d.dropDuplicates(KEY)
-    last = Window.partitionBy(*KEY).orderBy(F.desc("ord"))
-    return d.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
+    return last_of(d, KEY)
+
+
+def last_of(d: DataFrame, key: list[str]) -> DataFrame:
+    """Of the rows with equal keys the last: by ord where there is one, then by the other plain columns. Combined before the shuffle."""
+    order = [c for c in ("ord", "n_docs", "confidence", "source", "standard_ref", "note", "status") if c in d.columns]
+    rest = [c for c in d.columns if c not in key]
+    best = d.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return best.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*d.columns)
 
 
 def recommended(candidates: DataFrame) -> DataFrame:
@@ -91,7 +108,7 @@ def promote(approved: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Data
     rec = candidates.where(T.status_recommended(F.col("status")) | T.status_recommended(F.col("recommended")))
     key = [T.strip(F.coalesce(c, F.lit(""))) for c in ("section", "cn", "ru")]
     have = approved.select(*[k.alias(n) for k, n in zip(key, KEY)]).distinct()
-    fresh = rec.select(*KEY, "standard_ref", "note").dropDuplicates(KEY).join(have, KEY, "left_anti")
+    fresh = last_of(rec.select(*KEY, "standard_ref", "note", *[c for c in ("ord",) if c in rec.columns]), KEY).join(have, KEY, "left_anti")
     grown = approved.select("section", "cn", "ru", "standard_ref", "status", "note").unionByName(
         fresh.select("section", "cn", F.col("current_ru").alias("ru"), "standard_ref", F.lit("APPROVED").alias("status"), "note"))
     marked = candidates.join(rec.select(*KEY).distinct().withColumn("_hit", F.lit(True)), KEY, "left").withColumns({

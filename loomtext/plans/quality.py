@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.functions.glossary import TermBook
 from loomtext.plans.translate import Book, finalise
 
 FAST = "^(?:passthrough|memory|structured_dict|section_dict)"
@@ -43,25 +44,27 @@ def routing_stats(routed: DataFrame) -> DataFrame:
     )
 
 
-def term_issues(df: DataFrame, terms: DataFrame, glossary_rows: int) -> DataFrame:
-    """(row_id, issues) of the approved terms(section, cn, ru, place) of df(row_id, section, text, target) that the target lacks."""
-    from loomtext.functions.glossary import MAX_BROADCAST_TERMS
+def term_issues(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """df(row_id, section, text, target) with issues: the approved terms(section, cn, ru, place) in text that target lacks.
 
-    item = F.struct((-F.length("cn")).alias("n"), "place", F.col("cn").alias("k"), F.col("ru").alias("v"))
-    arrays = terms.where((T.strip(F.col("cn")) != "") & (T.strip(F.col("ru")) != "")).withColumns({"cn": T.strip(F.col("cn")), "ru": T.strip(F.col("ru"))}).groupBy(
-        "section").agg(F.array_sort(F.collect_list(item)).alias("approved"))
-    d = df.join(F.broadcast(arrays) if glossary_rows <= MAX_BROADCAST_TERMS else arrays, "section", "left")
+    The terms of a text are found as in TermBook, by a join over the beginnings of keys.
+    """
+    clean = terms.where((T.strip(F.col("cn")) != "") & (T.strip(F.col("ru")) != "")).select(
+        "section", F.lit("norm_terms").alias("kind"), T.strip(F.col("cn")).alias("cn"), T.strip(F.col("ru")).alias("ru"), "place")
+    d = TermBook(clean).matched(df.withColumns({"_key": F.col("section"), "_held": F.col("text")}))
+    d = d.withColumn("_hits", F.concat(F.transform("_hits", lambda h: h["item"]), F.filter("_any_norm_terms", lambda t: F.contains("_held", t["k"]))))
     low = F.lower(F.col("target"))
-    lacking = F.filter(F.col("approved"), lambda t: F.contains(F.col("text"), t["k"]) & ~F.contains(low, F.lower(t["v"])))
+    found = F.transform(F.array_sort("_hits"), lambda t: F.struct(t["k"].alias("k"), t["v"].alias("v")))
+    lacking = F.filter(found, lambda t: F.contains(F.col("text"), t["k"]) & ~F.contains(low, F.lower(t["v"])))
     say = F.transform(lacking, lambda t: F.concat(F.lit("Термин '"), t["k"], F.lit("' должен быть приведен как '"), t["v"], F.lit("'")))
-    return d.withColumn("issues", F.coalesce(say, F.array().cast("array<string>"))).drop("approved")
+    return d.withColumn("issues", F.coalesce(say, F.array().cast("array<string>"))).drop("_key", "_held", "_hits", "_any_terms", "_any_norm_terms", "_any_residual_terms")
 
 
-def validation_report(df: DataFrame, terms: DataFrame, glossary_rows: int) -> DataFrame:
+def validation_report(df: DataFrame, terms: DataFrame) -> DataFrame:
     """(row_id, section, text, status, issues) for df(row_id, text, translated[, normalized]); null texts count as empty."""
     target = F.coalesce(*( [F.col("normalized")] if "normalized" in df.columns else []), F.col("translated"), F.col("text"), F.lit(""))
     d = df.select("row_id", F.coalesce("text", F.lit("")).alias("text"), target.alias("target")).withColumn("section", T.detect_section(F.col("text")))
-    d = term_issues(d, terms, glossary_rows)
+    d = term_issues(d, terms)
     own = F.array_compact(F.array(
         F.when(T.strip(F.col("target")) == "", "Пустой результат перевода"), F.when(T.has_cn(F.col("target")), "Остались китайские символы")))
     issues = F.concat(own, F.col("issues"), T.rule_issues(F.col("section"), F.col("target")))
@@ -93,9 +96,10 @@ def audit_examples(df: DataFrame, limit: int = AUDIT_ROWS) -> DataFrame:
     Ties go to the smaller row_id. If no row scores, the first limit rows are shown without missing numbers.
     """
     scored = df.withColumn("score", audit_score(F.col("text"), F.col("translated"), F.col("translation_source"), F.col("untranslated_chinese"), F.col("qc_flags")))
-    worst = scored.where("score > 0").orderBy(F.desc("score"), "row_id").limit(limit)
-    if worst.isEmpty():
-        worst = scored.orderBy("row_id").limit(limit)
+    # rows that score come first; if there is none, all the others are candidates
+    worst = scored.withColumn("_some", F.col("score") > 0).orderBy(F.desc("score"), "row_id").limit(limit)
+    any_score = worst.agg(F.coalesce(F.bool_or("_some"), F.lit(False)).alias("_any"))
+    worst = worst.crossJoin(F.broadcast(any_score)).where("_some or not _any")  # one row beside at most limit rows
     return worst.select(
         "row_id", F.coalesce("section", F.lit("UNKNOWN")).alias("section"), "score", T.clip(F.col("text")).alias("source"), T.clip(F.col("translated")).alias("translated"),
         F.coalesce("translation_source", F.lit("")).alias("translation_source"),

@@ -49,13 +49,13 @@ def glossary_by_section(spark: SparkSession, d: str) -> DataFrame:
 def apply_section_terms(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "translated_sample").select("row_id", "section", T.clean_source(F.col("text")).alias("source"))
     book = _book(spark, d)
-    return book.attach(t).select("row_id", book.fold(book.fold(F.col("source"), "terms"), "norm_terms").alias("by_terms"))
+    return book.attach(t, "source").select("row_id", book.fold(book.fold(F.col("source"), "terms"), "norm_terms").alias("by_terms"))
 
 
 def structured_translate(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "translated_sample").select("row_id", "section", T.clean_source(F.col("text")).alias("source"))
     book = _book(spark, d)
-    return book.attach(t).select("row_id", book.fold_runs(F.col("source"), "terms").alias("by_runs"))
+    return book.attach(t, "source").select("row_id", book.fold_runs(F.col("source"), "terms").alias("by_runs"))
 
 
 def cad_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +150,7 @@ def untranslated_report(spark: SparkSession, d: str) -> DataFrame:
 def _report(spark: SparkSession, d: str) -> DataFrame:
     g = _glossary(spark, d)
     terms = G.section_terms(G.layered_terms(spark, g).where("layer in (2, 3)"))
-    return Q.validation_report(table(spark, d, "translated_sample").select("row_id", "text", "translated"), terms, g.count())
+    return Q.validation_report(table(spark, d, "translated_sample").select("row_id", "text", "translated"), terms)
 
 
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +206,7 @@ def candidate_sanitise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recommended_terms(spark: SparkSession, d: str) -> DataFrame:
-    return L.recommended(_candidates(spark, d)).select("section", "cn", "current_ru", "n_docs", "confidence").limit(100)
+    return L.recommended(_candidates(spark, d)).select("section", "cn", "current_ru", "n_docs", "confidence")
 
 
 def promoted_glossary(spark: SparkSession, d: str) -> DataFrame:
@@ -356,7 +356,7 @@ ORACLE = {
     "document_fingerprint": f"WITH {_TRIPLES} SELECT doc_id, doc_key FROM fp",
     "candidate_scores": f"WITH {_SEG}, c AS (SELECT row_id, CASE WHEN {strip('section')} = '' THEN 'UNKNOWN' ELSE {strip('section')} END AS sec, {strip('text')} AS s, {strip('translated')} AS v, {squash('text')} AS qs, {squash('translated')} AS qt, src AS o FROM seg) SELECT row_id, {_SCORE} AS confidence FROM c WHERE {_VIABLE}",
     "candidate_upsert": f"WITH {_TRIPLES} SELECT section, cn, current_ru, n_docs, confidence, CASE WHEN {_GOOD} THEN 'RECOMMENDED' ELSE 'NEW' END AS status, CASE WHEN {_GOOD} THEN 'YES' ELSE '' END AS recommended FROM up",
-    "recommended_terms": f"WITH {_TRIPLES} SELECT section, cn, current_ru, n_docs, confidence FROM up WHERE {_GOOD} ORDER BY n_docs DESC, confidence DESC, section, cn, current_ru LIMIT 100",
+    "recommended_terms": f"WITH {_TRIPLES} SELECT section, cn, current_ru, n_docs, confidence FROM up WHERE {_GOOD} ",
     "promoted_glossary": f"WITH {_TRIPLES} SELECT section, status, count(*) AS n_terms FROM (SELECT section, status FROM approved_terms UNION ALL SELECT section, 'APPROVED' FROM up WHERE {_GOOD}) GROUP BY 1, 2",
     "frequent_terms": f"""WITH x AS (SELECT file_id, seq, {squash('text')} AS t FROM dxf_records), y AS (SELECT * FROM x WHERE length(t) <= 80 AND {_n('t', '[一-鿿]')} >= 2),
         e AS (SELECT file_id, seq, 0 AS pos, t AS cn, 2 AS w FROM y WHERE {_n('t', '[一-鿿]')} <= 16 UNION ALL SELECT file_id, seq, generate_subscripts(regexp_extract_all(t, '[一-鿿]+'), 1), unnest(regexp_extract_all(t, '[一-鿿]+')), 1 FROM y),

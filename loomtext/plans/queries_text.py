@@ -138,7 +138,7 @@ def project_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rename_plan(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "translated_sample").where("length(text) <= 60").select(F.concat(F.lit("p/"), "section", F.lit("/"), F.translate("text", "/", " "), F.lit(".dwg")).alias("path"))
+    t = table(spark, d, "translated_sample").select(F.concat(F.lit("p/"), "section", F.lit("/"), F.translate("text", "/", " "), F.lit(".dwg")).alias("path"))
     return W.rename_plan(t.distinct())
 
 
@@ -208,8 +208,8 @@ def recognised_lines(spark: SparkSession, d: str) -> DataFrame:
     w = b.select(
         F.col("doc_id").alias("image_id"), (F.col("id") % 2).cast("int").alias("attempt"), F.col("page").alias("block_num"), F.lit(1).alias("par_num"),
         F.floor(F.col("y0") / 20).cast("int").alias("line_num"), F.col("id").alias("word_num"), F.col("x0").alias("left"), F.col("y0").alias("top"),
-        (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), (F.col("font_size") * 6).alias("conf"), F.substring("text", 1, 40).alias("text"))
-    return G.tsv_lines(w).select("image_id", "block_num", "line_num", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), F.round("score", 6).alias("score"))
+        (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"), (F.col("font_size") * 6).alias("conf"), "text")
+    return G.tsv_lines(w).select("image_id", "block_num", "line_num", "text", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), F.round("score", 6).alias("score"))
 
 
 def text_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -320,11 +320,11 @@ ORACLE = {
         UNION ALL SELECT image_id, 'right', w // 2, 0, w, h FROM f UNION ALL SELECT image_id, 'top_left', 0, 0, w // 2, h // 2 FROM f UNION ALL SELECT image_id, 'top_right', w // 2, 0, w, h // 2 FROM f
         UNION ALL SELECT image_id, 'bottom_left', 0, h // 2, w // 2, h FROM f UNION ALL SELECT image_id, 'bottom_right', w // 2, h // 2, w, h FROM f
         UNION ALL SELECT image_id, 'tile_' || c || 'x' || r || '_' || j || '_' || i, greatest(tw * i - dx, 0), greatest(th * j - dy, 0), least(tw * (i + 1) + dx, w), least(th * (j + 1) + dy, h) FROM n)""",
-    "recognised_lines": f"""WITH w AS (SELECT file_id AS image_id, (block_id % 2)::INT AS attempt, page AS block_num, floor(bbox.y0 / 20)::INT AS line_num, bbox.x0 AS a, bbox.x1 AS b, font_size * 6 AS conf FROM pdf_blocks
-          WHERE bbox.x0 IS NOT NULL AND font_size * 6 >= 20 AND {strip('substr(text, 1, 40)')} <> ''),
-        l AS (SELECT image_id, attempt, block_num, line_num, min(a) AS x0, max(b) AS x1, avg(conf) / 100 AS score FROM w GROUP BY ALL),
+    "recognised_lines": f"""WITH w AS (SELECT file_id AS image_id, (block_id % 2)::INT AS attempt, page AS block_num, floor(bbox.y0 / 20)::INT AS line_num, bbox.x0 AS a, bbox.x1 AS b, font_size * 6 AS conf, block_id AS word, {strip('text')} AS t FROM pdf_blocks
+          WHERE bbox.x0 IS NOT NULL AND font_size * 6 >= 20 AND {strip('text')} <> ''),
+        l AS (SELECT image_id, attempt, block_num, line_num, min(a) AS x0, max(b) AS x1, avg(conf) / 100 AS score, string_agg(t, ' ' ORDER BY word) AS text FROM w GROUP BY ALL),
         n AS (SELECT image_id, attempt, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT image_id, arg_max(attempt, n * 2 + 1 - attempt) AS attempt FROM n GROUP BY 1)
-        SELECT image_id, block_num, line_num, round(x0, 3) AS x0, round(x1, 3) AS x1, round(score, 6) AS score FROM l JOIN p USING (image_id, attempt)""",
+        SELECT image_id, block_num, line_num, text, round(x0, 3) AS x0, round(x1, 3) AS x1, round(score, 6) AS score FROM l JOIN p USING (image_id, attempt)""",
     "text_fit": r"""WITH b AS (SELECT block_id AS id, text, greatest(bbox.x1 - bbox.x0, 1) AS w, greatest(bbox.y1 - bbox.y0, 1) AS h, font_size, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM pdf_blocks WHERE bbox.x0 IS NOT NULL AND text IS NOT NULL)
         SELECT id, coalesce(list_max(list_filter(range(6, greatest(least(trunc(font_size)::INT, greatest(trunc(h)::INT, 6)), 6) + 1), lambda s: length(text) * 0.5 * s <= w * 1.03 AND s * 1.35 * n <= h * 1.1))::DOUBLE,
         greatest(least(h / n * 0.8, 8.0), 6.0)) AS font_size FROM b""",

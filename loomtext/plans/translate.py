@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.functions.glossary import CAD_TERMS, NORM_TERMS, JoinedTerms, TermBook, fold_fixed
+from loomtext.functions.glossary import CAD_TERMS, NORM_TERMS, TermBook, fold_fixed
 from loomtext.plans.runtime import cut, spread
 
-Book = TermBook | JoinedTerms
+Book = TermBook
 
 
 def finalise(df: DataFrame, source: str, candidate: str, out: str, book: Book) -> DataFrame:
@@ -25,7 +25,7 @@ def finalise(df: DataFrame, source: str, candidate: str, out: str, book: Book) -
     Null texts count as empty ones. A candidate that is too thin for a dense source is rebuilt from the source by
     terms, and kept if that yields more words.
     """
-    d = book.attach(df).withColumns({
+    d = book.attach(df, source, candidate).withColumns({
         "_src": T.normalise_punctuation(T.strip(F.coalesce(F.col(source), F.lit("")))),
         "_val": book.tidy(T.strip_prompt(F.col(candidate))),
     })
@@ -63,22 +63,24 @@ def fast_route(texts: DataFrame, memory: DataFrame, book: Book) -> DataFrame:
     m = memory.select(F.col("section").alias("_s"), F.col("source_text").alias("_t"), F.col("translated").alias("_hit"))
     d = texts.withColumn("_pass", T.is_passthrough(F.col("source")))
     d = d.join(m, (F.col("section") == F.col("_s")) & (F.col("source") == F.col("_t")), "left").drop("_s", "_t")
-    todo = d.where(~F.col("_pass"))
-    todo = book.attach(todo)
-    todo = finalise(todo, "source", "_hit", "_mem", book)
-    todo = finalise(todo.withColumn("_st0", book.fold_runs(F.col("source"), "terms")), "source", "_st0", "_st", book)
-    todo = todo.withColumn("_tm0", book.fold(book.fold(F.col("source"), "terms"), "norm_terms"))
-    todo = finalise(todo, "source", "_tm0", "_tm", book)
+    # joined rows would lie in few partitions by their bytes, but each takes a lot of work
+    todo = spread(book.attach(d.where(~F.col("_pass")), "source", "_hit"))
+
+    def tried(rows: DataFrame, made: Column, name: str, done: Column | None) -> DataFrame:
+        """rows with the finalised candidate made, nothing where an earlier way has succeeded."""
+        if done is not None:
+            made = F.when(~done, made)
+        rows = rows.withColumns({f"{name}0": made, f"{name}s": F.col("source") if done is None else F.when(~done, F.col("source"))})
+        return finalise(rows, f"{name}s", f"{name}0", name, book)
+
+    ok_mem = F.col("_hit").isNotNull() & (F.col("_hit") != "") & ~F.col("_mem_untranslated")
+    todo = finalise(todo.withColumn("_ms", F.when(F.col("_hit") != "", F.col("source"))), "_ms", "_hit", "_mem", book).withColumn("_ok_memory", F.coalesce(ok_mem, F.lit(False)))
+    todo = tried(todo, book.fold_runs(F.col("source"), "terms"), "_st", F.col("_ok_memory")).withColumn("_ok_structured_dict", ~F.col("_ok_memory") & good_by_terms(F.col("source"), F.col("_st")))
+    todo = tried(todo, book.fold(book.fold(F.col("source"), "terms"), "norm_terms"), "_tm", F.col("_ok_memory") | F.col("_ok_structured_dict"))
+    todo = todo.withColumn("_ok_section_dict", ~F.col("_ok_memory") & ~F.col("_ok_structured_dict") & good_by_terms(F.col("source"), F.col("_tm")))
     by = lambda name: F.struct(F.col(name).alias("translated"), F.col(f"{name}_flags").alias("flags"))
-    routes = [
-        ("memory", F.col("_hit").isNotNull() & (F.col("_hit") != "") & ~F.col("_mem_untranslated"), "_mem"),
-        ("structured_dict", good_by_terms(F.col("source"), F.col("_st")), "_st"),
-        ("section_dict", good_by_terms(F.col("source"), F.col("_tm")), "_tm"),
-    ]
-    # each test once, as a column: repeated inside route and value it would outgrow a generated method
-    todo = todo.withColumns({f"_ok_{name}": ok for name, ok, _ in routes})
     route, value = None, None
-    for name, _, c in routes:
+    for name, c in (("memory", "_mem"), ("structured_dict", "_st"), ("section_dict", "_tm")):
         ok = F.col(f"_ok_{name}")
         route = F.when(ok, name) if route is None else route.when(ok, name)
         value = F.when(ok, by(c)) if value is None else value.when(ok, by(c))
@@ -122,7 +124,7 @@ def call_model(pending: DataFrame, model: Callable[[list[str]], list[str]] | Non
 
 def resolve_pending(pending: DataFrame, book: Book, model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
     """pending(section, source) with translated and route of the slow path."""
-    d = book.attach(call_model(pending, model))
+    d = spread(book.attach(call_model(pending, model), "source", "model_text"))
 
     def judged(d: DataFrame, name: str) -> DataFrame:
         """d with the finalised name and whether it is unsound; each judged beside its own Arrow step, so that no
@@ -163,7 +165,7 @@ def translate(segments: DataFrame, book: Book, memory: DataFrame,
     pending = routed.where("route is null").select("section", "source")
     slow = cut(resolve_pending(pending, book, model)).withColumn("flags", F.array().cast("array<string>")).withColumn("slow", F.lit(True))
     done = routed.where("route is not null").withColumn("slow", F.lit(False)).unionByName(slow)
-    done = finalise(done, "source", "translated", "_f", book)
+    done = finalise(spread(book.attach(done, "source", "translated")), "source", "translated", "_f", book)
     is_pass = F.col("route") == "passthrough"
     done = done.withColumn("_f", F.coalesce("_f", F.lit("")))
     flags = quality_flags(F.col("source"), F.col("_f"), F.concat(F.coalesce("flags", F.array().cast("array<string>")), F.col("_f_flags")))
@@ -183,7 +185,7 @@ def translate(segments: DataFrame, book: Book, memory: DataFrame,
 def clean_memory(memory: DataFrame) -> DataFrame:
     """memory(section, source_text, translated) without entries that are bad by themselves or for their source."""
     bad = T.bad_memory(F.col("translated")) | T.bad_in_context(F.col("source_text"), F.col("translated"))
-    return memory.where(~bad).withColumn("translated", T.strip(F.col("translated")))
+    return spread(memory).where(~bad).withColumn("translated", T.strip(F.col("translated")))
 
 
 def upsert_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def upsert_memory(memory: DataFrame, new: DataFrame) -> DataFrame:
 
 def domain_norm(df: DataFrame, text: str, out: str, book: Book) -> DataFrame:
     """df(section, ...) with out: text brought to the wording of design documents."""
-    d = book.attach(df).withColumn(out, fold_fixed(F.coalesce(F.col(text), F.lit("")), NORM_TERMS)).withColumn(out, book.fold(F.col(out), "norm_terms"))
+    d = book.attach(df, text).withColumn(out, fold_fixed(F.coalesce(F.col(text), F.lit("")), NORM_TERMS)).withColumn(out, book.fold(F.col(out), "norm_terms"))
     n = r"(\p{Nd}+)"
     # fixed values: the wording rules of design documents, in the order in which they build on one another
     steps: list[tuple[str, str, bool]] = [

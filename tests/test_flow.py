@@ -1,7 +1,9 @@
 """Routing, finalising, memory, learning and reports on small inputs."""
 
+import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,86 +19,83 @@ GLOSSARY = "section string, cn string, ru string, status string, ord int"
 
 
 @pytest.fixture(scope="module")
-def arrays(spark):
-    g = spark.createDataFrame(GLOSSARY_ROWS, GLOSSARY)
-    a = G.term_arrays(spark, g).cache()
-    a.count()
-    return a
-
-
-@pytest.fixture(scope="module", params=["along with tasks", "joined"])
-def book(request, arrays):
-    return G.TermBook(arrays.collect()) if request.param == "along with tasks" else G.JoinedTerms(arrays)
-
-
-def terms_of(arrays, section, column="terms"):
-    return {t["k"]: t["v"] for t in arrays.where(F.col("section") == section).first()[column]}
-
-
-def test_precedence(arrays):
-    assert terms_of(arrays, "ОВ")["通风"] == "вентиляция ОВ" and terms_of(arrays, "ВК")["通风"] == "вентиляция"
-    assert terms_of(arrays, "ВК")["风管"] == "воздуховод" and "阀" not in terms_of(arrays, "ВК")
-    assert terms_of(arrays, "ОВ", "residual_terms")["квадратная яма"] == "квадратный смотровой колодец"
-    keys = [t["k"] for t in arrays.where("section = 'UNKNOWN'").first()["terms"]]
-    assert [len(k) for k in keys] == sorted((len(k) for k in keys), reverse=True)
-
-
-def plain_punctuation(t):
-    t = t.translate(str.maketrans("（）：，；。＋、_", "():,;.+, "))
-    for a, b in [(r"\s+", " "), (r"\(\s+", "("), (r"\s+\)", ")"), (r"\s*([:;,])\s*", r"\1 "), (r"\s*\.\s*", ". "), (r"\s*\+\s*", " + "), (r"(?<=\d)([А-Яа-яЁёA-Za-z])", r" \1"),
-                 (r"(?<=\d)(\()", r" \1"), (r"(?<=[А-Яа-яЁё])(?=\d)", " "), (r"\s+", " "), (r"\s+([,.;:)])", r"\1")]:
-        t = re.sub(a, b, t)
-    return t.strip(" -_").strip()
-
-
-def plain_finalise(source, candidate, terms, residual):
-    """An independent plain-Python reading of the same rules."""
-    def fold(t, m):
-        for k, v in sorted(m.items(), key=lambda kv: -len(kv[0])):
-            t = t.replace(k, v)
-        return t
-
-    def units(t):
-        return re.sub(r"(\d+(?:[.,]\d+)?)\s*([个只件套])", lambda m: f"{m[1]} {residual.get(m[2], m[2])}", t)
-
-    def known(t):
-        t = plain_punctuation(fold(units(plain_punctuation(t)), residual))
-        return plain_punctuation(re.sub("[一-鿿]+", lambda m: fold(m[0], residual), units(t)))
-
-    words = lambda t: len(re.findall("[А-Яа-яЁёA-Za-z]+", t))
-    source, value = plain_punctuation(source), known(plain_punctuation(candidate.strip()))
-    dense = source.count(",") >= 2 or "(" in source or ":" in source or re.search(r"\d[一-鿿]", source)
-    if not value or re.fullmatch(r"[\s\d,.;:()/%×\-–—_+\\\[\]{}<>|]+", value) or dense and words(value) < 3:
-        again = known(re.sub("[一-鿿]+", lambda m: terms.get(m[0], fold(m[0], terms)), source))
-        if words(again) > words(value):
-            value = again
-    return plain_punctuation(value)
-
-
-PAIRS = [
-    ("通风系统，风管：10个", "вентиляция"), ("能源：电，天然气，水，压缩空气。", ""), ("600x400方井", "600x400方井"), ("水泵", "насос"), ("3套（备用）", "3套"), ("中国标准", "中国标准水"), ("a", None),
-    ("", "text: 5件"), ("铝锭+废料投入熔铸炉", "铝锭+废料投入熔铸炉"), ("квадратная яма", "квадратная яма"),
+def book(spark):
+    return G.term_book(spark, spark.createDataFrame(GLOSSARY_ROWS, GLOSSARY))
+
+
+def winners(spark, section, kind="terms", booster=None):
+    """The terms of a section in the order in which they replace, from the plain layers."""
+    t = G.term_table(spark, spark.createDataFrame(GLOSSARY_ROWS, GLOSSARY), booster).where((F.col("section") == section) & (F.col("kind") == kind)).collect()
+    return {r["cn"]: r["ru"] for r in sorted(t, key=lambda r: (-len(r["cn"]), r["place"]))}
+
+
+def test_precedence(spark):
+    assert winners(spark, "ОВ")["通风"] == "вентиляция ОВ" and winners(spark, "ВК")["通风"] == "вентиляция"
+    assert winners(spark, "ВК")["风管"] == "воздуховод" and "阀" not in winners(spark, "ВК")
+    assert winners(spark, "ОВ", "residual_terms")["квадратная яма"] == "квадратный смотровой колодец"
+    assert list(winners(spark, "ОВ", "norm_terms")) == ["通风", "风管"] and "ПБ" not in winners(spark, "ПБ")
+    b = spark.createDataFrame([("UNKNOWN", "通风", "x", 0), ("ОВ", "新词", "y", 0), ("ALL", "风管", "z", 1), ("ЧУЖОЙ", "a", "b", 0)], "section string, cn string, ru string, ord int")
+    more = winners(spark, "ОВ", booster=b)
+    assert more["通风"] == "x" and more["新词"] == "y" and more["风管"] == "z" and "a" not in more
+    assert "新词" not in winners(spark, "ВК", booster=b)
+
+
+def test_attached_terms_are_those_that_can_come_up(spark):
+    """Folding the attached terms equals folding all terms, also where translations hold ideographs."""
+    rows = [("ALL", "循环水泵", "насос", "OK", 0), ("ALL", "水泵", "泵 насос", "OK", 1), ("ALL", "泵", "помпа", "OK", 2), ("ОВ", "A区", "зона", "OK", 3), ("ОВ", "风阀门", "клапан", "OK", 4), ("ALL", "xy", "水", "OK", 5)]
+    for glossary in (rows, rows[:1] + rows[2:5]):
+        g = spark.createDataFrame(glossary, GLOSSARY)
+        book = G.term_book(spark, g)
+        every = {}
+        for r in G.term_table(spark, g).collect():
+            every.setdefault((r["section"], r["kind"]), []).append((-len(r["cn"]), r["place"], r["cn"], r["ru"]))
+        texts = ["循环水泵 5台", "水泵xy", "A区风阀门", "", "水", "xy泵", "насос", "квадратная яма 个", "循环水 泵", None, "水泵xy"]
+        d = spark.createDataFrame([(i, s, t) for i, t in enumerate(texts) for s in ("ОВ", "UNKNOWN", "ЧУЖОЙ")], "i int, section string, source string")
+        for kind in G.KINDS:
+            for r in book.attach(d, "source").select("section", "source", book.fold(F.col("source"), kind).alias("out")).collect():
+                want = r["source"]
+                for _, _, k, v in sorted(every.get((r["section"] if r["section"] != "ЧУЖОЙ" else "UNKNOWN", kind), [])):
+                    want = None if want is None else want.replace(k, v)
+                assert r["out"] == want, (kind, r)
+
+
+def test_a_large_glossary_keeps_rows_small(spark):
+    """A hundred thousand terms: no row carries more than it holds, and no plan pairs all with all."""
+    rnd = random.Random(1)
+    words = ["".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(4)) for _ in range(100_000)]
+    g = spark.createDataFrame(pd.DataFrame({"section": "ALL", "cn": words, "ru": [f"термин {i}" for i in range(len(words))], "status": "OK", "ord": range(len(words))}), GLOSSARY)
+    some = g.orderBy("ord").limit(40).collect()
+    d = spark.createDataFrame([(i, "ОВ", f"план {r['cn']} узел") for i, r in enumerate(some)], "row_id int, section string, text string")
+    book = G.term_book(spark, g)
+    out = book.attach(d, "text").select("row_id", F.size("terms").alias("n"), book.fold(F.col("text"), "terms").alias("t"))
+    assert [(r["t"], r["n"] < 60) for r in out.orderBy("row_id").collect()] == [(f"план {r['ru']} узел", True) for r in some]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    terms = G.section_terms(G.layered_terms(spark, g).where("layer in (2, 3)"))
+    rep = Q.validation_report(d.select("row_id", F.col("text"), F.lit("перевод").alias("translated")), terms)
+    assert rep.where("issues like '%термин%'").count() == 40
+    assert "CartesianProduct" not in rep._jdf.queryExecution().executedPlan().toString()
+
+
+#: Source, candidate and the finalised text; each was read against the rules.
+FINAL = [
+    ("通风系统，风管：10个", "вентиляция", "вентиляция ОВ系统, воздуховод: 10 шт."),
+    ("能源：电，天然气，水，压缩空气。", "", "Энергоносители: электроэнергия, природный газ, вода, сжатый воздух."),
+    ("600x400方井", "600x400方井", "600 x400 квадратный смотровой колодец"),
+    ("水泵", "насос", "насос"),
+    ("3套（备用）", "3套", "3 комплект"),
+    ("中国标准", "中国标准水", "китайский стандартвода"),
+    ("a", None, "a"),
+    ("", "text: 5件", "5 шт."),
+    ("铝锭+废料投入熔铸炉", "铝锭+废料投入熔铸炉", "алюминиевый слиток + отходызагружаютсяплавильно-литейная печь"),
+    ("квадратная яма", "квадратная яма", "квадратный смотровой колодец"),
 ]
 
 
-def test_both_ways_order_terms_alike(spark, arrays):
-    g = spark.createDataFrame(GLOSSARY_ROWS, GLOSSARY)
-    b = spark.createDataFrame([("UNKNOWN", "通风", "x", 0), ("ОВ", "新词", "y", 0), ("ALL", "风管", "z", 1)], "section string, cn string, ru string, ord int")
-    for booster in (None, b):
-        small, rows = G.term_book(spark, g, booster), {r["section"]: r for r in G.term_arrays(spark, g, booster).collect()}
-        for section, kinds in small.rows.items():
-            for kind, terms in kinds.items():
-                assert terms == [(t["k"], t["v"]) for t in rows[section][kind]], (section, kind)
-    assert isinstance(G.term_book(spark, g, most=2), G.JoinedTerms)
-
-
-def test_finalise_like_plain_python(spark, arrays, book):
-    rows = spark.createDataFrame([(i, "ОВ", a, b) for i, (a, b) in enumerate(PAIRS)], "i int, section string, s string, c string")
-    got = R.finalise(rows, "s", "c", "out", book).orderBy("i").collect()
-    terms, residual = terms_of(arrays, "ОВ"), terms_of(arrays, "ОВ", "residual_terms")
-    for r, (a, b) in zip(got, PAIRS):
-        b = re.sub(r"^\s*text\s*:\s*", "", b or "")
-        assert r["out"] == plain_finalise(a, b, terms, residual), (a, b)
+def test_finalise(spark, book):
+    rows = spark.createDataFrame([(i, "ОВ", a, b) for i, (a, b, _) in enumerate(FINAL)], "i int, section string, s string, c string")
+    for r, (a, b, want) in zip(R.finalise(rows, "s", "c", "out", book).orderBy("i").collect(), FINAL):
+        assert r["out"] == want, (a, b)
         assert r["out_untranslated"] == bool(re.search("[一-鿿]", r["out"]))
         assert ("needs_manual_review" in r["out_flags"]) == r["out_untranslated"]
 
