@@ -2,9 +2,10 @@
 
 A vocabulary with weights is counted over all blocks: words (compounds with their hyphens), and for
 Chinese, which has no word limits, characters in their context. Words that aren't in it are looked up by
-running a Levenshtein automaton against the vocabulary trie: the walk keeps one row of the automaton per
-trie node, so all words within the distance are retrieved. Candidates are ranked by what scanners confuse,
-by weight and by the neighbouring words. Titles that stand at the top of several pages and page numbers are
+running a weighted Levenshtein automaton against the vocabulary trie, so all words within the cost are
+retrieved, ideographs by the trie of their contexts. Candidates are ranked by what scanners confuse, by
+weight and by how often they stand beside the neighbouring words; an edit that scanners aren't known for
+needs such a neighbour. Titles that stand at the top of several pages and page numbers are
 removed, words broken over lines are joined, and the rest is reflowed.
 """
 
@@ -12,9 +13,11 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +36,12 @@ MIN_SHARE, MIN_WEIGHT = 1e-6, 0.5
 #: The intended word must outweigh the written one by this factor.
 RATIO = 12.0
 MAX_TOKEN = 40
-#: Cost of an edit that no scanner makes, above what is accepted; the accepted cost per three letters, and at most.
-OTHER, PER_THREE, MOST = 3.0, 0.55, 2.6
+#: Cost of an edit that scanners aren't known for; the accepted cost per three letters, and at most.
+OTHER, PER_THREE, MOST = 1.6, 0.55, 2.6
+#: Times a reading with such an edit must have stood beside one of its neighbours; nats for each e-fold of that count.
+BESIDE, CONTEXT = 3.0, 0.15
+#: Cells of the hashed table of neighbouring words.
+PAIR_BITS = 20
 #: Cost of a digit where no confusion with it is known.
 DIGIT = 0.7
 
@@ -47,8 +54,6 @@ CONFUSED = """
 HAN_CONFUSED = "图囹 度庋 度庹 管菅 压庄 天夭 米采 米来 距矩 设没 轴铀 轴袖 机杌 机枧 泵录 环坏 土士 未末 已己 日曰 人入 大太 水氷 火氷 风凤 阀阈 箱葙 机杌 泵录 干千 板扳 材村 间问 间闩 内肉 料科 水永 力刀 方万 电申 阀阙 线浅 钢铜 缝逢 孔扎 架驾 装裝 安按 检捡 测侧 层尼 面而 墙樯 柱住 梁粱 基墓 础绌"
 
 MARKS = "-‐¬­"
-#: A digit amid small letters of a word.
-INNER_DIGIT = re.compile(r"[a-z]{2}\d{1,2}[a-z]{2}|[а-яё]{2}\d{1,2}[а-яё]{2}")
 TOKEN = re.compile(r"[^\W_]+(?:-[^\W\d_]+)*")
 HAN_RUN = re.compile(r"[㐀-鿿]")
 BREAK = re.compile(rf"((?:[^\W\d_]+-)*[^\W_]*[^\W\d_])([{MARKS}])([ \t]*\n[ \t]*)([^\W\d_][^\W_]*(?:-[^\W\d_]+)*)")
@@ -131,22 +136,48 @@ def count_tokens(texts: list[str]) -> Counter:
     return out
 
 
-def fit_vocabulary(blocks: DataFrame) -> dict[str, float]:
-    """Weights over every row of blocks(text, ocr boolean); what reaches the driver is bounded by MIN_SHARE."""
+def pair_cell(a: str, b: str) -> int:
+    """Cell of two neighbouring words in the table of pairs, the same in every process."""
+    return zlib.crc32(f"{a} {b}".encode()) >> (32 - PAIR_BITS)
+
+
+def pair_counts(texts: list[str]) -> Counter:
+    """How often each cell's words stand side by side."""
+    pairs: Counter = Counter()
+    for text in texts:
+        words = [t.lower() for t in TOKEN.findall(without_broken(text))]
+        pairs.update(zip(words, words[1:]))
+    out: Counter = Counter()
+    for (a, b), n in pairs.items():
+        out[pair_cell(a, b)] += n
+    return out
+
+
+def fit_vocabulary(blocks: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+    """(weights, neighbours) over every row of blocks(text, ocr boolean).
+
+    What reaches the driver is bounded: weights by MIN_SHARE, the table of neighbouring words by its cells.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for ocr, part in pdf.groupby("ocr"):
-                c = count_tokens(tidy(part["text"].tolist()))
+                texts = tidy(part["text"].tolist())
+                c = count_tokens(texts)
+                c.update({f"p{cell}": n for cell, n in pair_counts(texts).items()})
                 yield pd.DataFrame({"entry": list(c), "n": [n * (OCR_WEIGHT if ocr else 1.0) for n in c.values()]})
 
     counted = blocks.where(F.length("text") > 0).select("text", "ocr").mapInPandas(count, "entry string, n double")
     weights = cut(counted.groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_WEIGHT))
-    totals = {r["kind"]: r["n"] for r in weights.groupBy(F.substring("entry", 1, 1).alias("kind")).agg(F.sum("n").alias("n")).collect()}
+    kind = F.substring("entry", 1, 1)
+    pairs = weights.where(kind == "p").select(F.expr("cast(substring(entry, 2) as int)").alias("cell"), F.col("n").cast("float").alias("n")).toPandas()
+    neighbours = np.zeros(1 << PAIR_BITS, dtype=np.float32)
+    neighbours[pairs["cell"].to_numpy(dtype=np.int64)] = pairs["n"].to_numpy(dtype=np.float32)
+    rest = weights.where(kind != "p")
     least = F.lit(0.0)
-    for kind, n in totals.items():
-        least = F.when(F.substring("entry", 1, 1) == kind, F.lit(MIN_SHARE * n)).otherwise(least)
-    return {r["entry"]: r["n"] for r in weights.where(F.col("n") >= least).toLocalIterator()}
+    for r in rest.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():
+        least = F.when(kind == r["kind"], F.lit(MIN_SHARE * r["n"])).otherwise(least)
+    return {r["entry"]: r["n"] for r in rest.where(F.col("n") >= least).toLocalIterator()}, neighbours
 
 
 class Trie:
@@ -160,141 +191,128 @@ class Trie:
                 node = node.setdefault(ch, {})
             node[""] = w
 
-    def within(self, token: str, most: int) -> list[str]:
-        """All words at a Levenshtein distance of at most most: the automaton's rows run down the trie."""
-        out: list[str] = []
-        first = list(range(len(token) + 1))
-        stack = [(self.root, first)]
-        n = len(token)
-        while stack:
-            node, row = stack.pop()
-            if "" in node and row[n] <= most:
-                out.append(node[""])
-            for ch, child in node.items():
-                if ch == "":
-                    continue
-                new = [row[0] + 1]
-                for i in range(n):
-                    step = min(new[i] + 1, row[i + 1] + 1, row[i] + (token[i] != ch))
-                    new.append(step)
-                if min(new) <= most:
-                    stack.append((child, new))
-        return out
-
-
-    def readings(self, token: str, most: float) -> list[tuple[float, str]]:
-        """All words that may be written as token at a scan cost of at most most, which is below OTHER.
+    def readings(self, token: str, most: float) -> list[tuple[float, int, str]]:
+        """(cost, unlikely edits, word) of all words that may be written as token at a cost of at most most.
 
-        The automaton weights its edits by what scanners confuse. Its states are the positions reached in token
-        with their cost; an edit no scanner makes costs more than most, so such states die at once.
+        The Levenshtein automaton of token runs down the trie with weighted edits: what scanners confuse is cheap, any
+        other substitution, insertion or deletion costs OTHER. Its states are the positions reached in token with
+        their cost and number of dear edits, so every word within the cost is found.
         """
-        found: dict[str, float] = {}
+        found: dict[str, tuple[float, int]] = {}
         n = len(token)
-        stack: list[tuple[dict, dict[int, float]]] = [(self.root, {0: 0.0})]
+
+        def spread(at: dict[int, tuple[float, int]]) -> dict[int, tuple[float, int]]:
+            for i in range(n):  # letters of token that the word doesn't have
+                if i in at and (x := at[i][0] + OTHER) <= most and x < at.get(i + 1, NEVER)[0]:
+                    at[i + 1] = (x, at[i][1] + 1)
+            return at
+
+        stack: list[tuple[dict, dict[int, tuple[float, int]]]] = [(self.root, spread({0: (0.0, 0)}))]
         while stack:
             node, at = stack.pop()
-            if "" in node and (c := at.get(n)) is not None and c < found.get(node[""], 99.0):
+            if "" in node and (c := at.get(n)) is not None and c < found.get(node[""], NEVER):
                 found[node[""]] = c
             for ch, child in node.items():
                 if ch == "":
                     continue
-                new: dict[int, float] = {}
-                for i, c in at.items():
+                new: dict[int, tuple[float, int]] = {}
+
+                def reach(i: int, x: float, dear: int, new: dict = new) -> None:
+                    if x <= most and x < new.get(i, NEVER)[0]:
+                        new[i] = (x, dear)
+
+                for i, (c, dear) in at.items():
                     if i < n:
                         w = token[i]
-                        x = c if w == ch else c + CONFUSION.get((ch, w), DIGIT if w.isdigit() else OTHER)
-                        if x <= most and x < new.get(i + 1, 99.0):
-                            new[i + 1] = x
-                        if i + 1 < n and (k := CONFUSION.get((ch, token[i : i + 2]))) is not None and c + k <= most and c + k < new.get(i + 2, 99.0):
-                            new[i + 2] = c + k
+                        known = 0.0 if w == ch else CONFUSION.get((ch, w), DIGIT if w.isdigit() else None)
+                        reach(i + 1, c + (OTHER if known is None else known), dear + (known is None))
+                        if i + 1 < n and (k := CONFUSION.get((ch, token[i : i + 2]))) is not None:
+                            reach(i + 2, c + k, dear)
+                    reach(i, c + OTHER, dear + 1)  # a letter that token lost
                 if new:
-                    stack.append((child, new))
+                    stack.append((child, spread(new)))
                 for second in PAIRS_FROM.get(ch, ()):  # two letters read as one
                     if second in child:
-                        both = {i + 1: c + k for i, c in at.items() if i < n and (k := CONFUSION.get((ch + second, token[i]))) is not None and c + k <= most}
+                        both = {i + 1: (c + k, dear) for i, (c, dear) in at.items() if i < n and (k := CONFUSION.get((ch + second, token[i]))) is not None and c + k <= most}
                         if both:
-                            stack.append((child[second], both))
-        return [(c, w) for w, c in found.items()]
-
-
-def scan_cost(intended: str, written: str) -> float:
-    """Cost of reading intended as written: confusions are cheap, any other edit is dear."""
-    n, m = len(intended), len(written)
-    inf = 99.0
-    d = [[inf] * (m + 1) for _ in range(n + 1)]
-    d[0][0] = 0.0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            x = d[i][j]
-            if x >= inf:
-                continue
-            if i < n and j < m:
-                same = intended[i] == written[j]
-                c = x + (0.0 if same else CONFUSION.get((intended[i], written[j]), DIGIT if written[j].isdigit() else OTHER))
-                d[i + 1][j + 1] = min(d[i + 1][j + 1], c)
-            if i < n:
-                d[i + 1][j] = min(d[i + 1][j], x + OTHER)
-                if i + 1 < n and j < m and (k := CONFUSION.get((intended[i : i + 2], written[j]))) is not None:
-                    d[i + 2][j + 1] = min(d[i + 2][j + 1], x + k)
-                if j + 1 < m and (k := CONFUSION.get((intended[i], written[j : j + 2]))) is not None:
-                    d[i + 1][j + 2] = min(d[i + 1][j + 2], x + k)
-            if j < m:
-                d[i][j + 1] = min(d[i][j + 1], x + OTHER)
-    return d[n][m]
+                            stack.append((child[second], spread(both)))
+        return [(c, dear, w) for w, (c, dear) in found.items()]
+
+    def centres(self, left: str, right: str) -> list[str]:
+        """Of a trie of triples, the middle characters between left and right: the automaton with one edit, in the middle."""
+        return [x for x, child in self.root.get(left, {}).items() if right in child]
+
+
+NEVER = (99.0, 0)
 
 
 class Reader:
     """Finds and repairs misread words with a fitted vocabulary."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], neighbours: np.ndarray):
         self.weight = {k[1:]: v for k, v in weights.items() if k[0] == "w"}
         self.pairs = {k[1:]: v for k, v in weights.items() if k[0] == "b"}
         self.triples = {k[1:]: v for k, v in weights.items() if k[0] == "t"}
         self.trie = Trie([w for w, n in self.weight.items() if n >= 2 and w.replace("-", "").isalpha()])
-        self.middle: dict[str, list[tuple[str, float]]] = {}
-        for t, n in self.triples.items():
-            self.middle.setdefault(t[0] + t[2], []).append((t[1], n))
+        self.han_trie = Trie(list(self.triples))
         self.alone: Counter = Counter()
         for k, n in self.pairs.items():
             self.alone[k[0]] += n
         self.shapes = {p[1] + p[0] for p in HAN_CONFUSED.split()} | {p for p in HAN_CONFUSED.split()}
-        self.known: dict[str, list[tuple[float, str]]] = {}
-        self.verdicts: dict[str, bool] = {}
+        self.known: dict[str, list[tuple[float, int, str]]] = {}
+        self.neighbours = neighbours
+        self.settled: dict[str, bool] = {}
         self.places: dict[tuple[str, str, str], str] = {}
 
-    def candidates(self, token: str) -> list[tuple[float, str]]:
-        """(cost, word) for the words token may be a misreading of, best first; empty if token stands for itself."""
+    def candidates(self, token: str) -> list[tuple[float, int, str]]:
+        """(cost, dear edits, word) for the words token may be a misreading of, best first; empty if token stands for itself.
+
+        A word with dear edits is a candidate only: it takes its context to be the reading.
+        """
         if (hit := self.known.get(token)) is not None:
             return hit
         own = self.weight.get(token, 0.0)
         out = []
         if len(token) >= 2:
-            for c, w in self.trie.readings(token, MOST):
+            limit = PER_THREE * math.ceil(len(token) / 3)
+            for c, dear, w in self.trie.readings(token, min(MOST, limit + PER_THREE)):
                 n = self.weight[w]
-                if w != token and n >= RATIO * max(own, OCR_WEIGHT) and c <= PER_THREE * max(1, math.ceil(len(w) / 3)):
-                    out.append((c - 0.1 * math.log(n), w))
+                if w != token and n >= RATIO * max(own, OCR_WEIGHT) and c <= min(MOST, PER_THREE * max(1, math.ceil(len(w) / 3))):
+                    out.append((c - 0.1 * math.log(n), dear, w))
         out.sort()
         if len(self.known) > 200_000:
             self.known.clear()
         self.known[token] = out
         return out
 
-    def choose(self, token: str, before: str, after: str) -> str | None:
-        found = self.candidates(token.lower())
-        if not found:
-            return None
-        near = {before.lower(), after.lower()}
-        # context: a reading that makes a compound or repeats a neighbour's inflection is preferred on a tie
-        best = min(found, key=lambda cw: (cw[0] - (0.05 if any(w and w[-2:] == cw[1][-2:] for w in near) else 0.0), cw[1]))[1]
-        return best.upper() if token.isupper() else best.capitalize() if token[:1].isupper() else best
+    def beside(self, a: str, b: str) -> float:
+        """How often two words have stood side by side."""
+        return float(self.neighbours[pair_cell(a, b)]) if a and b else 0.0
+
+    def reading(self, token: str, before: str, after: str) -> str | None:
+        """The word a lower-cased token is a misreading of between its neighbours; None if it stands for itself."""
+        best, best_cost = None, 99.0
+        own = -1.0
+        for cost, dear, w in self.candidates(token):
+            near = self.beside(before, w) + self.beside(w, after)
+            if dear:
+                if own < 0:
+                    own = self.beside(before, token) + self.beside(token, after)
+                if near < BESIDE or near < RATIO * own:
+                    continue
+            cost -= CONTEXT * math.log1p(near)
+            if cost < best_cost:
+                best, best_cost = w, cost
+        return best
 
     def intended(self, l: str, c: str, r: str) -> str:
         """The ideograph that c between l and r stands for; empty if c is in place."""
         own = self.triples.get(l + c + r, 0.0)
-        if own >= 3 and not any(c + x in self.shapes for x, _ in self.middle.get(l + r, ())):
+        centres = [(x, self.triples[l + x + r]) for x in self.han_trie.centres(l, r)]
+        if own >= 3 and not any(c + x in self.shapes for x, _ in centres):
             return ""
         best, best_n = "", (False, 0.0)
-        for x, n in self.middle.get(l + r, ()):
+        for x, n in centres:
             if x == c or n < RATIO * max(own, OCR_WEIGHT) or x < "㐀":
                 continue
             shaped = x + c in self.shapes
@@ -322,18 +340,9 @@ class Reader:
             known.clear()
         return out
 
-    def odd(self, token: str) -> bool:
-        """Whether a token is a misread word, whatever stands beside it."""
-        hit = self.verdicts.get(token)
-        if hit is None:
-            if len(self.verdicts) > 500_000:
-                self.verdicts.clear()
-            hit = self.verdicts[token] = is_word(token) and bool(self.candidates(token.lower()) or INNER_DIGIT.search(token))
-        return hit
-
     def is_misread(self, text: str) -> bool:
         """Whether a text, its broken words joined, has misread words or ideographs."""
-        return any(map(self.odd, TOKEN.findall(text))) or bool(self.misread_han(text))
+        return bool(self.misread(text, first=True)) or bool(self.misread_han(text))
 
     def breaks(self, text: str) -> list[re.Match]:
         """Places where a single word is broken over two lines by a mark of its own."""
@@ -350,7 +359,7 @@ class Reader:
             joined, compound = self.weight.get(left + right, 0.0), self.weight.get(f"{left}-{right}", 0.0)
             if compound > joined:
                 continue
-            if m.group(2) == "-" and joined < MIN_WEIGHT and not self.candidates(left + right):
+            if m.group(2) == "-" and joined < MIN_WEIGHT and not any(dear == 0 for _, dear, _ in self.candidates(left + right)):
                 continue  # the hyphen of a compound: without it there is no such word
             out.append(m)
         return out
@@ -362,23 +371,33 @@ class Reader:
             at = m.start(4)
         return "".join(out) + text[at:]
 
-    def misread(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, repaired word) of the misread words of a text whose broken words are joined."""
+    def misread(self, text: str, first: bool = False) -> list[tuple[int, int, str]]:
+        """(start, end, repaired word) of the misread words of a text whose broken words are joined; with first, of one."""
         out = []
-        tokens = list(TOKEN.finditer(text))
-        for k, m in enumerate(tokens):
+        tokens, end = None, len(text.rstrip())
+        for k, m in enumerate(TOKEN.finditer(text)):
             w = m.group()
             low = w.lower()
-            if not self.odd(w):
+            if self.sound(w, low):
                 continue
-            if INNER_DIGIT.search(w) and not self.candidates(low):
-                out.append((m.start(), m.end(), w))  # certainly misread, but not what from
-                continue
-            fixed = self.choose(w, tokens[k - 1].group() if k else "", tokens[k + 1].group() if k + 1 < len(tokens) else "")
-            if fixed and fixed != w:
-                out.append((m.start(), m.end(), fixed))
+            if tokens is None:
+                tokens = [t.lower() for t in TOKEN.findall(text)]
+            fixed = self.reading(low, tokens[k - 1] if k else "", tokens[k + 1] if k + 1 < len(tokens) else "")
+            if fixed and not (m.end() == end and fixed.startswith(low)):  # the text's last word may have lost its end
+                out.append((m.start(), m.end(), fixed.upper() if w.isupper() and len(w) > 1 else fixed.capitalize() if w[:1].isupper() else fixed))
+                if first:
+                    break
         return out
 
+    def sound(self, token: str, low: str) -> bool:
+        """Whether a token can't be a misread word, whatever stands beside it."""
+        hit = self.settled.get(token)
+        if hit is None:
+            if len(self.settled) > 500_000:
+                self.settled.clear()
+            hit = self.settled[token] = not is_word(token) or not self.candidates(low)
+        return hit
+
     def repair(self, text: str) -> str:
         """text with broken words joined, misread ones replaced and lines reflowed into paragraphs."""
         text = self.join_breaks(text)
@@ -494,12 +513,12 @@ def inspect_blocks(blocks: DataFrame, repair: bool) -> DataFrame:
     blocks: (block_id, file_id, page, ocr, x0, y0, y1, text). Null and empty texts have no noise. A block
     without bbox can't have a page number. Repeated rows are judged each.
     """
-    weights = fit_vocabulary(blocks)
+    sent = blocks.sparkSession.sparkContext.broadcast(fit_vocabulary(blocks))
     titles = cut(running_titles(blocks))
     scanned = with_titles(blocks.where("ocr"), titles)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(weights)
+        reader = Reader(*sent.value)
         for pdf in batches:
             rows = []
             for text, page, y1, title in zip(tidy(pdf["text"].tolist()), pdf["page"], pdf["y1"], pdf["is_title"]):
