@@ -119,13 +119,26 @@ def han_context(text: str) -> str:
     return re.sub(r"[^㐀-鿿\U00020000-\U0003ffff0A-Za-z]+", "。", t)
 
 
+def pair_cell(a: str, b: str) -> int:
+    """Cell of two neighbouring words in the table of pairs, the same in every process."""
+    return zlib.crc32(f"{a} {b}".encode()) >> (32 - PAIR_BITS)
+
+
+#: Stands between texts that are counted together; no word of any language here.
+BETWEEN = "ƍƍ"
+
+
 def count_tokens(texts: list[str]) -> Counter:
-    """Counts of words (key w), ideographs with the next one (b) and with both neighbours (t), for a batch at once."""
+    """Counts of words (key w), cells of neighbouring words (p), ideographs with the next one (b) and with both neighbours (t), for a batch at once."""
     out: Counter = Counter()
-    plain = without_broken("\n\n".join(texts))  # the halves of a broken word are no words
-    for w, n in Counter(m.group() for m in TOKEN.finditer(plain)).items():
-        if is_word(w):
+    plain = without_broken(f"\n\n{BETWEEN}\n\n".join(texts))  # the halves of a broken word are no words
+    tokens = TOKEN.findall(plain)
+    for w, n in Counter(tokens).items():
+        if w != BETWEEN and is_word(w):
             out["w" + w.lower()] += n
+    for (a, b), n in Counter(zip(tokens, tokens[1:])).items():
+        if a != BETWEEN != b:
+            out[f"p{pair_cell(a.lower(), b.lower())}"] += n
     t = "。。".join(han_context(x) for x in texts if HAN_RUN.search(x))
     for (a, b), n in Counter(zip(t, t[1:])).items():
         if a >= "㐀" or b >= "㐀":
@@ -136,23 +149,6 @@ def count_tokens(texts: list[str]) -> Counter:
     return out
 
 
-def pair_cell(a: str, b: str) -> int:
-    """Cell of two neighbouring words in the table of pairs, the same in every process."""
-    return zlib.crc32(f"{a} {b}".encode()) >> (32 - PAIR_BITS)
-
-
-def pair_counts(texts: list[str]) -> Counter:
-    """How often each cell's words stand side by side."""
-    pairs: Counter = Counter()
-    for text in texts:
-        words = [t.lower() for t in TOKEN.findall(without_broken(text))]
-        pairs.update(zip(words, words[1:]))
-    out: Counter = Counter()
-    for (a, b), n in pairs.items():
-        out[pair_cell(a, b)] += n
-    return out
-
-
 def fit_vocabulary(blocks: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """(weights, neighbours) over every row of blocks(text, ocr boolean).
 
@@ -162,9 +158,7 @@ def fit_vocabulary(blocks: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for ocr, part in pdf.groupby("ocr"):
-                texts = tidy(part["text"].tolist())
-                c = count_tokens(texts)
-                c.update({f"p{cell}": n for cell, n in pair_counts(texts).items()})
+                c = count_tokens(tidy(part["text"].tolist()))
                 yield pd.DataFrame({"entry": list(c), "n": [n * (OCR_WEIGHT if ocr else 1.0) for n in c.values()]})
 
     counted = blocks.where(F.length("text") > 0).select("text", "ocr").mapInPandas(count, "entry string, n double")
@@ -180,23 +174,30 @@ def fit_vocabulary(blocks: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     return {r["entry"]: r["n"] for r in rest.where(F.col("n") >= least).toLocalIterator()}, neighbours
 
 
+#: Key of the largest weight in a node; no character.
+HEAVIEST = "heaviest"
+
+
 class Trie:
-    """Words as nested dictionaries; the empty key holds a word."""
+    """Words as nested dictionaries; the empty key holds a word, and HEAVIEST the largest weight of the words below."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], weight: dict[str, float] | None = None):
         self.root: dict = {}
         for w in words:
-            node = self.root
+            node, n = self.root, weight[w] if weight else 0.0
             for ch in w:
-                node = node.setdefault(ch, {})
+                node = node.setdefault(ch, {HEAVIEST: n})
+                if n > node[HEAVIEST]:
+                    node[HEAVIEST] = n
             node[""] = w
 
-    def readings(self, token: str, most: float) -> list[tuple[float, int, str]]:
+    def readings(self, token: str, most: float, least: float = 0.0) -> list[tuple[float, int, str]]:
         """(cost, unlikely edits, word) of all words that may be written as token at a cost of at most most.
 
         The Levenshtein automaton of token runs down the trie with weighted edits: what scanners confuse is cheap, any
         other substitution, insertion or deletion costs OTHER. Its states are the positions reached in token with
-        their cost and number of dear edits, so every word within the cost is found.
+        their cost and number of dear edits, so every word within the cost is found. Branches without a word of
+        weight least are left out.
         """
         found: dict[str, tuple[float, int]] = {}
         n = len(token)
@@ -213,7 +214,7 @@ class Trie:
             if "" in node and (c := at.get(n)) is not None and c < found.get(node[""], NEVER):
                 found[node[""]] = c
             for ch, child in node.items():
-                if ch == "":
+                if len(ch) != 1 or child[HEAVIEST] < least:
                     continue
                 new: dict[int, tuple[float, int]] = {}
 
@@ -240,7 +241,7 @@ class Trie:
 
     def centres(self, left: str, right: str) -> list[str]:
         """Of a trie of triples, the middle characters between left and right: the automaton with one edit, in the middle."""
-        return [x for x, child in self.root.get(left, {}).items() if right in child]
+        return [x for x, child in self.root.get(left, {}).items() if len(x) == 1 and right in child]
 
 
 NEVER = (99.0, 0)
@@ -253,7 +254,7 @@ class Reader:
         self.weight = {k[1:]: v for k, v in weights.items() if k[0] == "w"}
         self.pairs = {k[1:]: v for k, v in weights.items() if k[0] == "b"}
         self.triples = {k[1:]: v for k, v in weights.items() if k[0] == "t"}
-        self.trie = Trie([w for w, n in self.weight.items() if n >= 2 and w.replace("-", "").isalpha()])
+        self.trie = Trie([w for w, n in self.weight.items() if n >= 2 and w.replace("-", "").isalpha()], self.weight)
         self.han_trie = Trie(list(self.triples))
         self.alone: Counter = Counter()
         for k, n in self.pairs.items():
@@ -275,7 +276,7 @@ class Reader:
         out = []
         if len(token) >= 2:
             limit = PER_THREE * math.ceil(len(token) / 3)
-            for c, dear, w in self.trie.readings(token, min(MOST, limit + PER_THREE)):
+            for c, dear, w in self.trie.readings(token, min(MOST, limit + PER_THREE), RATIO * max(own, OCR_WEIGHT)):
                 n = self.weight[w]
                 if w != token and n >= RATIO * max(own, OCR_WEIGHT) and c <= min(MOST, PER_THREE * max(1, math.ceil(len(w) / 3))):
                     out.append((c - 0.1 * math.log(n), dear, w))
@@ -373,15 +374,15 @@ class Reader:
 
     def misread(self, text: str, first: bool = False) -> list[tuple[int, int, str]]:
         """(start, end, repaired word) of the misread words of a text whose broken words are joined; with first, of one."""
+        tokens = TOKEN.findall(text)
+        if all(map(self.sound, tokens)):
+            return []
         out = []
-        tokens, end = None, len(text.rstrip())
+        tokens, end = [t.lower() for t in tokens], len(text.rstrip())
         for k, m in enumerate(TOKEN.finditer(text)):
-            w = m.group()
-            low = w.lower()
-            if self.sound(w, low):
+            w, low = m.group(), tokens[k]
+            if self.sound(w):
                 continue
-            if tokens is None:
-                tokens = [t.lower() for t in TOKEN.findall(text)]
             fixed = self.reading(low, tokens[k - 1] if k else "", tokens[k + 1] if k + 1 < len(tokens) else "")
             if fixed and not (m.end() == end and fixed.startswith(low)):  # the text's last word may have lost its end
                 out.append((m.start(), m.end(), fixed.upper() if w.isupper() and len(w) > 1 else fixed.capitalize() if w[:1].isupper() else fixed))
@@ -389,13 +390,13 @@ class Reader:
                     break
         return out
 
-    def sound(self, token: str, low: str) -> bool:
+    def sound(self, token: str) -> bool:
         """Whether a token can't be a misread word, whatever stands beside it."""
         hit = self.settled.get(token)
         if hit is None:
             if len(self.settled) > 500_000:
                 self.settled.clear()
-            hit = self.settled[token] = not is_word(token) or not self.candidates(low)
+            hit = self.settled[token] = not is_word(token) or not self.candidates(token.lower())
         return hit
 
     def repair(self, text: str) -> str:
