@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import glossary as G
 from loomtext.functions import text as T
+from loomtext.functions.model_output import parsed_batch
 from loomtext.plans import learning as L
 from loomtext.plans import quality as Q
 from loomtext.plans import translate as R
@@ -108,9 +109,23 @@ def pending_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def micro_batches(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "translated_sample").where(T.has_cn(F.col("text"))).select("section", T.clean_source(F.col("text")).alias("source"), "row_id")
-    p = R.micro_batches(t.groupBy("section", "source").agg(F.min("row_id").alias("first_row")))
-    return p.groupBy("complexity", "batch_size").agg(F.count(F.lit(1)).alias("n_texts"), F.max("n").alias("longest"))
+    t = table(spark, d, "translated_sample").where(T.has_cn(F.col("text"))).select("section", T.clean_source(F.col("text")).alias("source"))
+    return R.micro_batches(t.distinct()).select("section", "source", "complexity", "batch_size", "batch_no")
+
+
+def model_output_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Answers to batches of up to ten rows of an export, in the forms models give them, taken apart again."""
+    t = table(spark, d, "translated_sample").select("export_id", F.floor((F.col("row_no") - 1) / 10).alias("part"), "row_id", T.squash(F.coalesce(F.nullif(T.squash(F.col("translated")), F.lit("")), F.lit("-"))).alias("v"))
+    b = t.groupBy("export_id", "part").agg(F.array_sort(F.collect_list(F.struct("row_id", "v"))).alias("rows"))
+    v = F.transform("rows", lambda x: x["v"])
+    numbered = lambda left, right: F.array_join(F.transform(v, lambda x, i: F.concat(F.lit(left), (i + 1).cast("string"), F.lit(right), x)), "\n")
+    form = F.pmod(F.col("export_id") + F.col("part"), F.lit(6))
+    raw = (
+        F.when(form == 0, F.to_json(v)).when(form == 1, F.concat(F.lit("```json\n"), F.to_json(F.struct(v.alias("rows"))), F.lit("\n```"))).when(form == 2, numbered("[", "] "))
+        .when((form == 3) & (F.size(v) > 1), F.array_join(v, "\n@@ROW@@\n")).when(form == 4, F.concat(F.lit("Sure.\n"), numbered("[", "] "))).otherwise(numbered("", ". "))
+    )
+    b = b.withColumns({"answer": parsed_batch(raw, F.size("rows"))}).where("answer is not null")
+    return b.select(F.explode(F.arrays_zip(F.transform("rows", lambda x: x["row_id"]).alias("row_id"), F.col("answer"))).alias("x")).select("x.row_id", F.col("x.answer").alias("answer"))
 
 
 def translated_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +255,7 @@ def write_back(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     term_precedence_map, glossary_by_section, apply_section_terms, structured_translate, cad_terms, document_terms, finalised, domain_normalise, fast_route,
-    routing_summary, routing_stats, pending_groups, micro_batches, translated_segments, memory_lookup, memory_clean, translation_metrics, total_metrics,
+    routing_summary, routing_stats, pending_groups, micro_batches, model_output_parsed, translated_segments, memory_lookup, memory_clean, translation_metrics, total_metrics,
     suspicious_pairs, untranslated_report, validation_report, review_rows, reviewed, audit_examples, batch_report, document_fingerprint, candidate_scores,
     candidate_upsert, candidate_sanitise, recommended_terms, promoted_glossary, frequent_terms, merged_terms, write_back,
 )}
@@ -329,9 +344,12 @@ ORACLE = {
     "cad_terms": f"SELECT rec_id, {_chain(chr(99) + 'oalesce(text, chr(32))', G.CAD_TERMS)} AS by_terms FROM dxf_records WHERE text IS NOT NULL UNION ALL SELECT rec_id, '' FROM dxf_records WHERE text IS NULL",
     "document_terms": f"SELECT row_id, {_chain('text', G.DOCUMENT_TERMS)} AS by_terms FROM translated_sample",
     "pending_groups": f"SELECT section, sha1({_CLEAN}) AS text_hash, min(row_id) AS first_row, count(*) AS n_rows FROM translated_sample WHERE regexp_matches(text, '[一-鿿]') GROUP BY 1, 2",
-    "micro_batches": f"""WITH x AS (SELECT DISTINCT section, {_CLEAN} AS c FROM translated_sample WHERE regexp_matches(text, '[一-鿿]')), y AS (SELECT length(c) AS n, {marks('c', '，,。;；')} AS p FROM x),
-        z AS (SELECT n, (CASE WHEN n >= 700 OR p >= 8 THEN 4 WHEN n >= 420 OR p >= 5 THEN 3 WHEN n >= 180 OR p >= 3 THEN 2 WHEN n >= 80 THEN 1 ELSE 0 END)::INT AS complexity FROM y), g AS (SELECT complexity, count(*) AS n_texts, max(n)::INT AS longest, avg(n) AS mean FROM z GROUP BY 1)
-        SELECT complexity, (CASE WHEN longest <= 80 AND mean <= 45 THEN 32 WHEN longest <= 160 AND mean <= 80 THEN 18 WHEN longest >= 700 OR mean >= 260 THEN 2 WHEN longest >= 420 OR mean >= 180 THEN 3 WHEN longest >= 260 OR mean >= 120 THEN 5 ELSE 10 END)::INT AS batch_size, n_texts, longest FROM g""",
+    "micro_batches": f"""WITH x AS (SELECT DISTINCT section, {_CLEAN} AS source FROM translated_sample WHERE regexp_matches(text, '[一-鿿]')), y AS (SELECT section, source, length(source) AS n, {marks('source', '，,。;；')} AS p FROM x),
+        z AS (SELECT section, source, n, (CASE WHEN n >= 700 OR p >= 8 THEN 4 WHEN n >= 420 OR p >= 5 THEN 3 WHEN n >= 180 OR p >= 3 THEN 2 WHEN n >= 80 THEN 1 ELSE 0 END)::INT AS complexity FROM y), g AS (SELECT complexity, max(n)::INT AS longest, avg(n) AS mean FROM z GROUP BY 1),
+        s AS (SELECT complexity, (CASE WHEN longest <= 80 AND mean <= 45 THEN 32 WHEN longest <= 160 AND mean <= 80 THEN 18 WHEN longest >= 700 OR mean >= 260 THEN 2 WHEN longest >= 420 OR mean >= 180 THEN 3 WHEN longest >= 260 OR mean >= 120 THEN 5 ELSE 10 END)::INT AS batch_size FROM g)
+        SELECT section, source, complexity, batch_size, ((row_number() OVER (PARTITION BY complexity ORDER BY n, sha1(section || '|' || source)) - 1) // batch_size)::BIGINT AS batch_no FROM z JOIN s USING (complexity)""",
+    "model_output_parsed": f"""SELECT row_id, CASE WHEN regexp_matches(v, '(?i)^(here|translation|перевод|объяснение)([^[:alnum:]а-яё_]|$)') THEN '' ELSE v END AS answer
+        FROM (SELECT row_id, CASE WHEN {squash('translated')} = '' THEN '-' ELSE {squash('translated')} END AS v FROM translated_sample)""",
     "memory_lookup": f"WITH {_MEM} SELECT row_id, m.translated AS hit FROM (SELECT row_id, section, {_CLEAN} AS source_text FROM translated_sample) x LEFT JOIN mem m USING (section, source_text)",
     "memory_clean": rf"""WITH {_MEM}, x AS (SELECT *, {strip('source_text')} AS s, {strip('translated')} AS v FROM mem)
         SELECT section, source_text, v AS translated FROM x WHERE NOT (v = '' OR regexp_full_match(v, '[\s\p{{Nd}},.;:()/%×\-–—_:+*\\\[\]{{}}<>|]+') OR length(v) <= 2 OR regexp_matches(v, '[一-鿿]') OR (NOT regexp_matches(v, '[А-Яа-яЁё]') AND length(v) < 12)

@@ -16,13 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session has none, as in tests on one machine.
+    A folder of our own is set only where the session has none and runs on one machine, as in tests.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomtext-ckpt-"))
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="loomtext-ckpt-")
+    spark.sparkContext.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -93,33 +93,67 @@ def fast_route(texts: DataFrame, memory: DataFrame, book: Book) -> DataFrame:
 
 
 def micro_batches(pending: DataFrame) -> DataFrame:
-    """pending(section, source, first_row) with complexity, batch_size and batch_no.
+    """pending(section, source), distinct, with complexity, n (length), batch_size and batch_no.
 
-    Batches hold texts of one complexity in order of length; their size follows from the longest and the mean
-    text of the complexity. Numbering splits by complexity and length class, so no window holds all rows of a
-    large input: batch numbers count within (complexity, bucket).
+    Batches hold texts of one complexity in order of length, then of text hash; their size follows from the longest
+    and the mean text of the complexity. A place in that order is the place within (complexity, length, first three
+    digits of the hash) plus the number of texts in earlier such groups, so no window holds all rows of a large input:
+    the sums run over at most 4096 groups for each length.
     """
-    d = pending.withColumns({"complexity": T.complexity(F.col("source")), "n": F.length("source")})
+    d = pending.withColumns({"complexity": T.complexity(F.col("source")), "n": F.length("source"), "_hash": F.sha1(F.encode(F.concat_ws("|", "section", "source"), "utf-8"))})
     size = d.groupBy("complexity").agg(T.batch_size(F.max("n"), F.avg("n")).alias("batch_size"))
-    d = d.join(F.broadcast(size), "complexity")  # at most five rows
-    d = d.withColumn("bucket", F.pmod(F.xxhash64("section", "source"), F.lit(64)))
-    w = Window.partitionBy("complexity", "bucket").orderBy("n", "first_row", "section", "source")
-    return d.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / F.col("batch_size")))
+    d = d.withColumn("_part", F.substring("_hash", 1, 3))
+    group = ["complexity", "n", "_part"]
+    counts = d.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    lengths = counts.groupBy("complexity", "n").agg(F.sum("_rows").alias("_rows"))
+    before = lambda rows, by, order: rows.withColumn("_before", F.sum("_rows").over(Window.partitionBy(*by).orderBy(order)) - F.col("_rows")).drop("_rows")
+    shorter = before(lengths, ["complexity"], "n").withColumnRenamed("_before", "_shorter")
+    earlier = before(counts, ["complexity", "n"], "_part").join(shorter, ["complexity", "n"])
+    d = d.join(earlier, group).join(F.broadcast(size), "complexity")  # at most five rows
+    place = F.col("_shorter") + F.col("_before") + F.row_number().over(Window.partitionBy(*group).orderBy("_hash")) - 1
+    return d.withColumn("batch_no", F.floor(place / F.col("batch_size"))).drop("_hash", "_part", "_before", "_shorter")
+
+
+def _ask(model: Callable[[list[str]], list[str]], texts: list[str]) -> list[str]:
+    """The model's answers to a batch; if it fails or miscounts, to each text alone; where that fails too, the text."""
+    for batch in (texts, *([t] for t in texts)):
+        try:
+            got = list(model(list(batch)))
+        except Exception:  # noqa: BLE001 - any failure of the service means another way
+            got = []
+        if batch is texts:
+            if len(got) == len(texts):
+                return [g or t for g, t in zip(got, texts)]
+            alone: list[str] = []
+        else:
+            alone.append(got[0] if len(got) == 1 and got[0] else batch[0])
+    return alone
 
 
 def call_model(pending: DataFrame, model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
-    """pending(section, source) with model_text. Without a model, or where it fails or miscounts, that is the source."""
+    """pending(section, source), distinct, with model_text. Without a model that is the source.
+
+    The model gets one micro-batch at a time; a batch it can't answer is asked again text by text.
+    """
+    if model is None:
+        return pending.select("section", "source", F.col("source").alias("model_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: pd.DataFrame | None = None
         for pdf in batches:
-            texts = pdf["source"].tolist()
-            try:
-                got = model(texts) if model else texts
-            except Exception:  # noqa: BLE001 - any failure of the service means identity
-                got = texts
-            yield pdf.assign(model_text=got if len(got) == len(texts) else texts)
-
-    return pending.select("section", "source").mapInPandas(run, "section string, source string, model_text string")
+            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+            group = (pdf[["complexity", "batch_no"]] != pdf[["complexity", "batch_no"]].shift()).any(axis=1).cumsum()
+            whole = pdf[group < group.iloc[-1]] if len(pdf) else pdf
+            left = pdf[group == group.iloc[-1]] if len(pdf) else None  # may go on in the next Arrow batch
+            for _, part in whole.groupby(group[group < group.iloc[-1]]) if len(whole) else ():
+                yield part.assign(model_text=_ask(model, part["source"].tolist()))[["section", "source", "model_text"]]
+        if left is not None and len(left):
+            yield left.assign(model_text=_ask(model, left["source"].tolist()))[["section", "source", "model_text"]]
+
+    b = micro_batches(pending).select("section", "source", "complexity", "batch_no")
+    n = max(b.sparkSession.sparkContext.defaultParallelism, int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    together = b.repartition(n, "complexity", "batch_no").sortWithinPartitions("complexity", "batch_no")
+    return together.mapInPandas(run, "section string, source string, model_text string")
 
 
 def resolve_pending(pending: DataFrame, book: Book, model: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
