@@ -385,4 +385,9 @@ ORACLE = {
     "write_back": f"""WITH {_MEM}, m AS (SELECT source_text, min(translated) AS translated FROM mem GROUP BY 1), x AS (SELECT file_id, handle, rec_id, text, CASE WHEN {strip('m.translated')} <> '' THEN m.translated WHEN {strip('text')} <> '' THEN text ELSE '' END AS o
          FROM (SELECT *, {_CLEAN} AS source_text FROM dxf_records) LEFT JOIN m USING (source_text)), y AS (SELECT file_id, handle, arg_max(o, rec_id) AS o FROM x GROUP BY 1, 2)
         SELECT d.rec_id, y.o AS output FROM dxf_records d JOIN y USING (file_id, handle)""",
+    "candidate_sanitise": f"""WITH {_TRIPLES}, last AS (SELECT sec, s, v, count(DISTINCT doc_key)::INT AS n_docs, max(conf) AS conf, arg_max(o, doc_id) AS o FROM tri GROUP BY 1, 2, 3),
+        k AS (SELECT sec, {squash('s')} AS s, {squash('v')} AS v, {squash('s')} AS qs, {squash('v')} AS qt, n_docs, conf, o FROM last),
+        m AS (SELECT sec AS section, s AS cn, v AS current_ru, n_docs, o, round(least(greatest(conf, {_SCORE}), 1.0), 2) AS confidence, v <> '' AND NOT regexp_matches(v, '[一-鿿]') AND n_docs >= 2 AND conf >= 0.75 AS was FROM k WHERE {_VIABLE}),
+        w AS (SELECT *, row_number() OVER (PARTITION BY section, cn, current_ru ORDER BY n_docs DESC, confidence DESC, o DESC) AS rn FROM m)
+        SELECT section, cn, current_ru, n_docs, confidence, CASE WHEN {_GOOD} OR was THEN 'RECOMMENDED' ELSE 'NEW' END AS status FROM w WHERE rn = 1""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.functions.glossary import FILE_NAME_TERMS
 from loomtext.operators import geometry as G
 from loomtext.operators import writeback as W
 from loomtext.plans.runtime import table
@@ -330,3 +331,26 @@ ORACLE = {
         greatest(least(h / n * 0.8, 8.0), 6.0)) AS font_size FROM b""",
 }
 ORACLE |= PAGE_ORACLE
+
+
+def _replaced(x: str, terms: dict[str, str]) -> str:
+    for k, v in terms.items():
+        x = f"replace({x}, '{k}', '{v}')"
+    return x
+
+
+_FIRST = "string_split(string_split(string_split({x}, chr(10))[1], 'which')[1], 'Translate')[1]"
+ORACLE["rename_plan"] = f"""WITH p AS (SELECT DISTINCT section, translate(text, '/', ' ') || '.dwg' AS name FROM translated_sample WHERE text IS NOT NULL AND section IS NOT NULL),
+    n AS (SELECT *, {_replaced("name", FILE_NAME_TERMS)} AS t FROM p), k AS (SELECT section, name, {squash("regexp_replace(" + _FIRST.format(x="t") + ", '[" + chr(92) * 2 + "/:*?" + chr(34) + "<>|]', '', 'g')")} AS new_name FROM n)
+    SELECT 'p/' || section || '/' || name AS path, new_name, 2 AS depth FROM k WHERE regexp_matches(name, '[一-鿿]') AND new_name <> name AND new_name <> ''"""
+
+
+def _spots(rank: int, sep: str) -> str:
+    kept = len(sep.rstrip())
+    return f"list_transform(list_filter(range(1, length(v) + 1), lambda i: substr(v, i, {len(sep)}) = '{sep}'), lambda i: {{'far': abs(i - 1 + {kept} - length(v) // 2), 'rank': {rank}, 'at': i, 'cut': i - 1 + {kept}}})"
+
+
+ORACLE["two_lines"] = f"""WITH x AS (SELECT term_id, {strip("concat_ws(', ', ru, note)")} AS v FROM approved_terms),
+    y AS (SELECT *, coalesce(list_sort(flatten([{", ".join(_spots(k, sep) for k, sep in enumerate([", ", "; ", ": ", " - ", " ("]))}]))[1].cut, list_sort({_spots(0, " ")})[1].at - 1) AS cut FROM x)
+    SELECT term_id, CASE WHEN cut > 0 AND cut < length(v) - 1 AND NOT contains(v, chr(10)) AND length(v) >= 42
+      THEN regexp_replace(substr(v, 1, cut), '{WS}+$', '') || chr(10) || regexp_replace(substr(v, cut + 1), '^{WS}+', '') ELSE v END AS two_lines FROM y"""
