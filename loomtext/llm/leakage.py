@@ -197,3 +197,4 @@ ORACLE = {
         w AS (SELECT item_id, need, unnest(list_transform(range(1, length(p) - need + 2), lambda k: substr(p, k, need))) AS part FROM n)
         SELECT DISTINCT doc_id, item_id FROM d JOIN w ON length(t) >= need AND contains(t, part)""",
 }
+ORACLE["p9_clean"] = f"SELECT doc_id, source, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({ORACLE['p9_found']}))"

@@ -260,3 +260,6 @@ ORACLE = {
           AND abs(a.x0 - b.x0) <= 8 AND abs(a.y0 - b.y0) <= 8 AND abs(a.x1 - b.x1) <= 8 AND abs(a.y1 - b.y1) <= 8)
         SELECT block_a, block_b FROM p WHERE shared >= 0.7 * (total - shared)""",
 }
+ORACLE["p5_groups"] = f"""WITH RECURSIVE e AS (SELECT block_a AS u, block_b AS v FROM ({ORACLE['p5_found']})), both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    r AS (SELECT DISTINCT u AS id, u AS seen FROM both_ways UNION SELECT r.id, v FROM r JOIN both_ways ON both_ways.u = r.seen), c AS (SELECT id, min(seen) AS class_id FROM r GROUP BY 1)
+    SELECT block_id, coalesce(class_id, block_id) AS class_id FROM pdf_blocks LEFT JOIN c ON c.id = block_id"""
