@@ -223,7 +223,7 @@ class Tokens:
         hit[1:] |= a[1:] & b[:-1] | b[1:] & a[:-1]
         hit &= letters[run] >= 2
         # letters set apart: two tokens in a row of one character
-        alnum = letter | digit | ideograph
+        alnum = letter | digit | ideograph | (flat == ord("丨"))
         first = np.flatnonzero(alnum & ~np.concatenate(([False], alnum[:-1])))
         last = np.flatnonzero(alnum & ~np.append(alnum[1:], False))
         single = first == last
@@ -408,7 +408,7 @@ _NEVER = (math.inf, "")
 SPACED = re.compile(
     r"(?<![^\W_])[^\W_](?:(?P<g>[.\-_·*•丨|/])(?:[^\W_*@$#](?P=g))+[^\W\d_]+(?:(?P=g)[^\W\d_]+)*|(?P<s>[ \t]+)(?:[^\W_](?P=s))+[^\W_](?![^\W_]))"
 )
-HAN_GAP = re.compile(r"[㐀-鿿](?:[ .·\-_*•丨|/~#@]{1,2}[㐀-鿿]|[*#＊丨○×]+)+[㐀-鿿]*")
+HAN_GAP = re.compile(r"[㐀-丧丩-鿿](?:[ .·\-_*•丨|/~#@]{1,2}[㐀-丧丩-鿿]|[*#＊丨○×]+)+[㐀-丧丩-鿿]*")  # all ideographs but the stroke that passes for a bar
 ODD = re.compile(
     r"[a-zà-ÿа-яё0-9]*(?:[a-zà-ÿа-яё][*#@$|丨0-9€]+|[a-zа-яё]!(?=[a-zа-яё0-9])|[*#@$|丨0-9€]+(?=[a-zа-яё]))(?:[a-zà-ÿа-яё0-9*#@$|丨€]|!(?=[a-zа-яё0-9]))*"
     r"|[a-zа-яё0-9]*([a-zа-яё])\1\1[a-zа-яё0-9]*|[a-zа-яё0-9]*(?:[a-z][а-яё]|[а-яё][a-z])[a-zа-яё0-9]*"
