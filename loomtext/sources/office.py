@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -102,7 +102,17 @@ TEXT_ENTITIES = {"TEXT", "MTEXT", "ATTRIB", "ATTDEF", "DIMENSION", "MULTILEADER"
 
 
 def parse_dxf(data: bytes) -> Iterator[dict]:
-    """Text entities of a drawing in order, of the model and of its blocks; a dimension only with an override."""
+    """Text entities of a drawing: those of its layouts in order, then those of its blocks; a dimension only with an override.
+
+    Blocks whose name begins with * are the drawing program's own (layout spaces, dimension pictures) and left out.
+    """
+    rows = list(_dxf_texts(data))
+    yield from (r for r in rows if not r["block_name"])
+    yield from (r for r in rows if r["block_name"] and not r["block_name"].startswith("*"))
+
+
+def _dxf_texts(data: bytes) -> Iterator[dict]:
+    """Text entities of a drawing in the order of the file."""
     section = block = ""
     entity: dict | None = None
 
@@ -163,17 +173,24 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV export: header, quoted fields over several lines, everything text, null as an empty text."""
-    d = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    return d.na.fill("")
+    return _csv(spark, path).na.fill("")
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """A glossary file in either letter case, missing columns as empty text; ord is the order of the file."""
+    """Glossary files in either letter case, missing columns as empty text; ord is the order of the files' names, then of their rows."""
     want = ["section", "cn", "ru", "standard_ref", "status", "note"]
-    d = read_table(spark, path)
+    d = _csv(spark, path)
     have = {c.lower().lstrip("﻿"): c for c in d.columns}
-    cols = [(F.col(f"`{have[c]}`") if c in have else F.lit("")).alias(c) for c in want]
-    return d.select(*cols, F.monotonically_increasing_id().alias("ord"))
+    cols = [F.coalesce(F.col(f"`{have[c]}`") if c in have else F.lit(""), F.lit("")).alias(c) for c in want]
+    d = d.select(*cols, F.monotonically_increasing_id().alias("_at"), F.col("_metadata.file_path").alias("_file"))
+    ranks = d.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")))  # one row for each file
+    # a file is read by one task, in order; the low bits of _at count the rows of the task
+    place = F.col("_rank").cast("bigint") * F.lit(1 << 33) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return d.join(F.broadcast(ranks), "_file").select(*want, place.alias("ord"))
 
 
 def read_term_store(spark: SparkSession, path: str) -> DataFrame:

@@ -63,10 +63,27 @@ def test_parse_rewrite_and_errors(spark, tmp_path):
     assert bytes(done["d.txt"]["bytes"]) == b"x" and done["bad.docx"]["error"]
 
 
+def test_layouts_come_before_blocks():
+    def text(handle, value):
+        return f"0\nTEXT\n5\n{handle}\n1\n{value}\n"
+
+    blocks = "".join(f"0\nBLOCK\n2\n{name}\n{text(h, v)}0\nENDBLK\n" for name, h, v in (("*D1", "1", "12.5 м"), ("ШТАМП", "2", "план"), ("*Model_Space", "3", "внутри")))
+    data = f"0\nSECTION\n2\nBLOCKS\n{blocks}0\nENDSEC\n0\nSECTION\n2\nENTITIES\n{text('4', 'модель')}0\nENDSEC\n0\nEOF\n".encode()
+    assert [(r["handle"], r["text"], r["block_name"]) for r in office.parse_dxf(data)] == [("4", "модель", ""), ("2", "план", "ШТАМП")]
+    assert list(office.parse_dxf(b"")) == []
+
+
 def test_tables_and_stores(spark, tmp_path):
     (tmp_path / "t.csv").write_text('﻿SECTION,CN,RU,STATUS\nОВ,"通\n风","a ""b""",OK\n,风管,,\n', encoding="utf-8")
     g = office.read_glossary(spark, str(tmp_path / "t.csv")).orderBy("ord").collect()
     assert [(r["section"], r["cn"], r["ru"], r["note"]) for r in g] == [("ОВ", "通\n风", 'a "b"', ""), ("", "风管", "", "")]
+    many = tmp_path / "many"
+    many.mkdir()
+    for name in ("b", "a", "c"):
+        (many / f"{name}.csv").write_text("section,cn,ru\n" + "".join(f"ОВ,{name}{i},x\n" for i in range(3)), encoding="utf-8")
+    got = office.read_glossary(spark, str(many))
+    assert [r["cn"] for r in got.orderBy("ord").collect()] == [f"{n}{i}" for n in "abc" for i in range(3)]
+    assert G.approved_terms(got.withColumn("status", F.lit("OK"))).count() == 9
     (tmp_path / "s.json").write_text('{"ОВ": {"b": "1", "a": "2"}, "x": 3}', encoding="utf-8")
     assert [(r["cn"], r["ord"]) for r in office.read_term_store(spark, str(tmp_path / "s.json")).orderBy("ord").collect()] == [("b", 0), ("a", 1)]
     (tmp_path / "bad.json").write_text("{")
