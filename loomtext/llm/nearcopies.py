@@ -2,10 +2,10 @@
 
 Similarity is the Jaccard coefficient of the sets of three-character shingles of the lower-cased text
 without white space. Each block is sketched by one-permutation hashing: one hash per shingle, its bins
-hold minima, and empty bins borrow from a random non-empty bin by optimal densification. Bands of bins,
-together with a grid cell of the page, name buckets. Buckets of up to SMALL members give all their pairs.
-Larger ones are split by finer cells of all four sides of the box, and give all pairs whose boxes are close
-enough, so no pair of a bucket is lost. Candidates are checked exactly.
+hold minima, and empty bins borrow from a random non-empty bin by optimal densification. A byte of each bin
+travels with the block to the places its box touches, cells of all four sides. There texts that agree in a band
+of bins are compared by their whole sketches, before any pair leaves the worker; what is left is checked exactly,
+once for each two texts, and then expanded to the blocks that have them and whose boxes are close.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,19 @@ MIN_CHARS, MAX_CHARS = 80, 1200
 #: Two sketches of 100 bins each; bands of 5 bins: at similarity 0.7 a pair misses all 40 with p < 0.001.
 SKETCHES, BINS, ROWS_PER_BAND = 2, 100, 5
 BANDS = SKETCHES * BINS // ROWS_PER_BAND
-#: Side of a grid cell; a block is put into each cell its corner, widened by half of MAX_SHIFT, touches.
-CELL = 64.0
-SMALL = 12
-#: Side of the finer cells that split larger buckets, and members of one that share a salt.
-FINE, CROWD = 32.0, 1000
+BOX = ("x0", "y0", "x1", "y1")
+#: Side of a grid cell; a block is put into each cell that its box, widened by half of MAX_SHIFT, touches.
+CELL, REACH = 64.0, MAX_SHIFT / 2 + 0.001
+#: Members of one place that are dealt to one task; those of a larger one meet part by part.
+CROWD = 250_000
+#: Rows and pairs held as arrays at once.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 20_000, 100_000
+#: A pair of similarity 0.7 whose sketches agree less than this many standard deviations below it isn't checked.
+DEVIATIONS = 5.5
+EMPTY = np.uint64(2**64 - 1)
+#: A block in a place; own has a bit for each side of the box whose lower end lies in the cell.
+MEMBER = np.dtype([("id", "<i8"), ("own", "u1"), *[(c, "<f8") for c in BOX]])
+ALL_OWN = 15
 
 
 @lru_cache(1)
@@ -64,23 +73,31 @@ def shingle_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return s[same], row[2:][same]
 
 
-def sketch(texts: list[str | None]) -> np.ndarray:
-    """SKETCHES * BINS minima per text, without empty bins (rows of texts without a shingle are all 0)."""
+def minima(texts: list[str | None]) -> np.ndarray:
+    """The least hash per text, sketch and bin; EMPTY where no shingle falls into a bin."""
     s, row = shingle_hashes(texts)
     n = len(texts)
-    out = np.zeros((n, SKETCHES, BINS), dtype=np.uint64)
+    out = np.empty((SKETCHES, n, BINS), dtype=np.uint64)
     for k in range(SKETCHES):
         h = mix64(s, 11 + k)
         b = ((h >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
-        mins = np.full((n, BINS), np.uint64(2**64 - 1), dtype=np.uint64)
-        np.minimum.at(mins.reshape(-1), row * BINS + b, mix64(h, 3))
-        out[:, k] = densify(mins, k)
-    return out.reshape(n, -1)
+        out[k] = EMPTY
+        np.minimum.at(out[k].reshape(-1), row * BINS + b, mix64(h, 3))
+    return out
+
+
+def filled(mins: np.ndarray) -> np.ndarray:
+    """SKETCHES * BINS minima per text, without empty bins (rows of texts without a shingle are all 0)."""
+    return np.concatenate([densify(m, k) for k, m in enumerate(mins)], axis=1)
+
+
+def sketch(texts: list[str | None]) -> np.ndarray:
+    return filled(minima(texts))
 
 
 def densify(mins: np.ndarray, seed: int = 0) -> np.ndarray:
     """Optimal densification: an empty bin tries bins drawn by a hash of (bin, attempt), the same in every row."""
-    empty = mins == np.uint64(2**64 - 1)
+    empty = mins == EMPTY
     some = ~empty.all(axis=1)
     out = np.where(some[:, None], mins, np.uint64(0))
     r, b = np.nonzero(empty & some[:, None])
@@ -94,34 +111,139 @@ def densify(mins: np.ndarray, seed: int = 0) -> np.ndarray:
     return out
 
 
-def band_keys(texts: list[str | None]) -> np.ndarray:
-    """One 64-bit key per text and band."""
-    m = sketch(texts).reshape(len(texts), BANDS, ROWS_PER_BAND)
-    key = np.zeros(m.shape[:2], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(ROWS_PER_BAND):
-            key = mix64(key * np.uint64(0x100000001B3) ^ m[:, :, i], i)
-        return mix64(key + np.arange(BANDS, dtype=np.uint64)[None, :], 77)
-
-
-def _cells(x: float, y: float) -> list[int]:
-    xs = {int((x - MAX_SHIFT / 2) // CELL), int((x + MAX_SHIFT / 2) // CELL)}
-    ys = {int((y - MAX_SHIFT / 2) // CELL), int((y + MAX_SHIFT / 2) // CELL)}
-    return [(i & 0xFFFF) << 16 | (j & 0xFFFF) for i in xs for j in ys]
-
-
-def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if not len(pdf):
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sketch of each block in place of its text: a byte of each bin, and how many bins aren't borrowed."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 5000):
+            b = batch.slice(at, 5000)
+            mins = minima(b["text"].to_pylist())
+            bins = (mins != EMPTY).sum(axis=(0, 2))
+            has = np.flatnonzero(bins)
+            data = (filled(mins)[has] & np.uint64(255)).astype(np.uint8)
+            ends = np.arange(len(has) + 1, dtype=np.int32) * (SKETCHES * BINS)
+            low = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            rest = b.select(["id", "h", *BOX]).take(pa.array(has))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(bins[has].astype(np.int16)), low], ["id", "h", *BOX, "bins", "low"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of byte strings of one length, as rows."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+
+
+def _whole_places(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """place, h, part, bins, members and sketches of whole places, from rows sorted by place; many small places at once."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
             continue
-        keys = band_keys(pdf["text"].tolist())
-        cells = [_cells(x, y) for x, y in zip(pdf["x0"], pdf["y0"])]
-        times = np.array([len(c) for c in cells])
-        row = np.repeat(np.arange(len(cells)), times)
-        cell = np.array([c for cs in cells for c in cs], dtype=np.uint64)
-        full = mix64(keys[row] ^ mix64(cell, 5)[:, None], 6)
-        ids = np.repeat(pdf["id"].to_numpy()[row], BANDS)
-        yield pd.DataFrame({"bucket": full.reshape(-1).view(np.int64), "id": ids})
+        m = np.empty(b.num_rows, MEMBER)
+        for c in MEMBER.names:
+            m[c] = b[c].to_numpy(zero_copy_only=False)
+        held.append([*[b[c].to_numpy(zero_copy_only=False).copy() for c in ("place", "h", "part", "bins")], m, _matrix(b["low"]).copy()])
+        last = held[-1][0][-1]
+        if sum(len(x[0]) for x in held) >= ROWS_AT_ONCE and held[0][0][0] != last:
+            all_ = [np.concatenate(x) for x in zip(*held)]
+            end = int(np.argmax(all_[0] == last))
+            yield [x[:end] for x in all_]
+            held = [[x[end:].copy() for x in all_]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _runs(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs u < v of positions with equal keys, some at a time."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    length = np.diff(np.r_[start, len(k)])
+    many = length > 1
+    start, length = start[many], length[many]
+    first = np.repeat(start + length, length) - 1
+    pos = np.arange(len(first)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
+    total = np.r_[0, np.cumsum(first - pos)]
+    for at in range(0, int(total[-1]), PAIRS_AT_ONCE):
+        nth = np.arange(at, min(at + PAIRS_AT_ONCE, int(total[-1])))
+        i = np.searchsorted(total, nth, "right") - 1
+        u, v = order[pos[i]], order[pos[i] + 1 + nth - total[i]]
+        yield np.minimum(u, v), np.maximum(u, v)
+
+
+def _alike_in_places(place: np.ndarray, h: np.ndarray, part: np.ndarray, bins: np.ndarray, m: np.ndarray, low: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Two texts of one place whose sketches agree, each with its members; one text with several members is a pair with itself."""
+    order = np.lexsort((h, place))
+    place, h, m = place[order], h[order], m[order]
+    start = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (h[1:] != h[:-1])])
+    end = np.r_[start[1:], len(h)]
+    place, h, part, bins, low = place[start], h[start], part[order[start]], bins[order[start]], low[order[start]]
+    for t in np.flatnonzero((end - start > 1) & (part == 0)):
+        yield int(h[t]), int(h[t]), m[start[t] : end[t]].tobytes(), b""
+    cell = np.cumsum(np.r_[False, place[1:] != place[:-1]]).astype(np.uint64) << np.uint64(8 * ROWS_PER_BAND)
+    own = np.bitwise_or.reduceat(m["own"], start)
+    ends = [(np.minimum.reduceat(m[c], start), np.maximum.reduceat(m[c], start)) for c in BOX]
+    bands = low.reshape(len(low), BANDS, ROWS_PER_BAND)
+    least = SKETCHES * BINS * (THRESHOLD - DEVIATIONS * np.sqrt(THRESHOLD * (1 - THRESHOLD) / bins))
+    for band in range(BANDS):
+        key = cell.copy()
+        for i in range(ROWS_PER_BAND):
+            key |= bands[:, band, i].astype(np.uint64) << np.uint64(8 * i)
+        for u, v in _runs(key):
+            ok = ((part[u] == 0) | (part[u] != part[v])) & (own[u] | own[v] == ALL_OWN)
+            u, v = u[ok], v[ok]
+            for lo, hi in ends:
+                ok = (lo[u] - hi[v] <= MAX_SHIFT) & (lo[v] - hi[u] <= MAX_SHIFT)
+                u, v = u[ok], v[ok]
+            agree = np.bitwise_count((low[u] == low[v]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            ok = agree >= np.minimum(least[u], least[v])
+            u, v = u[ok], v[ok]
+            if len(u) and band:  # only in the first band in which they meet
+                ok = ~(bands[u, :band] == bands[v, :band]).all(axis=2).any(axis=1)
+                u, v = u[ok], v[ok]
+            for a, b in zip(u.tolist(), v.tolist()):
+                yield int(h[a]), int(h[b]), m[start[a] : end[a]].tobytes(), m[start[b] : end[b]].tobytes()
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["h_a", "h_b", "members_a", "members_b"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    out, held = [], 0
+    for columns in _whole_places(batches):
+        for row in _alike_in_places(*columns):
+            out.append(row)
+            held += len(row[2]) + len(row[3])
+            if held > 8_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+                out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
+
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of members whose boxes are close, in the one place that is the pair's own."""
+    out, held = [], 0
+    for batch in batches:
+        for x, y in zip(batch["members_a"], batch["members_b"]):
+            a, b = (np.frombuffer(z.as_buffer(), MEMBER) for z in (x, y))
+            one = not len(b)
+            b = a if one else b
+            step = max(1, 1_000_000 // len(b))
+            for at in range(0, len(a), step):
+                p, q = a[at : at + step, None], b[None, at if one else 0 :]
+                ok = (p["own"] | q["own"]) == ALL_OWN
+                for c in BOX:
+                    ok &= np.abs(p[c] - q[c]) <= MAX_SHIFT
+                i, j = np.nonzero(np.triu(ok, 1) if one else ok)
+                i, j = p["id"][i, 0], q["id"][0, j]
+                out.append(np.stack([np.minimum(i, j), np.maximum(i, j)])[:, i != j])
+                held += out[-1].shape[1]
+                if held > 100_000:
+                    pairs = np.concatenate(out, axis=1)
+                    for s in range(0, held, 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(z[s : s + 100_000]) for z in pairs], ["id_a", "id_b"])
+                    out, held = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(z) for z in np.concatenate(out, axis=1)], ["id_a", "id_b"])
 
 
 def shingle_set(text: str) -> frozenset[str]:
@@ -143,71 +265,67 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def eligible(blocks: DataFrame) -> DataFrame:
-    """Blocks(id, text, x0, y0, x1, y1) that take part: text of 80 to 1200 characters and a complete bbox."""
-    ok = F.length("text").between(MIN_CHARS, MAX_CHARS)
-    for c in ("x0", "y0", "x1", "y1"):
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
+    """Blocks(id, text, x0, y0, x1, y1) that take part: with an id, text of 80 to 1200 characters and a complete, finite bbox."""
+    ok = F.col("id").isNotNull() & F.length("text").between(MIN_CHARS, MAX_CHARS)
+    for c in BOX:
+        ok = ok & (F.abs(c) < float("inf"))
     return blocks.where(ok)
 
 
-def _exact(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
-    """candidates(id_a, id_b), distinct, id_a < id_b; joined with both blocks and checked."""
-    side = lambda s: blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "text", "x0", "y0", "x1", "y1")])
-    j = candidates.join(side("a"), "id_a").join(side("b"), "id_b")
-    for c in ("x0", "y0", "x1", "y1"):
-        j = j.where(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= MAX_SHIFT)
-    return j.select("id_a", "id_b", "text_a", "text_b").mapInPandas(_verify, "id_a bigint, id_b bigint")
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows, once for each cell that the box touches, with cell and own."""
+    own = F.lit(0)
+    for k, c in enumerate(BOX):
+        low, high = (F.floor((F.col(c) + w) / CELL) for w in (-REACH, REACH))
+        rows = rows.withColumn(f"_{c}", F.explode(F.array_distinct(F.array(low, high))))
+        own = own + F.when(F.col(f"_{c}") == low, 1 << k).otherwise(0)
+    cells = [f"_{c}" for c in BOX]
+    return rows.withColumns({"cell": F.xxhash64(*cells), "own": own.cast("tinyint")}).drop(*cells)
 
 
-def _close_pairs(big: DataFrame, rows: DataFrame) -> DataFrame:
-    """All pairs of members of large buckets(bucket, id) whose boxes are within MAX_SHIFT; may repeat.
-
-    Members meet in fine cells of all four sides; the pairs of a crowded cell are spread over tasks by a salt.
-    """
-    box = ("x0", "y0", "x1", "y1")
-    m = big.join(rows.select("id", *box), "id")
-    for c in box:
-        low, high = (F.floor((F.col(c) + w) / FINE) for w in (-MAX_SHIFT / 2 - 0.001, MAX_SHIFT / 2 + 0.001))
-        m = m.withColumn(f"_{c}", F.explode(F.array_distinct(F.array(low, high))))
-    m = cut(m.select(F.xxhash64("bucket", *[f"_{c}" for c in box]).alias("place"), "id", *box))
-    crowd = m.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place", F.expr(f"n div {CROWD} + 1").alias("salts"))
-    m = m.join(crowd, "place")
-    left = m.withColumn("salt", F.expr("pmod(xxhash64(id), salts)"))
-    right = m.withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)")))
-    near = F.col("l.id") < F.col("r.id")
-    for c in box:
-        near = near & (F.abs(F.col(f"l.{c}") - F.col(f"r.{c}")) <= MAX_SHIFT)
-    return left.alias("l").join(right.alias("r"), (F.col("l.place") == F.col("r.place")) & (F.col("l.salt") == F.col("r.salt")) & near).select(
-        F.col("l.id").alias("id_a"), F.col("r.id").alias("id_b")
-    )
+def _dealt(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """place and part of each row: its cell and 0, or for cells in crowded(cell, parts) each two parts, the row being of part 1 or 2, and each part alone."""
+    mine, other = F.expr("pmod(h, parts)"), F.col("other")
+    rows = rows.join(F.broadcast(crowded), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    return rows.withColumns({
+        "place": F.xxhash64("cell", F.least(mine, other), F.greatest(mine, other)),
+        "part": F.when(mine == other, 0).when(mine < other, 1).otherwise(2).cast("tinyint"),
+    }).drop("parts", "other")
 
 
 def similar_pairs(blocks: DataFrame) -> DataFrame:
     """All pairs (id_a < id_b) of blocks(id, text, x0, y0, x1, y1) at one place with similarity of at least 0.7.
 
-    Blocks with null or too short or long text, or an incomplete bbox, take no part; repeated ids count once.
-    Buckets are first aggregated map-side to (min, max, count); those of at most SMALL members are gathered,
-    the members of larger ones are paired within finer cells of their boxes.
+    Blocks with null or too short or long text, or an incomplete bbox, take no part; of a repeated id each row counts.
     """
-    rows = eligible(blocks)
-    place = rows.select("id", "text", "x0", "y0").mapInPandas(_buckets, "bucket bigint, id bigint")
-    stats = cut(
-        place.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and lo < hi")
+    rows = eligible(blocks).select("id", F.xxhash64("text").alias("h"), "text", *[F.col(c).cast("double").alias(c) for c in BOX])
+    low = rows.mapInArrow(_sketched, "id bigint, h bigint, x0 double, y0 double, x1 double, y1 double, bins smallint, low binary")
+    crowded = cut(
+        _placed(rows.select(*BOX)).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+        .select("cell", F.expr(f"n div {CROWD} + 1").alias("parts"))
+    )
+    placed = _placed(low)
+    if crowded.isEmpty():
+        placed = placed.withColumns({"place": F.col("cell"), "part": F.lit(0).cast("tinyint")})
+    else:
+        placed = _dealt(placed, crowded)
+    placed = placed.select("place", "h", "part", "bins", *MEMBER.names, "low")
+    alike = cut(
+        placed.repartition("place").sortWithinPartitions("place")
+        .mapInArrow(_alike, "h_a bigint, h_b bigint, members_a binary, members_b binary")
     )
-    two = stats.where("n = 2").select(F.col("lo").alias("id_a"), F.col("hi").alias("id_b"))
-    more = cut(place.join(stats.where("n > 2"), "bucket"))
-    gathered = (
-        more.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        .select(F.explode(F.expr(
-            "flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a as id_a, b as id_b))))"
-        )).alias("p")).select("p.id_a", "p.id_b")
+    two = alike.where("h_a <> h_b").select("h_a", "h_b").distinct()
+    needed = two.select(F.explode(F.array("h_a", "h_b")).alias("h")).distinct()
+    texts = rows.select("h", "text").join(needed, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    side = lambda s: texts.select(F.col("h").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
+    similar = (
+        two.select(F.col("h_a").alias("id_a"), F.col("h_b").alias("id_b")).join(side("a"), "id_a").join(side("b"), "id_b")
+        .select("id_a", "id_b", "text_a", "text_b").mapInPandas(_verify, "id_a bigint, id_b bigint")
     )
-    candidates = two.unionByName(gathered)
-    big = more.where(F.col("n") > SMALL).select("bucket", "id")
-    if not big.isEmpty():
-        candidates = candidates.unionByName(_close_pairs(big, rows))
-    return _exact(candidates.distinct(), rows)
+    checked = alike.join(similar.select(F.col("id_a").alias("h_a"), F.col("id_b").alias("h_b")), ["h_a", "h_b"])
+    members = alike.where("h_a = h_b").unionByName(checked.select(*alike.columns)).select("members_a", "members_b")
+    return members.mapInArrow(_expanded, "id_a bigint, id_b bigint")
 
 
 def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,49 @@ def test_hot_group_keeps_pairs_that_its_ends_miss(spark, monkeypatch):
     assert {(r["id_a"], r["id_b"]) for r in got} == want and len(got) == len(want)
 
 
+def test_hot_place_of_unlike_texts_checks_few_pairs(spark, monkeypatch):
+    """Texts of the same few sentences at one place: pairs that merely share a band must not reach the exact check."""
+    rnd = random.Random(8)
+    frames = ["насос {} проверен в режиме {}", "клапан {} заменён, акт {}", "труба {} проложена на отметке {}", "шкаф {} закрыт, ключ у звена {}", "линия {} отключена на {} часов", "опора {} выверена, отклонение {} мм", "бак {} промыт, объём {} литров", "кран {} испытан грузом {} кг"]
+    rows = []
+    for i in range(0, 600, 2):
+        text = "; ".join(rnd.choice(frames).format(rnd.randint(1, 9999), rnd.randint(1, 9999)) for _ in range(7))
+        x, y = rnd.uniform(98, 102), rnd.uniform(298, 302)
+        rows.append((i, text, x, y, 300.0, 400.0))
+        rows.append((i + 1, text.replace("а", "a", 3) if i % 20 == 0 else text[::-1], x, y, 300.0, 400.0))
+    checked, verify = spark.sparkContext.accumulator(0), N._verify
+
+    def counted(batches):
+        for pdf in batches:
+            checked.add(len(pdf))
+            yield from verify(iter([pdf]))
+
+    monkeypatch.setattr(N, "_verify", counted)
+    got = {(r["id_a"], r["id_b"]) for r in N.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute(rows)
+    assert len(want) >= 30 and got == want
+    assert checked.value <= 3 * len(want)
+
+
+def test_parts_of_crowded_places_and_repeated_rows(spark, monkeypatch):
+    """Each two rows once, as SQL has them: at the edges of cells, in parts, of repeated ids and of boxes without end."""
+    rows = make(5, 300)
+    r = rows[198]  # has near copies
+    rows += [r, (r[0], *rows[8][1:]), (None, *r[1:]), (900, r[1], float("inf"), *r[3:]), (901, r[1], float("inf"), *r[3:])]
+    want = {}
+    for a, b in itertools.combinations([r for r in rows if r[0] is not None], 2):
+        if a[0] != b[0] and brute([(1, *a[1:]), (2, *b[1:])]):
+            pair = (min(a[0], b[0]), max(a[0], b[0]))
+            want[pair] = want.get(pair, 0) + 1
+    for crowd in (N.CROWD, 20):
+        monkeypatch.setattr(N, "CROWD", crowd)
+        got = {}
+        for r in N.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect():
+            got[tuple(r)] = got.get(tuple(r), 0) + 1
+        assert not {p: n for p, n in got.items() if want.get(p) != n}
+        assert len(want) - len(got) <= 0.002 * len(want) and max(want.values()) == 2
+
+
 def test_components(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 9), (9, 7), (3, 4), (4, 4)], "id_a bigint, id_b bigint").where("id_a <> id_b")
     got = {r["id"]: r["class_id"] for r in N.components(pairs).collect()}
