@@ -36,6 +36,8 @@ CELL, REACH = 64.0, MAX_SHIFT / 2 + 0.001
 CROWD = 250_000
 #: Rows and pairs held as arrays at once.
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 20_000, 100_000
+#: Sets of shingles kept at once by the exact check, some 40 kB each.
+KNOWN = 500
 #: A pair of similarity 0.7 whose sketches agree less than this many standard deviations below it isn't checked.
 DEVIATIONS = 5.5
 EMPTY = np.uint64(2**64 - 1)
@@ -257,6 +259,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, frozenset[str]] = {}
         keep = []
         for a, b, ta, tb in zip(pdf["id_a"], pdf["id_b"], pdf["text_a"], pdf["text_b"]):
+            if len(known) > KNOWN:
+                known.clear()
             sa = known.get(a) or known.setdefault(a, shingle_set(ta))
             sb = known.get(b) or known.setdefault(b, shingle_set(tb))
             both = len(sa & sb)
